@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "extract"]
+MODULES = ["scalars", "extract", "facts", "relational", "retrieval"]
 
 
 def load_all() -> None:
