@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "extract", "facts", "relational", "retrieval"]
+MODULES = ["scalars", "extract", "facts", "relational", "retrieval", "chunks"]
 
 
 def load_all() -> None:
