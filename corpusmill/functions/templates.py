@@ -75,3 +75,29 @@ def fill(template: str, **columns: Column) -> Column:
     pieces = re.split(r"(\{\w+\})", template)
     return F.concat(*[F.coalesce(columns[p[1:-1]].cast("string"), F.lit("None")) if p.startswith("{") else F.lit(p)
                       for p in pieces if p])
+
+
+# Fixed replies: handler -> (text, kind of link).
+FIXED_REPLIES = {
+    "pii": ("For your privacy, please don't share personal details such as PAN, Aadhaar, phone numbers, email, account "
+            "or folio numbers, or OTPs. I haven't processed or stored your message. Please ask your question again "
+            "without them.", "help"),
+    "refuse_advice": ("I can't give investment advice or recommendations. I can share facts such as a {house} scheme's "
+                      "expense ratio, exit load, lock-in or published returns. This beginner's guide explains how to "
+                      "evaluate mutual funds yourself.", "guide"),
+    "refuse_comparison": ("I don't compare fund performance. I can share each scheme's published returns separately, "
+                          "for example: \"What are the returns of the {example} fund?\"", "guide"),
+    "off_topic": ("I can only help with factual questions about {house} schemes and {site}'s mutual fund features.",
+                  "help"),
+    "small_talk": ("Happy to help! I answer factual questions about {house} schemes on {site}, such as expense ratios, "
+                   "exit loads, lock-in periods or how to download statements.", "list"),
+    "ask_scheme": ("Please include the scheme name in your question, for example \"What is the lock-in of the {example} "
+                   "fund?\". I cover {schemes}.", "list"),
+    "not_found": ("I couldn't find this in my sources. {site}'s help centre may have more on it.", "help"),
+}
+SAFE_FALLBACK = ("I can only share factual information about {house} schemes, not recommendations or comparisons.",
+                 "guide")
+# The older answer texts over result rows.
+OLD_NO_ROWS = "I could not find the requested information in the structured database. "
+OLD_ONE_ROW = "The requested information for {name} is {value}. "
+OLD_LIST = "Here is the requested information:\n"

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "extract", "facts", "relational", "retrieval", "chunks"]
+MODULES = ["scalars", "extract", "facts", "relational", "retrieval", "chunks", "answers"]
 
 
 def load_all() -> None:

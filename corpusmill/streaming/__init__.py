@@ -1 +1 @@
-
+"""Streaming forms of message screening, conversation memory and upserts."""
