@@ -19,14 +19,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# Every character that counts as white space at the edge of a text.
+SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                          0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+LINE_BREAKS = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def strip(c: Column) -> Column:
-    """Trim every kind of white space, not only spaces."""
-    return rep(c, r"(?U)^\s+|\s+$")
+    """Trim every kind of white space, not only spaces; looks at the two ends only."""
+    return F.btrim(c, F.lit(SPACE))
 
 
 def unix_lines(c: Column) -> Column:
     """Every line break as ``\\n``, so that later patterns need to know only one."""
-    return rep(c, r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]", "\n")
+    return F.when(c.rlike(LINE_BREAKS), rep(c, rf"\r\n|{LINE_BREAKS}", "\n")).otherwise(c)
 
 
 def lines(c: Column) -> Column:

@@ -69,7 +69,7 @@ MODES = ("hybrid", "dense", "bm25")
 
 
 def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = P.RETRIEVAL_K, mode: str = "hybrid",
-                    use_scope: bool = True, strip_names: bool = False, stats: DataFrame | None = None) -> DataFrame:
+                    use_scope: bool = True, strip_names: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Top k chunks per query with score, cosine and both ranks.
 
     ``queries``: qid, text, stripped, scope, qvec. ``chunks``: id, terms, vec, key.
@@ -83,7 +83,7 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = P.RETRIEVAL_
     vec = dense.dense_topk(q.select("qid", "qvec", "scope"), chunks.select("id", "vec", "key"), depth)
     if mode == "dense":
         return vec.where(F.col("rank") <= k).select("qid", "id", F.col("cosine").alias("score"), "rank")
-    kw = lexical.bm25_topk(q.select("qid", "terms", "scope"), chunks.select("id", "terms", "key"), depth, stats)
+    kw = lexical.bm25_topk(q.select("qid", "terms", "scope"), chunks.select("id", "terms", "key"), depth, counts)
     if mode == "bm25":
         return kw.where(F.col("rank") <= k).select("qid", "id", "score", "rank")
     top = protect_top1(rrf_fuse({"dense": vec, "bm25": kw}), k)

@@ -7,30 +7,37 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import patterns as P
 from corpusmill.operators.dense import retriever_rank
-from corpusmill.session import fits_broadcast
+from corpusmill.session import fits_broadcast, materialize
 
 SCORE_DIGITS = 9
 
 
-def corpus_size(docs: DataFrame) -> DataFrame:
-    """One row: number of documents and mean length in terms. ``docs``: id, terms."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avgdl"))
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(term, df, terms): documents per term, and under the NULL term the number of documents and their length in terms.
 
-
-def document_frequency(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    One pass over the corpus, written out, since every statistic below reads it. ``docs``: id, terms.
+    """
+    each = docs.select(F.size("terms").alias("dl"), F.explode(F.concat(
+        F.array(F.lit(None).cast("string")), F.array_distinct("terms"))).alias("term"))
+    return materialize(each.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("terms")), "corpus-counts")
 
 
-def corpus_stats(docs: DataFrame, epsilon: float = P.BM25_EPSILON) -> DataFrame:
+def corpus_stats(counts: DataFrame, epsilon: float = P.BM25_EPSILON) -> DataFrame:
     """(term, df, idf): a negative idf becomes epsilon times the mean idf of the vocabulary."""
-    n = corpus_size(docs).select("n_docs")
-    raw = document_frequency(docs).withColumn(
+    n = counts.where("term IS NULL").select("df")
+    raw = counts.where("term IS NOT NULL").withColumn(
         "raw", F.ln(n.scalar() - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     floor = raw.agg(F.avg("raw") * epsilon)
     return raw.select("term", "df", F.when(F.col("raw") < 0, floor.scalar()).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, stats: DataFrame | None = None,
+def mean_length(counts: DataFrame) -> DataFrame:
+    """One row: mean document length in terms."""
+    return counts.where("term IS NULL").select((F.col("terms") / F.col("df")).alias("avgdl"))
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, counts: DataFrame | None = None,
               k1: float = P.BM25_K1, b: float = P.BM25_B) -> DataFrame:
     """(qid, id, score, rank): exact BM25 top k among documents that share a term, ties by id.
 
@@ -40,7 +47,8 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, stats: DataFrame | No
     Only tokens the queries know are shuffled, once, by document; counting, scoring and summing then stay in that
     partitioning, and each partition cuts to k per query before the last shuffle.
     """
-    stats = corpus_stats(docs) if stats is None else stats
+    counts = corpus_counts(docs) if counts is None else counts
+    stats, avgdl = corpus_stats(counts), mean_length(counts)
     asked = queries.select("qid", (F.col("scope") if "scope" in queries.columns else F.array()).cast("array<string>").alias("scope"),
                            F.explode("terms").alias("term")).groupBy("qid", "scope", "term").agg(F.count("*").alias("mult"))
     small = fits_broadcast(asked, 160)
@@ -48,7 +56,6 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, stats: DataFrame | No
     weights = asked.join(stats, "term").select("term", "qid", "scope", (F.col("mult") * F.col("idf")).alias("weight"))
     hint = F.broadcast if small else (lambda df: df)
 
-    avgdl = corpus_size(docs).select("avgdl")
     tokens = docs.select("id", (F.col("key") if "key" in docs.columns else F.lit(None)).cast("string").alias("key"),
                          F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(hint(vocabulary), "term", "left_semi")
     counted = tokens.repartition("id").groupBy("id", "key", "dl", "term").agg(F.count("*").alias("f"))

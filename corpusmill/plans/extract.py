@@ -9,7 +9,10 @@ from corpusmill.operators import dedupe, sections as E
 from corpusmill.plans import compose as C
 from corpusmill.plans.registry import Tables, query
 
-MD = F.expr(C.MARKDOWN)
+
+def md():
+    return F.expr(C.MARKDOWN)
+
 
 # Lines of the composed Markdown with their running section number.
 SQL_SECTIONS = f"""WITH md AS (SELECT doc_id, {C.MARKDOWN} AS m FROM documents),
@@ -23,7 +26,7 @@ SQL_SECTIONS = f"""WITH md AS (SELECT doc_id, {C.MARKDOWN} AS m FROM documents),
 
 @query("split_sections", SQL_SECTIONS + "SELECT doc_id, section_id, level, heading, body FROM secs")
 def split_sections(t: Tables):
-    s = E.explode_sections(t.documents, "doc_id", MD)
+    s = E.explode_sections(t.documents, "doc_id", md())
     return s.select("doc_id", F.col("section_id").cast("bigint").alias("section_id"),
                     F.col("level").cast("bigint").alias("level"), "heading", "body")
 
@@ -31,7 +34,7 @@ def split_sections(t: Tables):
 @query("section_id", SQL_SECTIONS + """
 SELECT doc_id, sid AS section_id, count(*) AS n_lines, CAST(min(pos) AS BIGINT) AS first_line FROM sec GROUP BY doc_id, sid""")
 def section_id(t: Tables):
-    return E.section_ids(t.documents, "doc_id", MD).groupBy("doc_id", "section_id").agg(
+    return E.section_ids(t.documents, "doc_id", md()).groupBy("doc_id", "section_id").agg(
         F.count("*").alias("n_lines"), (F.min("pos") + 1).cast("bigint").alias("first_line"))
 
 
@@ -40,7 +43,7 @@ def section_id(t: Tables):
 SELECT doc_id, section_id, heading, CASE WHEN level > 2 THEN top END AS parent_heading,
  coalesce(lower(top) IN ('faqs', 'frequently asked questions'), false) AND level > 2 AS is_faq FROM p""")
 def parent_heading(t: Tables):
-    secs = E.explode_sections(t.documents, "doc_id", MD)
+    secs = E.explode_sections(t.documents, "doc_id", md())
     return E.parent_headings(secs, "doc_id").select(
         "doc_id", F.col("section_id").cast("bigint").alias("section_id"), "heading", "parent_heading", "is_faq")
 
@@ -50,7 +53,7 @@ SELECT doc_id, 1 AS faq_no, 'What is ' || lang || '?' AS question, 'It is' || ch
 UNION ALL SELECT doc_id, 2, 'How long is it?', {C.sql_strip(r"regexp_replace(text, '\s*\n\s*', chr(10), 'g')")} FROM documents
  WHERE {C.sql_strip('text')} <> ''""")
 def extract_faqs(t: Tables):
-    return t.documents.select("doc_id", F.posexplode(E.extract_faqs(MD)).alias("pos", "f")).select(
+    return t.documents.select("doc_id", F.posexplode(E.extract_faqs(md())).alias("pos", "f")).select(
         "doc_id", (F.col("pos") + 1).alias("faq_no"), "f.question", "f.answer")
 
 
@@ -59,8 +62,8 @@ SELECT doc_id, source AS category, 'Annualised returns' AS active_type, 2 AS n_t
 LATERAL (VALUES ('Fund returns', '1Y', '+' || (n_chars % 50) || '.5%'), ('Fund returns', '3Y', NULL), ('Fund returns', 'All', '+7.7%'),
  ('Rank', '1Y', CAST(doc_id % 9 AS VARCHAR)), ('Rank', '3Y', NULL), ('Rank', 'All', NULL)) v(metric, period, value)""")
 def unpivot_table(t: Tables):
-    context = E.table_context(MD)
-    return t.documents.select("doc_id", context.alias("x"), F.inline(E.unpivot_table(MD))).select(
+    context = E.table_context(md())
+    return t.documents.select("doc_id", context.alias("x"), F.inline(E.unpivot_table(md()))).select(
         "doc_id", "x.category", "x.active_type", F.size("x.available_types").alias("n_types"),
         "metric", "period", "value")
 
@@ -69,7 +72,7 @@ def unpivot_table(t: Tables):
 SELECT doc_id, row_no, name, sector, instrument, assets, CAST(doc_id % 4 AS INTEGER) AS reported, 2 AS extracted FROM documents,
 LATERAL (VALUES (1, 'Co A', lang, 'Equity', '7.5%'), (2, 'Co B', source, 'Debt', (n_chars % 10) || '%')) v(row_no, name, sector, instrument, assets)""")
 def pipe_rows(t: Tables):
-    rows = t.documents.select("doc_id", E.reported_count(MD).alias("reported"), E.pipe_rows(MD).alias("r"))
+    rows = t.documents.select("doc_id", E.reported_count(md()).alias("reported"), E.pipe_rows(md()).alias("r"))
     return rows.select("doc_id", "reported", F.size("r").alias("extracted"), F.posexplode("r").alias("p", "c")).select(
         "doc_id", (F.col("p") + 1).alias("row_no"), F.col("c")[0].alias("name"), F.col("c")[1].alias("sector"),
         F.col("c")[2].alias("instrument"), F.col("c")[3].alias("assets"), "reported", "extracted")
@@ -79,11 +82,11 @@ def pipe_rows(t: Tables):
 SELECT doc_id, '₹' || n_chars AS min_first, '₹1,000' AS min_sip, CAST(doc_id % 5 AS VARCHAR) AS rating, 'tail' AS about FROM documents""")
 def key_value_rows(t: Tables):
     # labels become columns inside the row: a pivot by key would shuffle every pair for nothing
-    pairs = F.map_from_entries(E.key_value_rows(MD, "Minimum amounts"))
+    pairs = F.map_from_entries(E.key_value_rows(md(), "Minimum amounts"))
     return t.documents.select(
         "doc_id", F.try_element_at(pairs, F.lit("Min. first")).alias("min_first"),
         F.try_element_at(pairs, F.lit("Min. SIP")).alias("min_sip"),
-        E.value_under(MD, "Rating").alias("rating"), E.heading_text(MD, "About").alias("about"))
+        E.value_under(md(), "Rating").alias("rating"), E.heading_text(md(), "About").alias("about"))
 
 
 @query("profile_blocks", """
@@ -91,7 +94,7 @@ SELECT doc_id, 1 AS block_no, 'Raj ' || source AS name, 'Oct 2023 - Present' AS
  'Prior to this ' || source AS experience FROM documents
 UNION ALL SELECT doc_id, 2, 'Ann ' || lang, 'Jan 2020 - Present', 'BCom', NULL FROM documents""")
 def profile_blocks(t: Tables):
-    return t.documents.select("doc_id", F.posexplode(E.profile_blocks(MD)).alias("pos", "p")).select(
+    return t.documents.select("doc_id", F.posexplode(E.profile_blocks(md())).alias("pos", "p")).select(
         "doc_id", (F.col("pos") + 1).alias("block_no"), "p.name", "p.tenure", "p.education", "p.experience")
 
 

@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.session import tune
+from corpusmill.session import spread, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Tables whose rows carry much work each, with the unique key to deal them by.
+WIDE_WORK = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "part": ["p_partkey"],
+             "embeddings": ["vec_id"]}
+
+
 class Tables:
     """The given tables by name, each read when asked for."""
 
@@ -20,7 +25,8 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df, WIDE_WORK[name]) if name in WIDE_WORK else df
 
 
 def query(key: str, sql: str | None = None):

@@ -91,7 +91,7 @@ long = lambda c: F.col(c).cast("bigint").alias(c)
 
 @query("corpus_stats", f"WITH {SQL_STATS} SELECT term, df, round(idf, 9) AS idf FROM idf")
 def corpus_stats(t: Tables):
-    return lexical.corpus_stats(documents(t)).select("term", "df", F.round("idf", 9).alias("idf"))
+    return lexical.corpus_stats(lexical.corpus_counts(documents(t))).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query("bm25_topk", f"""WITH {SQL_STATS}, q AS (SELECT item_id AS qid, {C.sql_terms('text')} AS terms, [] AS scope FROM benchmark),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Largest side that may be broadcast, in bytes of plan statistics or measured rows.
 BROADCAST_BYTES = 64 * 1024 * 1024
+NO_FILTER_BEFORE_EXPLODE = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
 
 
 def build_session(app: str = "corpusmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,6 +29,11 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # An explode of a computed array would be preceded by a filter that computes the whole array once more, and that
+    # filter moves into the scan stage. Here arrays are whole parsed documents, so the filter costs more than it saves.
+    excluded = spark.conf.get("spark.sql.optimizer.excludedRules", None) or ""
+    if NO_FILTER_BEFORE_EXPLODE not in excluded:
+        spark.conf.set("spark.sql.optimizer.excludedRules", ",".join(filter(None, [excluded, NO_FILTER_BEFORE_EXPLODE])))
     return spark
 
 
@@ -53,6 +59,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Deal a table that comes in fewer splits than there are cores over all cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """True when a count of ``df``, stopped just past the limit, stays inside the broadcast budget."""
     cap = max(1, limit // row_bytes)
