@@ -45,7 +45,7 @@ def alias_match_join(messages: DataFrame, aliases: DataFrame, key: str, text: st
     by_words = aliases.select("entity_id", F.lower("alias").alias("alias"),
                               F.array_join(F.regexp_extract_all(F.lower("alias"), F.lit(P.WORD), 0), " ").alias("gram"))
     grams = messages.select(key, F.lower(text).alias("_t"), F.explode(word_ngrams(F.col(text), longest)).alias("gram"))
-    quoted = rep(F.col("alias"), r"([^\p{L}\p{N}_ ])", r"\\\\$1")
+    quoted = rep(F.col("alias"), r"([^\p{L}\p{N}_ ])", r"\\$1")
     whole = F.regexp_like(F.col("_t"), F.concat(F.lit(r"(?iU)\b"), quoted, F.lit(r"\b")))
     return grams.join(by_words, "gram").where(whole).select(key, "entity_id").distinct()
 
@@ -65,7 +65,7 @@ def strip_aliases(matches: DataFrame, messages: DataFrame, aliases: DataFrame, k
         F.array_sort(F.collect_set(F.lower("alias")), lambda a, b: F.length(b) - F.length(a)).alias("_names"))
     joined = messages.join(names, key, "left")
     whole = lambda a: F.concat(
-        F.lit(r"(?iU)\b"), rep(a, r"([^\p{L}\p{N}_ ])", r"\\\\$1"), F.lit(r"\b"))
+        F.lit(r"(?iU)\b"), rep(a, r"([^\p{L}\p{N}_ ])", r"\\$1"), F.lit(r"\b"))
     less = F.aggregate(F.coalesce("_names", F.array().cast("array<string>")), F.col(text),
                        lambda acc, a: F.regexp_replace(acc, whole(a), F.lit(" ")))
     hit = F.col("_names").isNotNull() | F.col(text).rlike(alias_pattern(house))

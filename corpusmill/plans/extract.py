@@ -62,10 +62,9 @@ SELECT doc_id, source AS category, 'Annualised returns' AS active_type, 2 AS n_t
 LATERAL (VALUES ('Fund returns', '1Y', '+' || (n_chars % 50) || '.5%'), ('Fund returns', '3Y', NULL), ('Fund returns', 'All', '+7.7%'),
  ('Rank', '1Y', CAST(doc_id % 9 AS VARCHAR)), ('Rank', '3Y', NULL), ('Rank', 'All', NULL)) v(metric, period, value)""")
 def unpivot_table(t: Tables):
-    context = E.table_context(md())
-    return t.documents.select("doc_id", context.alias("x"), F.inline(E.unpivot_table(md()))).select(
-        "doc_id", "x.category", "x.active_type", F.size("x.available_types").alias("n_types"),
-        "metric", "period", "value")
+    found = t.documents.select("doc_id", E.table_context(md()).alias("x"), E.unpivot_table(md()).alias("u"))
+    return found.select("doc_id", "x.category", "x.active_type", F.size("x.available_types").alias("n_types"),
+                        F.explode("u").alias("r")).select("doc_id", "category", "active_type", "n_types", "r.*")
 
 
 @query("pipe_rows", """
