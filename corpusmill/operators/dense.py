@@ -19,8 +19,9 @@ from corpusmill.functions import patterns as P
 from corpusmill.session import BROADCAST_BYTES
 
 SCORE_DIGITS = 9
+# One block of vectors in a task; large blocks keep the number of partial results low.
 BLOCK_QUERIES = 2048
-BLOCK_VECTORS = 16384
+BLOCK_BYTES = 96 * 1024 * 1024
 # No score matrix in a task is larger than this many cells.
 CELLS = 4_000_000
 OUT = "qid bigint, id bigint, cosine double"
@@ -60,11 +61,22 @@ class Best:
                 scores = np.where(seen, scores, -np.inf)
             scores = np.concatenate([self.scores, scores], axis=1)
             all_ids = np.concatenate([self.ids, np.broadcast_to(ids[part], (len(self.qids), len(ids[part])))], axis=1)
+            scores, all_ids = self.contenders(scores, all_ids)
             # score descending, then id ascending; the cut keeps ties exact
             order = np.lexsort((all_ids, -scores), axis=1)[:, :self.k]
             self.scores = np.take_along_axis(scores, order, axis=1)
             self.ids = np.take_along_axis(all_ids, order, axis=1)
 
+    def contenders(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The columns that reach each query's k-th score, ties included; the rest need no sorting."""
+        if scores.shape[1] <= 2 * self.k:
+            return scores, ids
+        bar = np.partition(scores, -self.k, axis=1)[:, -self.k]
+        reach = scores >= bar[:, None]
+        width = int(reach.sum(axis=1).max())
+        first = np.argsort(~reach, axis=1, kind="stable")[:, :width]
+        return np.take_along_axis(scores, first, axis=1), np.take_along_axis(ids, first, axis=1)
+
     def table(self) -> pa.RecordBatch:
         rows, cols = np.nonzero(np.isfinite(self.scores))
         return pa.RecordBatch.from_arrays(
@@ -86,8 +98,9 @@ def _scored_in_place(queries: pa.Table, vectors: DataFrame, k: int) -> DataFrame
     return vectors.mapInArrow(score, OUT)
 
 
-def _scored_by_cell(queries: DataFrame, vectors: DataFrame, k: int, n_queries: int, n_vectors: int) -> DataFrame:
-    nq, nv = -(-n_queries // BLOCK_QUERIES), -(-n_vectors // BLOCK_VECTORS)
+def _scored_by_cell(queries: DataFrame, vectors: DataFrame, k: int, n_queries: int, n_vectors: int,
+                    dims: int) -> DataFrame:
+    nq, nv = -(-n_queries // BLOCK_QUERIES), max(1, -(-n_vectors * dims * 8 // BLOCK_BYTES))
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("vb", cells(nv))
     right = vectors.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn("qb", cells(nq))
@@ -109,13 +122,14 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, limit: int = BROA
     """
     q = queries.select("qid", "qvec", (F.col("scope") if "scope" in queries.columns else F.array()).cast("array<string>").alias("scope"))
     v = vectors.select("id", "vec", (F.col("key") if "key" in vectors.columns else F.lit(None)).cast("string").alias("key"))
-    dims = q.select(F.size("qvec").alias("d")).limit(1).collect()
-    cap = max(1, limit // (8 * max(1, dims[0].d if dims else 1)))
+    sizes = q.select(F.size("qvec").alias("d")).limit(1).collect()
+    dims = sizes[0].d if sizes else 1
+    cap = max(1, limit // (8 * dims))
     bounded = q.limit(cap + 1).toArrow()
     if bounded.num_rows <= cap:
         partial = _scored_in_place(bounded, v, k)
     else:
-        partial = _scored_by_cell(q, v, k, q.count(), v.count())
+        partial = _scored_by_cell(q, v, k, q.count(), v.count(), dims)
     return retriever_rank(partial, "cosine", "id", k)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,8 +63,8 @@ def is_up_to_date(spark: SparkSession, info_path: str, fingerprint: DataFrame, m
         fields = [*fingerprint.schema.fields, T.StructField("model", T.StringType())]
         stored = spark.read.schema(T.StructType(fields)).json(info_path).where(F.col("model") == model)
         return not stored.join(fingerprint, fingerprint.columns, "left_semi").isEmpty()
-    except Exception as error:  # no info written yet
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:  # no info written yet
+        if error.getCondition() == "PATH_NOT_FOUND":
             return False
         raise
 

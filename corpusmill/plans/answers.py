@@ -262,6 +262,5 @@ SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (P
 def stream_upsert(t: Tables):
     path = scratch_path(t.spark, "upserts")
     rows = arriving(t, "events").select("user_id", "event_type", "ts", "event_id", "value")
-    screen.upsert_batches(rows, path, f"{path}/progress", ["user_id", "event_type"], "ts").awaitTermination()
-    latest = screen.current_version(t.spark, path)
-    return t.spark.read.parquet(f"{path}/v{latest}").select("user_id", "event_type", "event_id", "value")
+    screen.upsert_batches(rows, path, f"{path}/progress", ["user_id", "event_type"], "ts", buckets=16).awaitTermination()
+    return screen.read_upserts(t.spark, path, rows.schema).select("user_id", "event_type", "event_id", "value")

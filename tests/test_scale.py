@@ -57,6 +57,17 @@ def test_latest_and_upsert(spark):
     assert got == {"a": "z", "b": "w", "c": "n"}
 
 
+def test_stream_upsert_over_batches_and_a_repeat(spark, tmp_path):
+    from corpusmill.streaming import screen
+    path = str(tmp_path / "table")
+    rows = lambda xs: spark.createDataFrame(xs, "k string, t int, v string")
+    merge = screen.upsert_batch(path, ["k"], "t", buckets=4)
+    merge(rows([("a", 1, "x"), ("b", 5, "y"), ("a", 0, "old")]), 0)
+    merge(rows([("a", 2, "z"), ("c", 0, "n")]), 1)
+    merge(rows([("a", 2, "z"), ("c", 0, "n")]), 1)  # the engine may run a batch again
+    assert {r.k: r.v for r in screen.read_upserts(spark, path, "k string, t int, v string").collect()} == {"a": "z", "b": "y", "c": "n"}
+
+
 def test_ranked_elements(spark):
     values = [5, 1, 1, 9, 7, 7]
     got = R.ranked_elements(spark.createDataFrame([(v,) for v in values], "v int"), F.col("v"), low=(0, 1), p10=(1, 10), median=(1, 2)).collect()[0]
@@ -83,8 +94,8 @@ def test_both_dense_routes_equal_brute_force(spark):
     for i in range(20):
         seen = [j for j in range(300) if not scopes[i] or keys[j] is None or keys[j] in scopes[i]]
         want[i] = sorted(seen, key=lambda j: (-scores[i, j], j))[:5]
-    blocks = dense.BLOCK_QUERIES, dense.BLOCK_VECTORS
-    dense.BLOCK_QUERIES, dense.BLOCK_VECTORS = 6, 64
+    blocks = dense.BLOCK_QUERIES, dense.BLOCK_BYTES
+    dense.BLOCK_QUERIES, dense.BLOCK_BYTES = 6, 64 * 16 * 8
     try:
         for limit in (1 << 20, 8 * 16 * 3):  # the second holds three queries only
             got = {}
@@ -92,7 +103,7 @@ def test_both_dense_routes_equal_brute_force(spark):
                 got.setdefault(r.qid, []).append(r.id)
             assert got == want
     finally:
-        dense.BLOCK_QUERIES, dense.BLOCK_VECTORS = blocks
+        dense.BLOCK_QUERIES, dense.BLOCK_BYTES = blocks
 
 
 def test_mmr_equals_brute_force(spark):

@@ -49,7 +49,7 @@ def test_refusals(spark, text, kind):
 
 
 @pytest.mark.parametrize("text,flag", [
-    ("You could choose this one.", False), ("You should choose this one.", True), ("We advise patience.", True),
+    ("You can choose this one.", False), ("You should choose this one.", True), ("We advise patience.", True),
     ("A smart choice overall.", True), ("It outperforms the rest.", True), ("The ratio is 0.6%.", False)])
 def test_advice_in_answers(spark, text, flag):
     assert value(spark, G.gives_advice(F.lit(text))) is flag
