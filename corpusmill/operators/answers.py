@@ -12,6 +12,7 @@ from corpusmill.functions import templates as X
 from corpusmill.functions.screening import finalize_answer, has_pii, refusal_kind
 from corpusmill.functions.text import extract_numbers, let, strip
 from corpusmill.operators import dense, facts as fact_ops, fusion
+from corpusmill.session import materialize
 
 REFUSALS = ("refuse_advice", "refuse_comparison")
 
@@ -192,7 +193,8 @@ def batch_answer(questions: DataFrame, facts: DataFrame, chunks: DataFrame, hous
     shape = ["qid", "handler", "text", "body", "citation_url", "last_updated"]
 
     asked = routed.where("handler = 'sql_fact'").select("qid", "scheme_ids", "fact_fields")
-    answered = assemble_answers(fact_ops.fields_cross(asked, facts), house).withColumn("handler", F.lit("sql_fact")).select(*shape)
+    answered = materialize(assemble_answers(fact_ops.fields_cross(asked, facts), house).withColumn(
+        "handler", F.lit("sql_fact")).select(*shape), "fact-answers")
     no_fact = asked.join(answered, "qid", "left_anti").select("qid", F.lit("not_found").alias("handler"))
 
     search = routed.where("handler = 'retrieval'").select(
@@ -207,7 +209,7 @@ def batch_answer(questions: DataFrame, facts: DataFrame, chunks: DataFrame, hous
     passages = F.coalesce(F.transform("hits", lambda h: h["passage"]), F.array().cast("array<string>"))
     fine = F.coalesce(F.col("best") >= P.MIN_DENSE_COSINE, F.lit(False)) & grounding_check(
         F.col("found"), F.col("answer"), F.col("source_id"), passages)
-    checked = judged.withColumn("fine", fine)
+    checked = materialize(judged.withColumn("fine", fine), "checked-answers")  # read by both outcomes below
     source = F.try_element_at(F.col("hits"), F.col("source_id"))
     explained = checked.where("fine").select("qid", finalized(
         house, strip(F.col("answer")), source["source_url"], F.left(source["scraped_at"], F.lit(10))).alias("a")).select(

@@ -36,13 +36,11 @@ def occurrence_no(df: DataFrame, keys: list[str], order: str, width: int = 100_0
     Rows are numbered inside (key, id range) cells and shifted by the sizes of the earlier cells of the key, so the
     largest sort holds ``width`` rows however many rows share one key.
     """
-    cell = F.floor(F.col(order) / width)
-    split = df.withColumn("_cell", cell)
+    split = df.withColumn("_cell", F.expr(f"`{order}` div {width}"))
     sizes = split.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = W.partitionBy(*keys, "_cell").orderBy(order)
-    on = [split[k].eqNullSafe(starts[k]) for k in [*keys, "_cell"]]
     numbered = split.withColumn("_rn", F.row_number().over(inside))
     on = [numbered[k].eqNullSafe(starts[k]) for k in [*keys, "_cell"]]
     return (numbered.join(starts, on).select(*[numbered[c] for c in df.columns],

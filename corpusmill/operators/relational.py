@@ -112,6 +112,14 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def ordered_string_agg(df: DataFrame, key: str, value: str, order: list[str], separator: str = ", ") -> DataFrame:
+    """Values of a key joined in order. The whole group becomes one text, so this is for child lists that are short
+    by nature (the managers of a scheme), not for keys that grow with the data.
+    """
+    by = ", ".join(f"`{o}`" for o in order)
+    return df.groupBy(key).agg(F.expr(f"listagg(`{value}`, '{separator}') WITHIN GROUP (ORDER BY {by})").alias("joined"))
+
+
 def failure_rate_gate(df: DataFrame, reason: Column, limit: float = P.MAX_FAILURE_RATE) -> DataFrame:
     """Entries, failures (neither duplicate nor dead page), rate and whether the run may be published."""
     failed = reason.isNotNull() & ~reason.isin("duplicate", "dead page")
@@ -166,12 +174,12 @@ def previous_rows(df: DataFrame, key: str, order: str, value: Column, n: int, wi
     """
     numbered = occurrence_no(df.withColumn("_v", value), [key], order, width)
     rn = F.col("occurrence_no")
-    cells = F.when(rn % width >= width - n, F.array(F.floor(rn / width), F.floor(rn / width) + 1)).otherwise(
-        F.array(F.floor(rn / width)))
+    home = F.expr(f"occurrence_no div {width}")
+    cells = F.when(rn % width >= width - n, F.array(home, home + 1)).otherwise(F.array(home))
     dealt = numbered.withColumn("_cell", F.explode(cells))
     w = W.partitionBy(key, "_cell").orderBy("occurrence_no").rowsBetween(-n, -1)
     return (dealt.withColumn("previous", F.collect_list("_v").over(w))
-            .where(F.col("_cell") == F.floor(rn / width)).drop("_cell", "_v", "occurrence_no"))
+            .where(F.col("_cell") == home).drop("_cell", "_v", "occurrence_no"))
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from corpusmill.functions import scalars as S
 from corpusmill.functions import text as X
 from corpusmill.operators import dedupe, facts, lookup, publish, relational as R
 from corpusmill.plans import compose as C
+from corpusmill.plans import facts as PF
 from corpusmill.plans.registry import Tables, query
 from corpusmill.session import scratch_path
 from corpusmill.sources import files
@@ -119,13 +120,11 @@ def duplicate_keys(t: Tables):
     return R.duplicate_keys(t.orders, "o_custkey")
 
 
-@query("ordered_string_agg", """
-SELECT r_name, string_agg(n_name || ' (since ' || n_nationkey || ')', ', ' ORDER BY n_nationkey) AS names
-FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+@query("ordered_string_agg", PF.SQL_FACTS + "SELECT scheme_id, managers AS names FROM mg")
 def ordered_string_agg(t: Tables):
-    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.groupBy("r_name").agg(F.expr(
-        "listagg(n_name || ' (since ' || n_nationkey || ')', ', ') WITHIN GROUP (ORDER BY n_nationkey)").alias("names"))
+    managers = facts.fact_tables(PF.facts_from_part(t))["fund_managers"].withColumn(
+        "shown", F.concat("name", F.lit(" (since "), "since", F.lit(")")))
+    return R.ordered_string_agg(managers, "scheme_id", "shown", ["since", "name"]).withColumnRenamed("joined", "names")
 
 
 REASON = "CASE WHEN quality = 0 AND toxic = 1 THEN 'no article found' WHEN toxic = 1 THEN 'dead page' WHEN quality = 0 THEN 'duplicate' END"
