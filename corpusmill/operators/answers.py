@@ -125,9 +125,9 @@ def assemble_answers(pairs: DataFrame, house: House) -> DataFrame:
     """
     grouped = pairs.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("scheme_pos", "field_pos", "sentence"))).alias("s"),
-        F.count_distinct("scheme_id").alias("n_schemes"), F.min_by("source_url", F.struct("scheme_pos", "field_pos")).alias("url"),
+        (F.min("scheme_id") == F.max("scheme_id")).alias("one"), F.min_by("source_url", F.struct("scheme_pos", "field_pos")).alias("url"),
         F.max("scraped_at").alias("updated"))
-    one = F.col("n_schemes") == 1
+    one = F.col("one")
     texts = F.transform("s", lambda x: x["sentence"])
     body = F.when(one, F.array_join(texts, " ")).otherwise(F.array_join(F.transform(texts, lambda x: F.concat(F.lit("- "), x)), "\n"))
     url = F.when(one, F.col("url")).otherwise(F.lit(house.links["list"]))
