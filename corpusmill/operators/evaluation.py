@@ -25,7 +25,7 @@ def retrieval_metrics(queries: DataFrame, hits: DataFrame, relevant: Column, *co
 def threshold_calibration(best: DataFrame, threshold: float = P.MIN_DENSE_COSINE, show: int = 4) -> DataFrame:
     """One row: wrongly refused and wrongly accepted questions, spread of in-scope scores, highest off-topic scores.
 
-    ``best``: qid, best_cosine (rounded, so that its histogram is bounded), off_topic.
+    ``best``: qid, best_cosine (rounded by the search, one per question), off_topic.
     """
     inside, off = best.where(~F.col("off_topic")), best.where("off_topic")
     counts = best.agg(

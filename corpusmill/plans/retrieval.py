@@ -95,10 +95,10 @@ def corpus_stats(t: Tables):
 
 
 @query("bm25_topk", f"""WITH {SQL_STATS}, q AS (SELECT item_id AS qid, {C.sql_terms('text')} AS terms, [] AS scope FROM benchmark),
- {sql_bm25('b', 'q', 20)} SELECT qid, id, round(score, 6) AS score, rank FROM b""")
+ {sql_bm25('b', 'q', 20)} SELECT qid, id, score, rank FROM b""")
 def bm25_topk(t: Tables):
     q = t.benchmark.select(F.col("item_id").alias("qid"), X.tokenize_terms(F.col("text")).alias("terms"))
-    return lexical.bm25_topk(q, documents(t), 20).select("qid", "id", F.round("score", 6).alias("score"), long("rank"))
+    return lexical.bm25_topk(q, documents(t), 20).select("qid", "id", "score", long("rank"))
 
 
 NAME_TEXT = """'price of the ' || p_type || ' ' || p_name || CASE p_partkey % 9 WHEN 0 THEN ' of all' WHEN 1 THEN ' schemes' ELSE '' END"""
@@ -134,9 +134,9 @@ def vectors(t: Tables):
 SQL_SELF = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, CAST(label AS VARCHAR) AS key, label FROM embeddings), q AS (SELECT id AS qid, v AS qvec, label, [] AS scope, [key] AS own FROM e)"
 
 
-@query("dense_topk", f"WITH {SQL_SELF}, {sql_dense('d', 'q', 'e', 5)} SELECT qid, id, round(cosine, 6) AS cosine, rank FROM d")
+@query("dense_topk", f"WITH {SQL_SELF}, {sql_dense('d', 'q', 'e', 5)} SELECT qid, id, cosine, rank FROM d")
 def dense_topk(t: Tables):
-    return dense.dense_topk(self_queries(t), vectors(t), 5).select("qid", "id", F.round("cosine", 6).alias("cosine"), long("rank"))
+    return dense.dense_topk(self_queries(t), vectors(t), 5).select("qid", "id", "cosine", long("rank"))
 
 
 @query("retriever_rank", f"""WITH {SQL_SELF}, {sql_dense('d', 'q', 'e', 20)} SELECT qid, id, rank, round(1.0 / (60 + rank), 9) AS weight FROM d""")
@@ -154,10 +154,10 @@ def l2_to_cosine(t: Tables):
     return a.join(b, "a").select("a", "b", F.round(S.l2_to_cosine(d2), 6).alias("cosine"))
 
 
-@query("dense_filtered", f"WITH {SQL_SELF}, q2 AS (SELECT qid, qvec, own AS scope FROM q), {sql_dense('d', 'q2', 'e', 5)} SELECT qid, id, round(cosine, 6) AS cosine, rank FROM d")
+@query("dense_filtered", f"WITH {SQL_SELF}, q2 AS (SELECT qid, qvec, own AS scope FROM q), {sql_dense('d', 'q2', 'e', 5)} SELECT qid, id, cosine, rank FROM d")
 def dense_filtered(t: Tables):
     q = self_queries(t).withColumn("scope", F.array(F.col("label").cast("string")))
-    return dense.dense_topk(q, vectors(t), 5).select("qid", "id", F.round("cosine", 6).alias("cosine"), long("rank"))
+    return dense.dense_topk(q, vectors(t), 5).select("qid", "id", "cosine", long("rank"))
 
 
 # Greedy selection per query has no plain SQL; the first pick and the candidate set are checked in tests.
@@ -167,12 +167,12 @@ def mmr(t: Tables):
 
 
 @query("confidence_flag", f"""WITH {SQL_SELF}, q2 AS (SELECT qid, qvec, CASE WHEN qid % 7 = 0 THEN ['none'] ELSE [CAST((label + 1) % 10 AS VARCHAR)] END AS scope FROM q),
- {sql_dense('d', 'q2', 'e', 1)} SELECT qid, round(coalesce(cosine, 0), 6) AS best_cosine, coalesce(cosine, 0) >= 0.3 AS confident FROM q2 LEFT JOIN d USING (qid)""")
+ {sql_dense('d', 'q2', 'e', 1)} SELECT qid, coalesce(cosine, 0) AS best_cosine, coalesce(cosine, 0) >= 0.3 AS confident FROM q2 LEFT JOIN d USING (qid)""")
 def confidence_flag(t: Tables):
     q = self_queries(t).withColumn("scope", F.when(F.col("qid") % 7 == 0, F.array(F.lit("none"))).otherwise(
         F.array(((F.col("label") + 1) % 10).cast("string"))))
     return dense.confidence_flag(q, dense.dense_topk(q, vectors(t), 1)).select(
-        "qid", F.round("best_cosine", 6).alias("best_cosine"), "confident")
+        "qid", "best_cosine", "confident")
 
 
 # ---- fusion ----
@@ -209,10 +209,10 @@ def protect_top1(t: Tables):
 @query("weighted_score_fuse", SQL_BOTH + """, s AS (SELECT qid, id, score / max(score) OVER (PARTITION BY qid) * 0.4 AS s FROM b WHERE rank <= 10
  UNION ALL SELECT qid, id, (1 - (2 - 2 * cosine) / (max(2 - 2 * cosine) OVER (PARTITION BY qid) + 0.01)) * 0.6 FROM d WHERE rank <= 10),
  f AS (SELECT qid, id, round(sum(s), 9) AS score FROM s GROUP BY qid, id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f)
-SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+SELECT qid, id, score, rank FROM r WHERE rank <= 5""")
 def weighted_score_fuse(t: Tables):
     vec, kw = both_lists(t)
-    return fusion.weighted_score_fuse(kw, vec, 5).select("qid", "id", F.round("score", 6).alias("score"), long("rank"))
+    return fusion.weighted_score_fuse(kw, vec, 5).select("qid", "id", "score", long("rank"))
 
 
 SQL_HYBRID = f"""WITH {SQL_STATS}, {SQL_VECS}, {SQL_ASK}, qq AS (SELECT qid, {C.sql_terms('text')} AS terms, scope, qvec FROM q JOIN qv USING (qid)),
@@ -278,7 +278,7 @@ def retrieval_metrics(t: Tables):
 
 
 @query("threshold_calibration", f"""WITH {SQL_SELF}, c AS (SELECT * FROM e WHERE label < 7), {sql_dense('d', 'q', 'c', 2)},
- b AS (SELECT qid, label >= 7 AS off_topic, round(coalesce(max(cosine), 0), 6) AS s FROM q LEFT JOIN (SELECT * FROM d WHERE id <> qid) USING (qid) GROUP BY qid, label),
+ b AS (SELECT qid, label >= 7 AS off_topic, coalesce(max(cosine), 0) AS s FROM q LEFT JOIN (SELECT * FROM d WHERE id <> qid) USING (qid) GROUP BY qid, label),
  i AS (SELECT list_sort(list(s)) AS l, count(*) AS n FROM b WHERE NOT off_topic)
 SELECT (SELECT count(*) FROM b WHERE NOT off_topic) AS n_in_scope, (SELECT count(*) FROM b WHERE off_topic) AS n_off_topic, (SELECT count(*) FROM b WHERE NOT off_topic AND s < 0.3) AS refused,
  (SELECT count(*) FROM b WHERE off_topic AND s >= 0.3) AS accepted, l[1] AS low, l[n // 10 + 1] AS p10, l[n // 2 + 1] AS median,
@@ -288,8 +288,7 @@ def threshold_calibration(t: Tables):
     corpus = t.embeddings.where("label < 7").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     others = dense.dense_topk(q, corpus, 2).where("id <> qid").drop("rank")
     best = dense.confidence_flag(q, dense.retriever_rank(others, "cosine", "id", 1))
-    scored = q.select("qid", (F.col("label") >= 7).alias("off_topic")).join(best, "qid").select(
-        "qid", "off_topic", F.round("best_cosine", 6).alias("best_cosine"))
+    scored = q.select("qid", (F.col("label") >= 7).alias("off_topic")).join(best, "qid").select("qid", "off_topic", "best_cosine")
     return evaluation.threshold_calibration(scored)
 
 
