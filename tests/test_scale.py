@@ -202,3 +202,15 @@ def test_replacing_children_twice_changes_nothing(spark):
 def test_materialize_cuts_the_lineage(spark):
     df = materialize(spark.range(100).withColumn("x", F.col("id") * 2), "probe")
     assert "Range" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 100
+
+
+def test_tasks_need_no_installed_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    payload = tmp_path / "best.pkl"
+    payload.write_bytes(cloudpickle.dumps((dense.Best, dense.matrix)))
+    code = f"import pickle; print(pickle.load(open({str(payload)!r}, 'rb'))[0].__name__)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"}).stdout.strip() == "Best"
