@@ -117,3 +117,17 @@ def op6_preferences(spark, folder):
     from corpusmill.llm.preferences import preference_pairs, with_first_reply
     said = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return preference_pairs(said.withColumnRenamed("conv_id", "pair_id"), with_first_reply(said).withColumnRenamed("conv_id", "pair_id"))
+
+
+@query("op9_pii")
+def op9_pii(spark, folder):
+    from corpusmill.llm.pii import BASE_KINDS, find, fit, span_text
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = find(docs, fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(span_text(base), 256).alias("base_sha256"),
+                        span_text(F.col("spans")).alias("spans"))
