@@ -131,3 +131,9 @@ def op9_pii(spark, folder):
 
     return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(span_text(base), 256).alias("base_sha256"),
                         span_text(F.col("spans")).alias("spans"))
+
+
+@query("op1_ngram_join")
+def op1_ngram_join(spark, folder):
+    from corpusmill.llm.ngram_join import jaccard_join
+    return jaccard_join(read(spark, folder, "documents"))
