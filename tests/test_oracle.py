@@ -2,11 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from corpusmill.plans import load_all, registry
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+load_all()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES  # the training-data queries have tests of their own
 
 
 @pytest.fixture(scope="module")
