@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from corpusmill.session import materialize
 
 STAR = "node bigint, root bigint"
+#: Links that one task contracts; about 100 bytes of memory each.
+LINKS_A_TASK = 1_000_000
 
 
 def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,18 +40,22 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every id that reaches a smaller one through ``links`` (a, b); root is the smallest id reached.
 
-    Each partition contracts its own links to stars; the roots that different partitions give the same node are linked in
-    the next round. Roots only get smaller, and a round without such nodes ends it. Nothing is gathered.
+    ``links`` should be a written table: it is counted, and read by as many tasks as hold LINKS_A_TASK links each. Each
+    task contracts its own links to stars; the roots that different tasks give the same node are linked in the next round.
+    Roots only get smaller, and a round without such nodes ends it. Nothing is gathered in one place.
     """
-    edges = links.select(F.col("a").alias("node"), F.col("b").alias("root")).where("node <> root")
+    edges, found = links.select(F.col("a").alias("node"), F.col("b").alias("root")), links.count()
     while True:
-        stars = materialize(edges.mapInArrow(contract, STAR), "stars")
-        least = stars.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-        # A root that has a smaller root elsewhere is a node too.
-        open_ = least.where("least < most").limit(1).count() or stars.select(F.col("root").alias("node")).join(
-            stars.select("node"), "node", "left_semi").limit(1).count()
-        if not open_:
+        tasks = -(-found // LINKS_A_TASK) or 1
+        stars = materialize(edges.coalesce(tasks).mapInArrow(contract, STAR), "stars")
+        if tasks == 1:
             return stars
-        joined = stars.join(least.select("node", "least"), "node")
+        least = stars.groupBy("node").agg(F.min("root").alias("least"))
+        joined = stars.join(least, "node")
+        # A root that has a smaller root elsewhere is a node too.
         edges = materialize(joined.select("node", F.col("least").alias("root")).union(
             joined.where("root > least").select(F.col("root").alias("node"), F.col("least").alias("root"))).distinct(), "edges")
+        found = edges.count()
+        nodes = edges.select("node").distinct()
+        if nodes.count() == found and not edges.select(F.col("root").alias("node")).join(nodes, "node", "left_semi").limit(1).count():
+            return edges

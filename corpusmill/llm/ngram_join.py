@@ -34,7 +34,8 @@ PACK_GRAMS, PACK_DOCS, HOT_SHARE, HOT_LEAST = 1_500_000, 60_000, 16, 64
 HOT = 0xFFFF
 #: Postings of one n-gram that are compared in one task; longer lists are compared in tiles.
 TILE = 2048
-CHEAP_ROUNDS = 3
+#: Width of a band of sizes, as a logarithm.
+SIZE_BAND = 0.1
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MESSAGE = pa.schema([("dealt", pa.int32()), ("pack", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 MESSAGE_DDL = "dealt int, pack bigint, kind int, payload binary"
@@ -308,7 +309,7 @@ def columns(batch) -> dict[str, np.ndarray]:
 
 
 def side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours in sorted lists that belong to different components and pass the filters."""
+    """Neighbours in sorted lists that pass the filters."""
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -319,7 +320,7 @@ def side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = {k: v[-1:] for k, v in c.items()}
         x, y = ({k: v[s] for k, v in c.items()} for s in (slice(None, -1), slice(1, None)))
         signs = [[z[f"s{i}"] for i in range(4)] for z in (x, y)]
-        fine = ((x["gram"] == y["gram"]) & (x["root"] != y["root"])
+        fine = ((x["gram"] == y["gram"]) & (x["cid"] != y["cid"])
                 & possible(x["n"], x["m"], x["pos"], signs[0], y["n"], y["m"], y["pos"], signs[1]))
         if fine.any():
             pair = np.stack([x["cid"][fine], y["cid"][fine]])
@@ -327,23 +328,47 @@ def side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
 
-def tile_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of one tile, across components, that pass the filters."""
-    c = columns(table.combine_chunks().to_batches()[0]) if table.num_rows else None
-    found = []
-    if c is not None:
-        i, j = int(c["i"][0]), int(c["j"][0])
-        left, right = np.flatnonzero(c["block"] == i), np.flatnonzero(c["block"] == j)
-        for start in range(0, len(left), 256):
-            rows = left[start:start + 256]
-            x = {k: v[rows][:, None] for k, v in c.items()}
-            y = {k: v[right][None, :] for k, v in c.items()}
-            fine = (x["root"] != y["root"]) & possible(x["n"], x["m"], x["pos"], [x[f"s{s}"] for s in range(4)],
-                                                       y["n"], y["m"], y["pos"], [y[f"s{s}"] for s in range(4)])
-            a, b = np.nonzero(fine)
-            found.append(np.stack([c["cid"][rows[a]], c["cid"][right[b]]]))
-    pair = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pa.table([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each tile, across components, that pass the filters. Rows come sorted by tile; all tiles of a batch are
+    compared at once, each row with the one that stands d places behind it, for d = 1, 2 ... while it is of its tile."""
+    rest: dict[str, np.ndarray] = {}
+
+    def pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        new = np.zeros(len(c["gram"]), dtype=bool)
+        for k in ("gram", "i", "j"):
+            new[1:] |= c[k][1:] != c[k][:-1]
+        tile = np.cumsum(new)
+        signs = [c[f"s{i}"] for i in range(4)]
+        found, at, d = [np.zeros((2, 0), np.int64)], np.arange(len(tile)), 1
+        while True:
+            at = at[at + d < len(tile)]
+            at = at[tile[at] == tile[at + d]]
+            if not len(at):
+                break
+            for k in range(0, len(at), 1 << 18):
+                x = at[k:k + (1 << 18)]
+                y = x + d
+                apart = (c["root"][x] != c["root"][y]) & ((c["i"][x] == c["j"][x]) | (c["block"][x] != c["block"][y]))
+                x, y = x[apart], y[apart]
+                fine = possible(c["n"][x], c["m"][x], c["pos"][x], [s[x] for s in signs], c["n"][y], c["m"][y], c["pos"][y], [s[y] for s in signs])
+                found.append(np.stack([c["cid"][x[fine]], c["cid"][y[fine]]]))
+            d += 1
+        pair = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = columns(batch)
+        if rest:
+            c = {k: np.concatenate([rest[k], v]) for k, v in c.items()}
+        same = np.logical_and.reduce([c[k] == c[k][-1] for k in ("gram", "i", "j")])
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        rest = {k: v[cut:] for k, v in c.items()}
+        if cut:
+            yield pairs({k: v[:cut] for k, v in c.items()})
+    if rest:
+        yield pairs(rest)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -383,30 +408,24 @@ def links_and_roots(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     listed = sets.mapInArrow(postings, POSTING_DDL)
     shared = listed.groupBy("gram").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("gram")
     listed = materialize(listed.join(shared, "gram", "left_semi"), "gram-postings")
-    empty = spark.createDataFrame([], PAIR_DDL)
-    roots, links = spark.createDataFrame([], "node bigint, root bigint"), empty
-
-    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        # Ids and roots are dealt by id; a class has as many postings as its prefix is long.
-        return rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    orders = [["n", "cid"], ["pos", "s0"], ["s1", "n"]]
-    for order in orders[:CHEAP_ROUNDS]:
-        # Sorted by range, so that a list of any length is spread; a pair that a range's end parts is left to the tiles.
-        near = rooted(listed, roots).repartitionByRange(parts, "gram", *order).sortWithinPartitions("gram", *order)
-        new = materialize(verify(near.mapInArrow(side_by_side, PAIR_DDL), sets).select("a", "b"), "gram-links")
-        links = links.union(new)
-        roots = components(links)
-
-    # Lists with more than one component left, in tiles of at most TILE postings a side.
-    whole = rooted(listed, roots)
+    # Inside a list, sets of about equal size are in an order that differs from list to list, so that a large group of near
+    # copies meets in many different pairs and ends up in one component. Sorted by range, so that a list of any length is
+    # spread; a pair that a range's end parts is left to the tiles.
+    order = [F.floor(F.log(F.col("n")) / SIZE_BAND).alias("band"), F.xxhash64("gram", "cid").alias("turn")]
+    near = listed.select("*", *order).repartitionByRange(parts, "gram", "band", "turn").sortWithinPartitions("gram", "band", "turn")
+    links = materialize(verify(near.mapInArrow(side_by_side, PAIR_DDL), sets).select("a", "b"), "gram-links")
+    roots = components(links)
+
+    # Lists with more than one component left, in tiles of at most TILE postings a side. A class has as many postings as
+    # its prefix is long, so the join by class is even.
+    whole = listed.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed_lists = whole.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where(
         "lo < hi").select("gram", F.ceil(F.col("size") / TILE).alias("blocks"))
     blocked = whole.join(mixed_lists, "gram").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     tiles = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
         {"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
-    pairs = tiles.groupBy("gram", "i", "j").applyInArrow(tile_pairs, PAIR_DDL)
+    pairs = tiles.repartition(parts, "gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(tile_pairs, PAIR_DDL)
     links = materialize(links.union(verify(pairs, sets).select("a", "b")), "gram-links")
     return links, components(links)
 
