@@ -154,7 +154,7 @@ class ForcedBoundaryBpe:
                 parts.append([chunk[:-1].lower() if self.lowers else chunk[:-1], chunk[-1]])
             else:
                 parts.append([w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))])
-        missing = list({w for p in parts for w in p} - self.words.keys())
+        missing = [w for w in {w for p in parts for w in p} if w not in self.words]
         if missing:
             self.words.update(zip(missing, self.encode_words(missing)))
         words = self.words
@@ -167,7 +167,7 @@ class ForcedBoundaryBpe:
         seen = set(chain.from_iterable(chunks for pieces in split for chunks, _ in pieces))
         if len(self.chunks) + len(seen) > REMEMBERED:
             self.chunks.clear()
-        self.learn(list(seen - self.chunks.keys()))
+        self.learn([c for c in seen if c not in self.chunks])
         out = []
         for pieces in split:
             ids: list[int] = []
