@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     grouped = ngram_join.jaccard_join(docs)
     gone = grouped.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
-    return columns(kept.where(F.col("doc_id").isNull()).union(kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])), docs)
+    return columns(kept.where(F.col("doc_id").isNull()).union(kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
