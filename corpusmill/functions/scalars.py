@@ -32,11 +32,13 @@ def null_markers(c: Column, markers: tuple[str, ...] = ("--", "")) -> Column:
 
 
 def grouped(c: Column) -> Column:
-    """Thousands groups with the number's own decimals: 1234.5 -> 1,234.5 and 900.0 -> 900.0."""
-    plain = c.cast("decimal(28,6)")
+    """Thousands groups with the number's own decimals: 1234.5 -> 1,234.5 and 900.0 -> 900.0. A number that needs more
+    than 20 digits before or 18 after the point stays as it is written."""
+    plain = c.try_cast("decimal(38,18)")
     decimals = F.regexp_extract(rep(plain.cast("string"), r"(\.\d+?)0+$", "$1"), r"(\.\d+)$", 1)
     sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, F.format_number(F.floor(F.abs(plain)), 0), decimals)
+    exact = plain.cast("double") == c.cast("double")
+    return F.when(exact, F.concat(sign, F.format_number(F.floor(F.abs(plain)), 0), decimals)).otherwise(c.cast("string"))
 
 
 def format_currency(c: Column, decimals: int | None = 0, unit: str = "") -> Column:
@@ -83,7 +85,7 @@ def url_slug(url: Column) -> Column:
 
 def url_topic(url: Column, prefix: str) -> Column:
     """First path segment after a fixed prefix."""
-    return F.split_part(F.when(url.startswith(prefix), F.substring(url, len(prefix) + 1, 10_000_000)).otherwise(url),
+    return F.split_part(F.when(url.startswith(prefix), F.substr(url, F.lit(len(prefix) + 1))).otherwise(url),
                         F.lit("/"), F.lit(1))
 
 

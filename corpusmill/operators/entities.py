@@ -26,33 +26,41 @@ def resolve_entities(text: Column, aliases: dict[str, list[str]], house: list[st
     return F.struct(ids.alias("ids"), F.coalesce(F.nullif(out, F.lit("")), text).alias("stripped"))
 
 
-def word_ngrams(text: Column, longest: int) -> Column:
+def n_words(names: DataFrame, column: str) -> Column:
+    """Words of the longest name, as a scalar."""
+    return names.agg(F.max(F.size(F.regexp_extract_all(F.lower(column), F.lit(P.WORD), 0)))).scalar()
+
+
+def word_ngrams(text: Column, longest: Column) -> Column:
     """Distinct runs of 1..longest consecutive words, lower-case, single spaces."""
     found = F.regexp_extract_all(F.lower(text), F.lit(P.WORD), 0)
-    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.greatest(F.size(found), F.lit(1))))
+    sizes = F.sequence(F.lit(1), F.least(F.coalesce(longest, F.lit(1)), F.greatest(F.size(found), F.lit(1))))
     runs = F.flatten(F.transform(sizes, lambda n: F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(found) - n, F.lit(0))),
         lambda i: F.array_join(F.slice(found, i + 1, n), " "))))
     return F.array_distinct(runs)
 
 
-def alias_match_join(messages: DataFrame, aliases: DataFrame, key: str, text: str, longest: int = 4) -> DataFrame:
+def alias_match_join(messages: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
     """(key, entity_id) for a table of aliases of any size.
 
     The words of a message meet the words of an alias by equi-join; the alias itself is then looked for as a whole word
-    in the message, so punctuation inside it counts. ``aliases``: entity_id, alias of at most ``longest`` words.
+    in the message, so punctuation inside it counts. ``aliases``: entity_id, alias of any number of words; runs of the
+    message are as long as the longest alias. The alias side is small as a rule, and then AQE broadcasts it.
     """
     by_words = aliases.select("entity_id", F.lower("alias").alias("alias"),
                               F.array_join(F.regexp_extract_all(F.lower("alias"), F.lit(P.WORD), 0), " ").alias("gram"))
-    grams = messages.select(key, F.lower(text).alias("_t"), F.explode(word_ngrams(F.col(text), longest)).alias("gram"))
+    grams = messages.withColumn("_longest", n_words(aliases, "alias")).select(
+        key, F.lower(text).alias("_t"), F.explode(word_ngrams(F.col(text), F.col("_longest"))).alias("gram"))
     quoted = rep(F.col("alias"), r"([^\p{L}\p{N}_ ])", r"\\$1")
     whole = F.regexp_like(F.col("_t"), F.concat(F.lit(r"(?iU)\b"), quoted, F.lit(r"\b")))
     return grams.join(by_words, "gram").where(whole).select(key, "entity_id").distinct()
 
 
-def bind_alias_keys(aliases: DataFrame, entities: DataFrame, longest: int = 4) -> DataFrame:
+def bind_alias_keys(aliases: DataFrame, entities: DataFrame) -> DataFrame:
     """Aliases keyed by a distinctive part of an entity id, bound to the first entity whose id holds that part."""
-    parts = entities.select("entity_id", F.explode(word_ngrams(F.col("entity_id"), longest)).alias("part"))
+    parts = entities.withColumn("_longest", n_words(aliases, "alias_key")).select(
+        "entity_id", F.explode(word_ngrams(F.col("entity_id"), F.col("_longest"))).alias("part"))
     bound = parts.groupBy("part").agg(F.min("entity_id").alias("entity_id"))
     keyed = aliases.withColumn("part", F.array_join(F.regexp_extract_all(F.lower("alias_key"), F.lit(P.WORD), 0), " "))
     return keyed.join(bound, "part").select("entity_id", "alias")

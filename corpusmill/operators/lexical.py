@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import patterns as P
 from corpusmill.operators.dense import retriever_rank
-from corpusmill.session import fits_broadcast, materialize
+from corpusmill.session import materialize
 
 SCORE_DIGITS = 9
 
@@ -51,18 +51,16 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, counts: DataFrame | N
     stats, avgdl = corpus_stats(counts), mean_length(counts)
     asked = queries.select("qid", (F.col("scope") if "scope" in queries.columns else F.array()).cast("array<string>").alias("scope"),
                            F.explode("terms").alias("term")).groupBy("qid", "scope", "term").agg(F.count("*").alias("mult"))
-    small = fits_broadcast(asked, 160)
     vocabulary = asked.select("term").distinct()
     weights = asked.join(stats, "term").select("term", "qid", "scope", (F.col("mult") * F.col("idf")).alias("weight"))
-    hint = F.broadcast if small else (lambda df: df)
 
     tokens = docs.select("id", (F.col("key") if "key" in docs.columns else F.lit(None)).cast("string").alias("key"),
-                         F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(hint(vocabulary), "term", "left_semi")
+                         F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi")
     counted = tokens.repartition("id").groupBy("id", "key", "dl", "term").agg(F.count("*").alias("f"))
     part = counted.select("id", "key", "term", (F.col("f") * (k1 + 1) / (
         F.col("f") + k1 * (1 - b + b * F.col("dl") / avgdl.scalar()))).alias("part"))
     seen = (F.size("scope") == 0) | F.col("key").isNull() | F.array_contains("scope", F.col("key"))
-    scored = part.join(hint(weights), "term").where(seen).groupBy("id", "qid").agg(
+    scored = part.join(weights, "term").where(seen).groupBy("id", "qid").agg(
         F.round(F.sum(F.col("weight") * F.col("part")), SCORE_DIGITS).alias("score")).where("score > 0")
     return retriever_rank(scored, "score", "id", k).select("qid", "id", "score", "rank")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import fits_broadcast
 
 
 def metadata_filter(df: DataFrame, **equal) -> DataFrame:
@@ -22,5 +21,4 @@ def point_lookup(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 def in_list_filter(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """``key IN (list)`` where the list is a table; a semi-join needs no distinct on the list."""
-    small = keys.select(on)
-    return df.join(F.broadcast(small) if fits_broadcast(small, 64) else small, on, "left_semi")
+    return df.join(keys.select(on), on, "left_semi")

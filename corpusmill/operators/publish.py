@@ -13,14 +13,25 @@ from corpusmill.session import scratch_path
 
 
 class Rejected(Exception):
-    """Data that failed its checks; nothing was written."""
+    """Data that failed its checks; nothing was written. ``report``: path of the table of all problems, if there is one."""
 
+    def __init__(self, message: str, report: str | None = None):
+        super().__init__(message)
+        self.report = report
 
-def publish_if_valid(problems: DataFrame, write: Callable[[], None], show: int = 20) -> None:
-    """Run ``write`` only when there is no problem row. At most ``show`` problems travel to the driver, as the message."""
-    found = problems.limit(show).collect()
+
+def publish_if_valid(problems: DataFrame, write: Callable[[], None], report: str | None = None) -> None:
+    """Run ``write`` only when there is no problem row.
+
+    Problems are evaluated once, into a table at ``report`` (the shared folder by default) that lists every one; the
+    rejection says how many there are and where, and has the table's path as ``report``.
+    """
+    spark = problems.sparkSession
+    path = report or scratch_path(spark, "problems")
+    problems.write.mode("overwrite").parquet(path)
+    found = spark.read.schema(problems.schema).parquet(path).count()
     if found:
-        raise Rejected("; ".join(" ".join(str(v) for v in r) for r in found))
+        raise Rejected(f"{found} problems, listed in {path}", path)
     write()
 
 

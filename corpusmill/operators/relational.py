@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from corpusmill.functions import patterns as P
 from corpusmill.functions.text import extract_numbers
 from corpusmill.operators.dedupe import occurrence_no
-from corpusmill.session import join_small
 
 
 # ---- joins ----
@@ -17,8 +16,8 @@ from corpusmill.session import join_small
 def fact_dim_join(fact: DataFrame, dim: DataFrame, on: str, keys: DataFrame | None = None) -> DataFrame:
     """Inner join of a fact table with its dimension, the key list applied to the fact side before the join."""
     if keys is not None:
-        fact = join_small(fact, keys.select(on), on, "left_semi", 64)
-    return join_small(fact, dim, on)
+        fact = fact.join(keys.select(on), on, "left_semi")
+    return fact.join(dim, on)
 
 
 def provenance_join(records: DataFrame, manifest: DataFrame, on: str, columns: list[str]) -> DataFrame:
@@ -145,8 +144,11 @@ def accuracy_by_class(df: DataFrame, expected: str, got: str) -> DataFrame:
         F.round(F.col("correct") / F.col("total"), 6).alias("accuracy"))
 
 
-def metric_means(df: DataFrame, *metrics: str) -> DataFrame:
-    return df.agg(*[F.round(F.avg(m), 6).alias(m) for m in metrics])
+def metric_means(df: DataFrame, group: str, *metrics: str) -> DataFrame:
+    """Means and row counts per group and over all rows (group ``MEAN``), rounded to six digits."""
+    return df.rollup(group).agg(
+        *[F.round(F.avg(m), 6).alias(m) for m in metrics], F.count("*").alias("n"), F.grouping(group).alias("_all")).select(
+        F.when(F.col("_all") == 1, "MEAN").otherwise(F.col(group)).alias(group), *metrics, "n")
 
 
 def multiset_match(got: DataFrame, expected: DataFrame, key: str, label: str) -> DataFrame:

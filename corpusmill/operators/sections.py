@@ -120,7 +120,7 @@ def table_context(c: Column, heading: str = "returns and rankings") -> Column:
     def context(above: Column) -> Column:
         types = F.filter(above, lambda x: F.lower(x).isin("annualised returns", "absolute returns"))
         category = F.try_element_at(F.filter(above, lambda x: F.lower(x).startswith("category:")), F.lit(1))
-        return F.struct(strip(F.substring(category, 10, 1_000_000)).alias("category"),
+        return F.struct(strip(F.substr(category, F.lit(10))).alias("category"),
                         types.alias("available_types"), F.try_element_at(types, F.lit(1)).alias("active_type"))
 
     return let(F.transform(lines(body), strip), context)

@@ -145,13 +145,13 @@ DATES = ["CASE WHEN turn % 2 = 0 THEN '2026-01-0' || cast(1 + conv_id % 9 as str
 
 
 @query("combine_parts", f"""
-WITH p AS (SELECT conv_id, turn, [{', '.join(f"{{'t': {REPLY[i]}, 'b': left(text, 20) || {i}, 'u': 'u{i}', 'd': nullif({DATES[i]}, '')}}" for i in range(3))}] AS p FROM conversations),
+WITH p AS (SELECT conv_id, turn, [{', '.join(f"{{'t': {REPLY[i]}, 'b': text || {i}, 'u': 'u{i}', 'd': nullif({DATES[i]}, '')}}" for i in range(3))}] AS p FROM conversations),
  u AS (SELECT conv_id, turn, list_filter(p, lambda x, i: list_position(list_transform(p, lambda y: y.t), x.t) = i) AS p FROM p)
 SELECT conv_id, turn, array_to_string(list_transform(p, lambda x: x.t), chr(10) || chr(10)) AS text, array_to_string(list_transform(p, lambda x: x.b), chr(10) || chr(10)) AS body, p[1].u AS citation_url,
  list_max(list_filter(list_transform(p, lambda x: x.d), lambda d: d IS NOT NULL)) AS last_updated FROM u""")
 def combine_parts(t: Tables):
     parts = F.expr("array(" + ", ".join(
-        f"named_struct('text', {REPLY[i]}, 'body', left(text, 20) || '{i}', 'citation_url', 'u{i}', 'last_updated', {DATES[i]})" for i in range(3)) + ")")
+        f"named_struct('text', {REPLY[i]}, 'body', text || '{i}', 'citation_url', 'u{i}', 'last_updated', {DATES[i]})" for i in range(3)) + ")")
     return t.conversations.select("conv_id", "turn", A.combine_parts(parts).alias("r")).select("conv_id", "turn", "r.*")
 
 
@@ -262,5 +262,5 @@ SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (P
 def stream_upsert(t: Tables):
     path = scratch_path(t.spark, "upserts")
     rows = arriving(t, "events").select("user_id", "event_type", "ts", "event_id", "value")
-    screen.upsert_batches(rows, path, f"{path}/progress", ["user_id", "event_type"], "ts", buckets=16).awaitTermination()
-    return screen.read_upserts(t.spark, path, rows.schema).select("user_id", "event_type", "event_id", "value")
+    screen.upsert_batches(rows, f"{path}/data", f"{path}/progress").awaitTermination()
+    return screen.read_upserts(t.spark, f"{path}/data", rows.schema, ["user_id", "event_type"], "ts").select("user_id", "event_type", "event_id", "value")

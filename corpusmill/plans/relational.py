@@ -139,14 +139,14 @@ def failure_rate_gate(t: Tables):
     return R.failure_rate_gate(t.labels, F.expr(REASON))
 
 
-SQL_ROLLUP = """SELECT 'https://example.com/' || source AS url, arg_min(left(text, 40), doc_id) AS title,
+SQL_ROLLUP = """SELECT 'https://example.com/' || source AS url, arg_min(md5(text), doc_id) AS title,
  CASE arg_min(lang, doc_id) WHEN 'en' THEN 'help_page' ELSE arg_min(lang, doc_id) END AS source_type, count(*) AS documents
 FROM documents GROUP BY source"""
 
 
 def rollup(t: Tables):
     d = t.documents.select(
-        F.concat(F.lit("https://example.com/"), F.col("source")).alias("url"), F.left("text", F.lit(40)).alias("title"),
+        F.concat(F.lit("https://example.com/"), F.col("source")).alias("url"), F.md5("text").alias("title"),
         S.label_map(F.col("lang"), {"en": "help_page"}).alias("source_type"), "doc_id")
     return R.source_rollup(d, "url", "doc_id", ["title", "source_type"])
 
@@ -176,10 +176,7 @@ SELECT event_type, round(avg(value), 6) AS value, round(avg(CAST(json_extract(pr
 UNION ALL SELECT 'MEAN', round(avg(value), 6), round(avg(CAST(json_extract(props, '$.k') AS BIGINT)), 6), count(*) FROM events""")
 def metric_means(t: Tables):
     e = t.events.select("event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-    return e.rollup("event_type").agg(
-        F.round(F.avg("value"), 6).alias("value"), F.round(F.avg("k"), 6).alias("k"), F.count("*").alias("n"),
-        F.grouping("event_type").alias("g")).select(
-        F.when(F.col("g") == 1, "MEAN").otherwise(F.col("event_type")).alias("event_type"), "value", "k", "n")
+    return R.metric_means(e, "event_type", "value", "k")
 
 
 @query("multiset_match", """
@@ -297,9 +294,9 @@ def ordered_union_arrays(t: Tables):
 
 @query("unique_texts", """
 SELECT conv_id, turn, CASE WHEN a = b AND b = c THEN a WHEN a = b OR b = c OR a = c THEN a || chr(10) || CASE WHEN a = b THEN c ELSE b END ELSE a || chr(10) || b || chr(10) || c END AS texts
-FROM (SELECT conv_id, turn, left(text, 5) AS a, CASE WHEN turn % 2 = 0 THEN left(text, 5) ELSE role END AS b, CASE WHEN conv_id % 3 = 0 THEN role ELSE left(text, 5) END AS c FROM conversations)""")
+FROM (SELECT conv_id, turn, text AS a, CASE WHEN turn % 2 = 0 THEN text ELSE role END AS b, CASE WHEN conv_id % 3 = 0 THEN role ELSE text END AS c FROM conversations)""")
 def unique_texts(t: Tables):
-    parts = F.expr("array(left(text, 5), CASE WHEN turn % 2 = 0 THEN left(text, 5) ELSE role END, CASE WHEN conv_id % 3 = 0 THEN role ELSE left(text, 5) END)")
+    parts = F.expr("array(text, CASE WHEN turn % 2 = 0 THEN text ELSE role END, CASE WHEN conv_id % 3 = 0 THEN role ELSE text END)")
     return t.conversations.select("conv_id", "turn", F.array_join(F.array_distinct(parts), "\n").alias("texts"))
 
 

@@ -115,11 +115,11 @@ def format_currency(t: Tables):
 
 
 @query("stable_id", """
-SELECT doc_id, substr(sha1(concat_ws('|', 'https://example.com/' || source, lang, left(text, 40), doc_id % 3)), 1, 16) AS id
+SELECT doc_id, substr(sha1(concat_ws('|', 'https://example.com/' || source, lang, text, doc_id % 3)), 1, 16) AS id
 FROM documents""")
 def stable_id(t: Tables):
     return t.documents.select("doc_id", S.stable_id(
-        F.concat(F.lit("https://example.com/"), F.col("source")), F.col("lang"), F.left(F.col("text"), F.lit(40)),
+        F.concat(F.lit("https://example.com/"), F.col("source")), F.col("lang"), F.col("text"),
         F.col("doc_id") % 3).alias("id"))
 
 
@@ -247,7 +247,7 @@ def truncate_words(t: Tables):
 
 
 @query("citation_label", r"""
-SELECT p.page_id, CASE WHEN d.doc_id IS NOT NULL THEN 'Site · ' || left(left(d.text, 90), 60)
+SELECT p.page_id, CASE WHEN d.doc_id IS NOT NULL THEN 'Site · ' || left(d.text, 60)
  WHEN slug <> '' THEN host || ' › ' || slug ELSE host END AS label
 FROM (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) AS host,
   left(replace(regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '([^/]*)/*$', 1), '-', ' '), 48) AS slug
@@ -255,7 +255,7 @@ FROM (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) AS host,
 def citation_label(t: Tables):
     # labels know some of the documents, as a source table knows some of the links
     titles = t.documents.join(t.labels, "doc_id", "left_semi").select(
-        F.col("doc_id").alias("page_id"), F.left(F.col("text"), F.lit(90)).alias("title"))
+        F.col("doc_id").alias("page_id"), F.col("text").alias("title"))
     return t.pages.select("page_id", "url").join(titles, "page_id", "left").select(
         "page_id", S.citation_label(F.col("url"), F.col("title"), "Site").alias("label"))
 

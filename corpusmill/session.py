@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Largest side that may be broadcast, in bytes of plan statistics or measured rows.
+# Largest block of query vectors that one task holds.
 BROADCAST_BYTES = 64 * 1024 * 1024
+SCRATCH: list[str] = []
 NO_FILTER_BEFORE_EXPLODE = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
 
 
@@ -38,18 +41,35 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, or a temporary one where none is named."""
+    """Folder that every executor can reach: the one the cluster names in spark.checkpoint.dir. Only a local master, where
+    driver and tasks are one process, gets a temporary one, which goes when the process ends."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share; intermediate tables are written there")
         # A second call in this session finds the folder the first one set.
         named = tempfile.mkdtemp(prefix="corpusmill-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this process has written; call it when no result that reads them is needed
+    any more. Returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -57,21 +77,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Deal a table that comes in fewer splits than there are cores over all cores; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
-def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """True when a count of ``df``, stopped just past the limit, stays inside the broadcast budget."""
-    cap = max(1, limit // row_bytes)
-    return df.limit(cap + 1).count() <= cap
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", row_bytes: int = 256) -> DataFrame:
-    """Equi-join with a broadcast of ``small`` when its size is proven, else a shuffle join AQE may split on skew."""
-    side = F.broadcast(small) if fits_broadcast(small, row_bytes) else small
-    return big.join(side, on, how)

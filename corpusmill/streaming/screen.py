@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from corpusmill.functions.screening import pii_placeholder, pii_types, refusal_kind
-from corpusmill.operators.dedupe import upsert_latest
+from corpusmill.operators.dedupe import latest
 
 
 def stream_screen(messages: DataFrame, text: Column, keep: list[str], house_names: list[str] | None = None) -> DataFrame:
@@ -27,58 +27,12 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
             .trigger(availableNow=True).start())
 
 
-def upsert_batch(path: str, keys: list[str], order: str, buckets: int = 256):
-    """Merge step of one batch into a table of the latest record per key.
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends each batch of records; a batch that runs again replaces itself. What is current is decided when reading."""
+    return write_batches(stream, path, checkpoint)
 
-    The table lies in hash buckets. A batch writes new files for the buckets it touches and for no other, then one
-    record of which version holds which bucket: until that record is written, readers see the table before the batch,
-    and a batch that runs again finds the same older versions.
-    """
-    def merge(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        try:
-            touched = [r.bucket for r in bucketed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-            if not touched:
-                return
-            held = {b: v for b, v in versions(spark, path, batch_id).items() if b in set(touched)}
-            old = read_buckets(spark, path, held, df.schema)
-            new = upsert_latest(bucketed.limit(0).drop("bucket") if old is None else old, bucketed.drop("bucket"), keys, order)
-            (new.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).repartition("bucket")
-             .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{batch_id}"))
-            (spark.createDataFrame([(b, batch_id) for b in touched], "bucket int, version bigint").coalesce(1)
-             .write.mode("append").json(f"{path}/versions"))
-        finally:
-            bucketed.unpersist()
 
-    return merge
-
-
-def versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
-    """Newest version of every bucket, optionally as it was before a batch."""
-    try:
-        log = spark.read.schema("bucket int, version bigint").json(f"{path}/versions")
-        if before is not None:
-            log = log.where(F.col("version") < before)
-        return {r.bucket: r.version for r in log.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":  # no batch yet
-            return {}
-        raise
-
-
-def read_buckets(spark: SparkSession, path: str, held: dict[int, int], schema) -> DataFrame | None:
-    if not held:
-        return None
-    return spark.read.schema(schema).parquet(*[f"{path}/v{v}/bucket={b}" for b, v in sorted(held.items())])
-
-
-def read_upserts(spark: SparkSession, path: str, schema) -> DataFrame | None:
-    """The table as of the last whole batch."""
-    return read_buckets(spark, path, versions(spark, path), schema)
-
-
-def upsert_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str,
-                   buckets: int = 256) -> StreamingQuery:
-    return (stream.writeStream.foreachBatch(upsert_batch(path, keys, order, buckets))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def read_upserts(spark: SparkSession, path: str, schema: str | StructType, keys: list[str], order: str) -> DataFrame:
+    """Latest record of every key over all batches, as one grouped maximum; on equal order the later batch wins."""
+    rows = spark.read.schema(spark.createDataFrame([], schema).schema.add("batch", "long")).parquet(path)
+    return latest(rows, keys, [order, "batch"]).drop("batch")

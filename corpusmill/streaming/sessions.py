@@ -17,28 +17,37 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class LastTurns(StatefulProcessor):
-    """Keeps at most ``turns`` exchanges per conversation; a row with ``clear`` set forgets them."""
+    """Keeps the last ``turns`` exchanges of a conversation, by turn; a row with ``clear`` set forgets those before it.
+
+    A key's rows of one micro-batch may come in several Arrow batches; they are put in order together before any of them
+    is answered, so the number of rows in a micro-batch, which the source's limits set, bounds what a key holds. A turn
+    that comes in a later micro-batch than a newer one is answered from what is remembered of the turns before it and
+    takes its place among them; transcripts already emitted stay as they are.
+    """
 
     def __init__(self, turns: int = P.HISTORY_TURNS):
         self.turns = turns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getListState("memory", "shown string")
+        self.memory = handle.getListState("memory", "turn bigint, shown string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [r[0] for r in self.memory.get()]
-        for batch in rows:
-            out = []
-            for r in batch.sort_values("turn").itertuples(index=False):
-                if r.clear:
-                    kept = []
-                    continue
-                out.append((key[0], r.turn, "\n".join(kept), len(kept)))
-                kept = (kept + [r.shown])[-self.turns:]
+        kept = [tuple(r) for r in self.memory.get()]
+        arrived = pd.concat(list(rows), ignore_index=True).sort_values("turn", kind="stable")
+        out = []
+        for r in arrived.itertuples(index=False):
+            turn = int(r.turn)
+            if r.clear:
+                kept = [x for x in kept if x[0] > turn]
+                continue
+            before = [shown for t, shown in kept if t < turn][-self.turns:]
+            out.append((key[0], turn, "\n".join(before), len(before)))
+            kept = sorted([*kept, (turn, r.shown)], key=lambda x: x[0])[-self.turns:]
+        if out:
             yield pd.DataFrame(out, columns=["conv_id", "turn", "transcript", "n_turns"])
         self.memory.clear()
         if kept:
-            self.memory.appendList([(k,) for k in kept])
+            self.memory.appendList(kept)
 
     def close(self) -> None:
         pass

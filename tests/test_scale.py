@@ -61,11 +61,38 @@ def test_stream_upsert_over_batches_and_a_repeat(spark, tmp_path):
     from corpusmill.streaming import screen
     path = str(tmp_path / "table")
     rows = lambda xs: spark.createDataFrame(xs, "k string, t int, v string")
-    merge = screen.upsert_batch(path, ["k"], "t", buckets=4)
-    merge(rows([("a", 1, "x"), ("b", 5, "y"), ("a", 0, "old")]), 0)
-    merge(rows([("a", 2, "z"), ("c", 0, "n")]), 1)
-    merge(rows([("a", 2, "z"), ("c", 0, "n")]), 1)  # the engine may run a batch again
-    assert {r.k: r.v for r in screen.read_upserts(spark, path, "k string, t int, v string").collect()} == {"a": "z", "b": "y", "c": "n"}
+    source, schema = tmp_path / "in", "k string, t int, v string"
+    for part in ([("a", 1, "x"), ("b", 5, "y"), ("a", 0, "old")], [("a", 2, "z"), ("c", 0, "n"), ("b", 5, "y2")]):
+        rows(part).coalesce(1).write.mode("append").json(str(source))
+        stream = spark.readStream.schema(schema).json(str(source))
+        screen.upsert_batches(stream, path, str(tmp_path / "progress")).awaitTermination()
+    got = screen.read_upserts(spark, path, schema, ["k"], "t")
+    assert {r.k: r.v for r in got.collect()} == {"a": "z", "b": "y2", "c": "n"}
+    rows([("a", 2, "z"), ("c", 0, "n"), ("b", 5, "y2")]).write.mode("overwrite").parquet(f"{path}/batch=1")  # a batch may run again
+    assert {r.k: r.v for r in screen.read_upserts(spark, path, schema, ["k"], "t").collect()} == {"a": "z", "b": "y2", "c": "n"}
+
+
+@pytest.mark.parametrize("per_batch", [3, 10_000])
+def test_sessions_do_not_depend_on_batches(spark, tmp_path, per_batch):
+    from corpusmill.streaming import screen, sessions
+    held = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.streaming.stateStore.providerClass")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.STATE_STORE)
+    schema, source = "conv_id bigint, turn bigint, question string, answer string", str(tmp_path / "in")
+    try:
+        for turns in (range(9, -1, -1), [11, 10, 13, 14], [12]):  # the last one comes late
+            spark.createDataFrame([(c, n, f"q{n}", f"a{n}") for n in turns for c in (1, 2)], schema).coalesce(1).write.mode("append").json(source)
+            stream = sessions.stream_sessions(spark.readStream.schema(schema).json(source), turns=3)
+            screen.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+        got = {(r.conv_id, r.turn): r.transcript for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    said = {n: f"User: q{n}\nAssistant: a{n}" for n in range(15)}
+    for c in (1, 2):
+        for n in range(12):
+            assert got[c, n] == "\n".join(said[i] for i in range(max(0, n - 3), n)), n
+        assert got[c, 13] == "\n".join(said[i] for i in (9, 10, 11)) and got[c, 12] == "\n".join(said[i] for i in (11,))
 
 
 def test_ranked_elements(spark):
@@ -123,12 +150,16 @@ def test_mmr_equals_brute_force(spark):
         assert got[q] == chosen
 
 
-def test_bm25_without_broadcast_is_the_same(spark, monkeypatch):
+def test_bm25_without_broadcast_is_the_same(spark):
     docs = spark.createDataFrame([(i, ["hot"] * (i % 4 + 1) + [f"t{i % 7}", f"u{i % 3}"]) for i in range(120)], "id bigint, terms array<string>")
     q = spark.createDataFrame([(0, ["hot", "t1", "t1"]), (1, ["u2", "none"])], "qid bigint, terms array<string>")
     small = sorted(map(tuple, lexical.bm25_topk(q, docs, 10).collect()))
-    monkeypatch.setattr(lexical, "fits_broadcast", lambda *_: False)
-    assert sorted(map(tuple, lexical.bm25_topk(q, docs, 10).collect())) == small and len(small) == 20
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted(map(tuple, lexical.bm25_topk(q, docs, 10).collect())) == small and len(small) == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_protection_replaces_the_lowest(spark):
@@ -139,9 +170,10 @@ def test_protection_replaces_the_lowest(spark):
 
 
 def test_aliases_match_whole_words_only(spark):
-    aliases = spark.createDataFrame([("liq", "liquid"), ("fc", "flexi-cap"), ("fc", "flexi cap")], "entity_id string, alias string")
-    m = spark.createDataFrame([(1, "the Liquid one"), (2, "liquidity is fine"), (3, "FLEXI-CAP?"), (4, "flexi. cap")], "id bigint, t string")
-    assert {(r.id, r.entity_id) for r in entities.alias_match_join(m, aliases, "id", "t").collect()} == {(1, "liq"), (3, "fc")}
+    aliases = spark.createDataFrame([("liq", "liquid"), ("fc", "flexi-cap"), ("fc", "flexi cap"),
+                                     ("six", "one two three four five six")], "entity_id string, alias string")
+    m = spark.createDataFrame([(1, "the Liquid one"), (2, "liquidity is fine"), (3, "FLEXI-CAP?"), (4, "flexi. cap"), (5, "a one two three four five six b")], "id bigint, t string")
+    assert {(r.id, r.entity_id) for r in entities.alias_match_join(m, aliases, "id", "t").collect()} == {(1, "liq"), (3, "fc"), (5, "six")}
     found = entities.resolve_entities(F.lit("Acme liquid fund load"), {"liq": ["liquid", "liquid fund"]}, ["acme"], ["plan"])
     out = spark.range(1).select(found.alias("e")).collect()[0].e
     assert out.ids == ["liq"] and out.stripped == "load"
@@ -172,9 +204,10 @@ def test_chunks_keep_every_token_and_stay_small(spark):
 
 def test_nothing_is_written_when_a_check_fails(spark, tmp_path):
     wrote = []
-    bad = spark.createDataFrame([("id1", "missing nav")], "id string, problem string")
-    with pytest.raises(publish.Rejected, match="missing nav"):
+    bad = spark.createDataFrame([(f"id{i}", "missing nav") for i in range(30)], "id string, problem string")
+    with pytest.raises(publish.Rejected, match="30 problems") as caught:
         publish.publish_if_valid(bad, lambda: wrote.append(1))
+    assert spark.read.parquet(caught.value.report).where("problem = 'missing nav'").count() == 30
     publish.publish_if_valid(bad.limit(0), lambda: wrote.append(2))
     assert wrote == [2]
 
