@@ -22,21 +22,15 @@ def block_types(c: Column) -> Column:
     def kind(line: Column) -> Column:
         return F.when(F.contains(line, F.lit("|")), "table").when(line.rlike(r"(?U)^\s*[-*] "), "list").otherwise("text")
 
-    typed = F.transform(lines(c), lambda x: F.struct(kind(x).alias("kind"), x.alias("line")))
-    block = "array<struct<kind:string,lines:array<string>>>"
-    none = F.lit(None).cast("string")
-    start = F.struct(F.array().cast(block).alias("done"), none.alias("kind"), F.array().cast(STRINGS).alias("lines"))
-
-    def closed(acc: Column) -> Column:
-        return F.when(acc["kind"].isNull(), acc["done"]).otherwise(
-            F.concat(acc["done"], F.array(F.struct(acc["kind"].alias("kind"), acc["lines"].alias("lines")))))
-
-    def grow(acc: Column, x: Column) -> Column:
-        same = F.coalesce(acc["kind"] == x["kind"], F.lit(False))
-        return F.struct(F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"), x["kind"].alias("kind"),
-                        F.when(same, F.concat(acc["lines"], F.array(x["line"]))).otherwise(F.array(x["line"])).alias("lines"))
-
-    return F.aggregate(typed, start, grow, closed)
+    def blocks(ls: Column, kinds: Column) -> Column:
+        edge = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: (i == 1) | (F.element_at(kinds, i) != F.element_at(kinds, F.greatest(i - 1, F.lit(1)))))
+        return let(edge, lambda starts: F.transform(starts, lambda s, k: F.struct(
+            F.element_at(kinds, s).alias("kind"),
+            F.slice(ls, s, F.coalesce(F.try_element_at(starts, k + 2), F.size(ls) + 1) - s).alias("lines"))))
+
+    # Neighbours are compared and each block is one slice, so the work grows with the number of lines.
+    found = let(lines(c), lambda ls: let(F.transform(ls, kind), lambda kinds: blocks(ls, kinds)))
+    return F.when(F.size(lines(c)) > 0, found).otherwise(F.array().cast("array<struct<kind:string,lines:array<string>>>"))
 
 
 def greedy_pack(items: Column, header: Column | None = None, target: int = P.CHUNK_TARGET_TOKENS,

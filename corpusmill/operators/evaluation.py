@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import patterns as P
 from corpusmill.operators.relational import ranked_elements
+from corpusmill.session import materialize
 
 
 def retrieval_metrics(queries: DataFrame, hits: DataFrame, relevant: Column, *config: str) -> DataFrame:
@@ -27,6 +28,7 @@ def threshold_calibration(best: DataFrame, threshold: float = P.MIN_DENSE_COSINE
 
     ``best``: qid, best_cosine (rounded by the search, one per question), off_topic.
     """
+    best = materialize(best, "best-cosine")  # the search behind it runs once
     inside, off = best.where(~F.col("off_topic")), best.where("off_topic")
     counts = best.agg(
         F.count_if(~F.col("off_topic")).alias("n_in_scope"), F.count_if("off_topic").alias("n_off_topic"),
@@ -36,8 +38,9 @@ def threshold_calibration(best: DataFrame, threshold: float = P.MIN_DENSE_COSINE
     top = off.orderBy(F.desc("best_cosine"), "qid").limit(show).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("best_cosine")).alias("c"), "qid"))),
         lambda x: x["qid"].cast("string")), ",").alias("top_off_topic"))
-    return counts.select("*", *[spread.select(c).scalar().alias(c) for c in ("low", "p10", "median")],
-                         top.scalar().alias("top_off_topic"))
+    order = spread.select(F.struct("low", "p10", "median")).scalar()
+    return counts.select("*", order.alias("_o"), top.scalar().alias("top_off_topic")).select(
+        *counts.columns, "_o.*", "top_off_topic")
 
 
 def judge_scorecard(rows: DataFrame, answered: Column, **flags: Column) -> DataFrame:

@@ -70,7 +70,8 @@ MODES = ("hybrid", "dense", "bm25")
 
 def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = P.RETRIEVAL_K, mode: str = "hybrid",
                     use_scope: bool = True, strip_names: bool = False, counts: DataFrame | None = None) -> DataFrame:
-    """Top k chunks per query with score, cosine and both ranks.
+    """Top k chunks per query with score, cosine and both ranks (hybrid only: a rank is null where a list lacks the chunk),
+    and for the query the best cosine in scope and whether it reaches the threshold.
 
     ``queries``: qid, text, stripped, scope, qvec. ``chunks``: id, terms, vec, key.
     """
@@ -82,12 +83,22 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = P.RETRIEVAL_
     depth = max(k, P.RRF_CANDIDATES)
     vec = dense.dense_topk(q.select("qid", "qvec", "scope"), chunks.select("id", "vec", "key"), depth)
     if mode == "dense":
-        return vec.where(F.col("rank") <= k).select("qid", "id", F.col("cosine").alias("score"), "rank")
+        return judged(vec.where(F.col("rank") <= k).select("qid", "id", F.col("cosine").alias("score"), "rank"), vec, queries, chunks)
     kw = lexical.bm25_topk(q.select("qid", "terms", "scope"), chunks.select("id", "terms", "key"), depth, counts)
     if mode == "bm25":
-        return kw.where(F.col("rank") <= k).select("qid", "id", "score", "rank")
+        return judged(kw.where(F.col("rank") <= k).select("qid", "id", "score", "rank"), vec, queries, chunks)
     top = protect_top1(rrf_fuse({"dense": vec, "bm25": kw}), k)
-    return top.select("qid", "id", F.col("fused").alias("score"), "rank", "dense_rank", "bm25_rank")
+    return judged(top.select("qid", "id", F.col("fused").alias("score"), "rank", "dense_rank", "bm25_rank"), vec, queries, chunks)
+
+
+def judged(top: DataFrame, vec: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``top`` with the cosine of each hit and the query's best cosine. k rows a query meet the vectors of their own ids."""
+    pairs = top.join(chunks.select("id", "vec"), "id").join(queries.select("qid", "qvec"), "qid")
+    dot = F.aggregate(F.zip_with("vec", "qvec", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    best = vec.where(F.col("rank") == 1).select("qid", F.col("cosine").alias("best_cosine"))
+    told = pairs.select("qid", "id", *[c for c in top.columns if c not in ("qid", "id")], F.round(dot, SCORE_DIGITS).alias("cosine")).join(best, "qid", "left")
+    return told.withColumn("best_cosine", F.coalesce("best_cosine", F.lit(0.0))).withColumn(
+        "confident", F.col("best_cosine") >= P.MIN_DENSE_COSINE)
 
 
 SWEEP = {

@@ -6,7 +6,6 @@ Every function is a column expression on the whole text. Nothing here shuffles:
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions import patterns as P
@@ -37,21 +36,35 @@ def explode_sections(df: DataFrame, key: str, text: Column) -> DataFrame:
         key, (F.col("pos") + 1).alias("section_id"), "s.level", "s.heading", "s.body")
 
 
+def runs(items: Column, opens) -> Column:
+    """array of arrays: the items before the first one that opens a run (maybe none), then each run. Each is one slice."""
+    def cut(xs: Column) -> Column:
+        starts = F.concat(F.array(F.lit(1)), F.filter(F.sequence(F.lit(1), F.size(xs)), lambda i: opens(F.element_at(xs, i))))
+        return let(starts, lambda at: F.transform(at, lambda s, k: F.slice(
+            xs, s, F.coalesce(F.try_element_at(at, k + 2), F.size(xs) + 1) - s)))
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, cut(xs)))
+
+
 def section_ids(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """Every line with the running number of its section (0 before the first heading)."""
-    lined = df.select(key, F.posexplode(lines(text)).alias("pos", "line"))
-    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    return lined.withColumn("section_id", F.sum(F.col("line").rlike(r"^#").cast("int")).over(w))
+    """Every line with the running number of its section (0 before the first heading), numbered within the row."""
+    numbered = F.flatten(F.transform(runs(lines(text), lambda x: x.rlike(r"^#")), lambda run, k: F.transform(
+        run, lambda x: F.struct(x.alias("line"), k.cast("bigint").alias("section_id")))))
+    return df.select(key, F.posexplode(numbered).alias("pos", "l")).select(key, "pos", "l.*")
+
 
+def parent_headings(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """Sections with the last heading of level two or less before them, carried within the row, and whether it opens the
+    FAQs; sections of these levels have no parent."""
+    def told(run: Column, k: Column) -> Column:
+        top = F.when(k > 0, run[0]["heading"])
+        faq = F.coalesce(F.lower(top).isin("faqs", "frequently asked questions"), F.lit(False))
+        return F.transform(run, lambda s: F.struct(
+            s["level"].alias("level"), s["heading"].alias("heading"), s["body"].alias("body"),
+            F.when(s["level"] > 2, top).alias("parent_heading"), (faq & (s["level"] > 2)).alias("is_faq")))
 
-def parent_headings(df: DataFrame, key: str) -> DataFrame:
-    """Carry forward, per document, the last heading of level two or less, and whether it opens the FAQs."""
-    w = W.partitionBy(key).orderBy("section_id").rowsBetween(W.unboundedPreceding, 0)
-    top = F.last(F.when(F.col("level") <= 2, F.col("heading")), ignorenulls=True).over(w)
-    return df.withColumn("top_heading", top).select(
-        "*", F.when(F.col("level") > 2, F.col("top_heading")).alias("parent_heading"),
-        (F.coalesce(F.lower("top_heading").isin("faqs", "frequently asked questions"), F.lit(False))
-         & (F.col("level") > 2)).alias("is_faq")).drop("top_heading")
+    found = F.flatten(F.transform(runs(split_sections(text), lambda s: s["level"] <= 2), told))
+    return df.select(key, F.posexplode(found).alias("pos", "s")).select(key, (F.col("pos") + 1).alias("section_id"), "s.*")
 
 
 def first_section(secs: Column, matches) -> Column:
@@ -246,3 +259,22 @@ def blog_article(md: Column) -> Column:
             (from_h1 != "") & (F.size(found) > 0), F.struct(title.alias("title"), found.alias("sections"))))
 
     return let(F.regexp_extract(md, r"(?s)(?:\A|\n)(# [^\n]+.*)\z", 1), built)
+
+
+def regex_fields(c: Column, fields: dict[str, tuple[str, int, str]]) -> Column:
+    """struct of fields, each from the first match of its pattern: name -> (pattern, group, kind).
+
+    Kinds: ``text`` (empty without a match), ``nonempty`` (NULL then), ``line`` (white space folded), ``number`` (a double
+    without thousands marks, NULL when it is none) and ``all`` (an array of all matches).
+    """
+    def field(pattern: str, group: int, kind: str) -> Column:
+        if kind == "all":
+            return F.regexp_extract_all(c, F.lit(pattern), group)
+        found = F.regexp_extract(c, pattern, group)
+        if kind == "number":
+            return F.replace(found, F.lit(",")).try_cast("double")
+        if kind == "line":
+            return strip(rep(found, r"\s+", " "))
+        return F.nullif(found, F.lit("")) if kind == "nonempty" else found
+
+    return F.struct(*[field(*spec).alias(name) for name, spec in fields.items()])

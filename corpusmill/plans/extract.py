@@ -43,8 +43,7 @@ def section_id(t: Tables):
 SELECT doc_id, section_id, heading, CASE WHEN level > 2 THEN top END AS parent_heading,
  coalesce(lower(top) IN ('faqs', 'frequently asked questions'), false) AND level > 2 AS is_faq FROM p""")
 def parent_heading(t: Tables):
-    secs = E.explode_sections(t.documents, "doc_id", md())
-    return E.parent_headings(secs, "doc_id").select(
+    return E.parent_headings(t.documents, "doc_id", md()).select(
         "doc_id", F.col("section_id").cast("bigint").alias("section_id"), "heading", "parent_heading", "is_faq")
 
 
@@ -144,14 +143,12 @@ def regex_fields(t: Tables):
     html = F.col("html")
     stats = F.expr("""'NAV: 01 Jan ''26 ₹' || cast(page_id as string) || '.50 "sharpe_ratio":'
       || CASE WHEN page_id % 2 = 0 THEN '1.25' ELSE 'null' END || ',' """)
-    found = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    page = E.regex_fields(html, {
+        "title": (r"(?is)<title>(.*?)</title>", 1, "text"), "lang": (r'(?i)<html[^>]*lang="([^"]*)"', 1, "nonempty"),
+        "name": (r"(?is)<h1[^>]*>(.*?)</h1>", 1, "line"), "links": (r'(?is)<a[^>]*href="([^"]*)"', 1, "all")})
     nav = r"(?i)NAV:\s*(.*?)\s*₹([\d.,]+)"
-    return t.pages.select(
-        "page_id", F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1).alias("title"),
-        found(html, r'(?i)<html[^>]*lang="([^"]*)"').alias("lang"),
-        strip(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"\s+", " ")).alias("name"),
-        F.array_join(F.regexp_extract_all(html, F.lit(r'(?is)<a[^>]*href="([^"]*)"'), 1), " ").alias("links"),
-        F.regexp_extract(stats, nav, 1).alias("nav_date"),
-        F.replace(F.regexp_extract(stats, nav, 2), F.lit(",")).try_cast("double").alias("nav"),
-        found(stats, r'"sharpe_ratio":(null|[-\d\.eE]+)').try_cast("double").alias("sharpe_ratio"),
-        found(stats, r'"beta":(null|[-\d\.eE]+)').try_cast("double").alias("beta"))
+    figures = E.regex_fields(stats, {
+        "nav_date": (nav, 1, "text"), "nav": (nav, 2, "number"), "sharpe_ratio": (r'"sharpe_ratio":(null|[-\d\.eE]+)', 1, "number"),
+        "beta": (r'"beta":(null|[-\d\.eE]+)', 1, "number")})
+    return t.pages.select("page_id", page.alias("p"), figures.alias("f")).select(
+        "page_id", "p.title", "p.lang", "p.name", F.array_join("p.links", " ").alias("links"), "f.*")

@@ -10,7 +10,7 @@ from corpusmill.operators import facts as O
 from corpusmill.operators import publish
 from corpusmill.plans import compose as C
 from corpusmill.plans.registry import Tables, query
-from corpusmill.session import scratch_path
+from corpusmill.session import materialize, scratch_path
 
 # Scalar facts of a part, portable.
 SCALARS = {
@@ -266,4 +266,4 @@ SELECT 'schemes' AS table_name, count(*) AS n_rows FROM f UNION ALL SELECT 'fund
 UNION ALL SELECT 'holdings', CAST(sum(len(holdings)) AS BIGINT) FROM f UNION ALL SELECT 'returns', 4 * count(*) FROM f
 UNION ALL SELECT 'risk_ratios', count(*) FROM f UNION ALL SELECT 'analysis', CAST(sum(1 + p_size % 2) AS BIGINT) FROM f""")
 def rebuild_tables(t: Tables):
-    return publish.rebuild_tables(t.spark, O.fact_tables(facts_from_part(t)))
+    return publish.rebuild_tables(t.spark, O.fact_tables(materialize(facts_from_part(t), "facts")))

@@ -331,7 +331,7 @@ def sink_jsonl(t: Tables):
 @query("sink_partitioned", "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
 def sink_partitioned(t: Tables):
     path = scratch_path(t.spark, "sections")
-    files.sink_partitioned(t.documents, path, "source", 4, "doc_id")
+    files.sink_partitioned(t.documents, path, "source")
     back = t.spark.read.schema("doc_id bigint, n_chars bigint, source string").json(path)
     return back.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 

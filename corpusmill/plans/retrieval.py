@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions import patterns as P
 from corpusmill.functions import scalars as S
 from corpusmill.functions import text as X
 from corpusmill.operators import dense, entities, evaluation, fusion, lexical
@@ -56,7 +57,7 @@ SQL_ASK = f"""q AS (SELECT item_id AS qid, text, list_filter([{', '.join(f"CASE
 SQL_STATS = f"""dt AS (SELECT doc_id AS id, nullif(lang, 'es') AS key, {C.sql_terms('text')} AS terms FROM documents),
  tok AS (SELECT id, key, len(terms) AS dl, unnest(terms) AS term FROM dt), tf AS (SELECT id, key, dl, term, count(*) AS f FROM tok GROUP BY ALL),
  n AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM dt), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), n),
- idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+ idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, (SELECT avg(raw) AS mean FROM raw))"""
 
 
 def sql_bm25(name: str, source: str, k: int) -> str:
@@ -108,7 +109,7 @@ NAME_TEXT = """'price of the ' || p_type || ' ' || p_name || CASE p_partkey % 9
 WITH dt AS (SELECT id, name, regexp_split_to_array(lower(name), '\\s+') AS terms FROM (SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name)),
  tok AS (SELECT id, NULL AS key, len(terms) AS dl, unnest(terms) AS term FROM dt), tf AS (SELECT id, key, dl, term, count(*) AS f FROM tok GROUP BY ALL),
  n AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM dt), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), n),
- idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+ idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, (SELECT avg(raw) AS mean FROM raw)),
  qq AS (SELECT p_partkey AS qid, {NAME_TEXT} AS text, CASE WHEN p_partkey % 2 = 0 THEN 'NAV' ELSE 'LIST' END AS intent FROM part),
  q AS (SELECT qid, regexp_split_to_array(lower(text), '\\s+') AS terms, [] AS scope FROM qq WHERE NOT (contains(text, 'all') OR contains(text, 'schemes'))),
  {sql_bm25('b', 'q', 3)}
@@ -160,8 +161,14 @@ def dense_filtered(t: Tables):
     return dense.dense_topk(q, vectors(t), 5).select("qid", "id", "cosine", long("rank"))
 
 
-# Greedy selection per query has no plain SQL; the first pick and the candidate set are checked in tests.
-@query("mmr")
+# The greedy choice, one step for each pick after the first.
+SQL_PICKS = ", ".join(f"""p{n} AS (SELECT * FROM p{n - 1} UNION ALL SELECT qid, id, {n} FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY 0.5 * cosine - 0.5 * near DESC, cosine DESC, id) AS rn
+   FROM (SELECT c.qid, c.id, c.cosine, max(round(list_dot_product(c.v, s.v), 9)) AS near FROM (SELECT * FROM c ANTI JOIN p{n - 1} USING (qid, id)) c JOIN p{n - 1} p ON p.qid = c.qid JOIN e s ON s.id = p.id GROUP BY ALL)) WHERE rn = 1)"""
+                      for n in range(2, 6))
+
+
+@query("mmr", f"""WITH {SQL_SELF}, {sql_dense('d', 'q', 'e', 20)}, c AS (SELECT qid, id, cosine, v FROM d JOIN e USING (id)),
+ p1 AS (SELECT qid, id, 1 AS pick FROM d WHERE rank = 1), {SQL_PICKS} SELECT qid, id, CAST(pick AS INTEGER) AS pick FROM p5""")
 def mmr(t: Tables):
     return dense.mmr(self_queries(t), vectors(t), 5)
 
@@ -219,10 +226,12 @@ SQL_HYBRID = f"""WITH {SQL_STATS}, {SQL_VECS}, {SQL_ASK}, qq AS (SELECT qid, {C.
  {sql_bm25('b', 'qq', 20)}, {sql_dense('d', 'qq', 'dv', 20)}, {sql_fuse('h', 'd', 'b', 5)}"""
 
 
-@query("hybrid_retrieve", SQL_HYBRID + " SELECT qid, id, score, rank, dr AS dense_rank, br AS bm25_rank FROM h")
+@query("hybrid_retrieve", SQL_HYBRID + f""" SELECT h.qid, h.id, score, h.rank, dr AS dense_rank, br AS bm25_rank, round(list_dot_product(qvec, v), 9) AS cosine,
+ coalesce(t.cosine, 0) AS best_cosine, coalesce(t.cosine, 0) >= {P.MIN_DENSE_COSINE} AS confident
+ FROM h JOIN dv ON dv.id = h.id JOIN qv ON qv.qid = h.qid LEFT JOIN (SELECT qid, cosine FROM d WHERE rank = 1) t ON t.qid = h.qid""")
 def hybrid_retrieve(t: Tables):
     return fusion.hybrid_retrieve(questions(t), chunks(t)).select(
-        "qid", "id", "score", long("rank"), long("dense_rank"), long("bm25_rank"))
+        "qid", "id", "score", long("rank"), long("dense_rank"), long("bm25_rank"), "cosine", "best_cosine", "confident")
 
 
 @query("resolve_entities", f"WITH {SQL_ASK} SELECT qid, array_to_string(scope, ',') AS ids, stripped FROM q")

@@ -35,12 +35,10 @@ def sink_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def sink_partitioned(df: DataFrame, path: str, by: str, files_per_value: int = 1, spread: str | None = None) -> None:
-    """One directory per value of ``by``; ``spread`` deals a value that holds many rows over several writers."""
-    keys = [F.col(by)]
-    if spread:
-        keys.append(F.pmod(F.xxhash64(spread), F.lit(files_per_value)))
-    df.repartition(*keys).write.mode("overwrite").partitionBy(by).json(path)
+def sink_partitioned(df: DataFrame, path: str, by: str) -> None:
+    """One directory per value of ``by``. Rows are rebalanced by it: a value of many rows gets as many writers as its size
+    asks for, and small values share one."""
+    df.hint("rebalance", F.col(by)).write.mode("overwrite").partitionBy(by).json(path)
 
 
 def sink_csv_sorted(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
