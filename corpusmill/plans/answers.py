@@ -224,7 +224,8 @@ def judge_scorecard(t: Tables):
 
 def arriving(t: Tables, table: str):
     schema = getattr(t, table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+    # A glob, since the stream reader takes a plain path for a folder and a table may be one file or a folder of files.
+    return t.spark.readStream.schema(schema).parquet(f"{t.folder}/{table}.parque[t]")
 
 
 @query("stream_screen", f"""SELECT conv_id, turn, array_to_string({C.sql_pii('m')}, ', ') AS kinds, {C.sql_refusal('m')} AS refusal,
