@@ -11,7 +11,7 @@ from corpusmill.functions import patterns as P
 from corpusmill.functions import templates as X
 from corpusmill.functions.screening import finalize_answer, has_pii, refusal_kind
 from corpusmill.functions.text import extract_numbers, let, strip
-from corpusmill.operators import dense, facts as fact_ops, fusion
+from corpusmill.operators import facts as fact_ops, fusion
 from corpusmill.session import materialize
 
 REFUSALS = ("refuse_advice", "refuse_comparison")
@@ -180,9 +180,12 @@ def fixed_reply(df: DataFrame, house: House) -> DataFrame:
     return df.join(F.broadcast(reply_table(df.sparkSession, house)), "handler")
 
 
+REPLY_COLUMNS = ["qid", "handler", "text", "body", "citation_url", "last_updated"]
+
+
 def batch_answer(questions: DataFrame, facts: DataFrame, chunks: DataFrame, house: House, all_ids: Column,
                  k: int = P.RETRIEVAL_K, house_names: list[str] | None = None) -> DataFrame:
-    """(qid, handler, text, body, citation_url, last_updated): one reply per question.
+    """(qid, handler, text, body, citation_url, last_updated): one reply per question of one part.
 
     ``questions``: qid, message, intent, fact_fields, all_schemes, scheme_ids, qvec and the model's output for the
     retrieved passages (found, answer, source_id). ``chunks``: id, terms, vec, key, text, source_url, scraped_at.
@@ -190,21 +193,27 @@ def batch_answer(questions: DataFrame, facts: DataFrame, chunks: DataFrame, hous
     """
     routed = route_decision(questions, all_ids).withColumn("handler", F.coalesce(
         F.when(has_pii(F.col("message")), "pii"), refusal_kind(F.col("message"), house_names), F.col("handler")))
-    shape = ["qid", "handler", "text", "body", "citation_url", "last_updated"]
+    return answer_routed(materialize(routed.select(
+        "qid", "handler", "message", "scheme_ids", "fact_fields", "qvec", "found", "answer", "source_id"), "routed"), facts, chunks, house, k)
 
+
+def answer_routed(routed: DataFrame, facts: DataFrame, chunks: DataFrame, house: House, k: int = P.RETRIEVAL_K) -> DataFrame:
+    """Replies to routed questions. ``routed`` is read by every branch, so it should be a written table: qid, handler,
+    message, scheme_ids, fact_fields, qvec, found, answer, source_id."""
     asked = routed.where("handler = 'sql_fact'").select("qid", "scheme_ids", "fact_fields")
     answered = materialize(assemble_answers(fact_ops.fields_cross(asked, facts), house).withColumn(
-        "handler", F.lit("sql_fact")).select(*shape), "fact-answers")
+        "handler", F.lit("sql_fact")).select(*REPLY_COLUMNS), "fact-answers")
     no_fact = asked.join(answered, "qid", "left_anti").select("qid", F.lit("not_found").alias("handler"))
 
     search = routed.where("handler = 'retrieval'").select(
         "qid", F.col("message").alias("text"), F.col("message").alias("stripped"), F.col("scheme_ids").alias("scope"), "qvec")
-    hits = fusion.hybrid_retrieve(search, chunks.select("id", "terms", "vec", "key"), k)
-    told = hits.join(chunks.select("id", F.col("text").alias("passage"), "source_url", "scraped_at", "vec"), "id").join(
-        search.select("qid", "qvec"), "qid").withColumn("cosine", F.round(dense.cosine(F.col("qvec"), F.col("vec")), 9))
+    hits = materialize(fusion.hybrid_retrieve(search, chunks.select("id", "terms", "vec", "key"), k).select(
+        "qid", "id", "rank", "best_cosine"), "hits")
+    # Passages of the few hits only: their ids meet the text column at its scan.
+    told = hits.join(chunks.select("id", F.col("text").alias("passage"), "source_url", "scraped_at"), "id")
     ranked = told.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("rank", "passage", "source_url", "scraped_at"))).alias("hits"),
-        F.max("cosine").alias("best"))
+        F.max("best_cosine").alias("best"))
     judged = routed.where("handler = 'retrieval'").select("qid", "found", "answer", "source_id").join(ranked, "qid", "left")
     passages = F.coalesce(F.transform("hits", lambda h: h["passage"]), F.array().cast("array<string>"))
     fine = F.coalesce(F.col("best") >= P.MIN_DENSE_COSINE, F.lit(False)) & grounding_check(
@@ -213,9 +222,50 @@ def batch_answer(questions: DataFrame, facts: DataFrame, chunks: DataFrame, hous
     source = F.try_element_at(F.col("hits"), F.col("source_id"))
     explained = checked.where("fine").select("qid", finalized(
         house, strip(F.col("answer")), source["source_url"], F.left(source["scraped_at"], F.lit(10))).alias("a")).select(
-        "qid", F.lit("retrieval").alias("handler"), *[f"a.{c}" for c in shape[2:]])
+        "qid", F.lit("retrieval").alias("handler"), *[f"a.{c}" for c in REPLY_COLUMNS[2:]])
     no_text = checked.where("NOT fine").select("qid", F.lit("not_found").alias("handler"))
 
     fixed = routed.where(~F.col("handler").isin("sql_fact", "retrieval")).select("qid", "handler")
-    said = fixed_reply(fixed.unionByName(no_fact).unionByName(no_text), house).select(*shape)
+    said = fixed_reply(fixed.unionByName(no_fact).unionByName(no_text), house).select(*REPLY_COLUMNS)
     return answered.unionByName(explained).unionByName(said)
+
+
+def answer_messages(messages: DataFrame, model: DataFrame, facts: DataFrame, chunks: DataFrame, house: House, all_ids: Column,
+                    k: int = P.RETRIEVAL_K, house_names: list[str] | None = None) -> DataFrame:
+    """(qid, handler, text, body, citation_url, last_updated): one reply per message, which may ask several things.
+
+    ``messages``: qid, message, standalone (the message with what it refers to spelled out), parts and whole. ``parts`` is
+    an array of struct<question, intent, fact_fields, all_schemes, scheme_ids> in order, a few per message, and ``whole``
+    the same of the standalone text. ``model``: qid, question, qvec, found, answer, source_id for the questions that may be
+    looked up. Personal data in the message stops it, then advice or comparison in either text, then a part that asks for
+    either. Fact parts merge, parts that all need passages are asked as one, and several replies become one (``multi``).
+    """
+    stop = F.coalesce(F.when(has_pii(F.col("message")), "pii"), refusal_kind(F.col("message"), house_names),
+                      refusal_kind(F.col("standalone"), house_names))
+    screened = messages.withColumn("stop", stop)
+    each = screened.where("stop IS NULL").select("qid", F.posexplode(F.array_append("parts", F.col("whole"))).alias("no", "p"),
+                                                 F.size("parts").alias("n")).select("qid", "no", "n", "p.*")
+    route = F.struct("question", "handler", "scheme_ids", "fact_fields")
+    routes = route_decision(each, all_ids).groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("no", (F.col("no") == F.col("n")).alias("is_whole"), route.alias("r")))).alias("all"))
+    one = lambda flag: F.transform(F.filter("all", lambda x: x["is_whole"] == flag), lambda x: x["r"])
+    planned = routes.select("qid", message_plan(one(F.lit(False)), one(F.lit(True))[0]).alias("plan"))
+    planned = materialize(planned.select("qid", "plan.*"), "message-plans")
+
+    asked = planned.where("refusal IS NULL").select("qid", F.posexplode("routes").alias("no", "r")).select(
+        "qid", "no", "r.*").join(model, ["qid", "question"], "left")
+    # Parts get ids of their own; the table is written once, so every reader sees the same ones.
+    routed = materialize(asked.select(F.monotonically_increasing_id().alias("part"), "*"), "routed")
+    replies = answer_routed(routed.select(
+        F.col("part").alias("qid"), "handler", F.col("question").alias("message"), "scheme_ids", "fact_fields", "qvec", "found", "answer",
+        "source_id"), facts, chunks, house, k).withColumnRenamed("qid", "part")
+    replies = replies.join(routed.select("part", "qid", "no"), "part")
+    reply = F.struct("no", "handler", *REPLY_COLUMNS[2:])
+    grouped = replies.groupBy("qid").agg(F.array_sort(F.collect_list(reply)).alias("ps"))
+    shown = F.transform("ps", lambda p: F.struct(*[p[c].alias(c) for c in ("text", "body", "citation_url", "last_updated")]))
+    many = F.size("ps") > 1
+    answered = grouped.select("qid", F.when(many, "multi").otherwise(F.col("ps")[0]["handler"]).alias("handler"),
+                              F.when(many, combine_parts(shown)).otherwise(shown[0]).alias("a")).select("qid", "handler", "a.*")
+    stopped = screened.where("stop IS NOT NULL").select("qid", F.col("stop").alias("handler")).unionByName(
+        planned.where("refusal IS NOT NULL").select("qid", F.col("refusal").alias("handler")))
+    return answered.select(*REPLY_COLUMNS).unionByName(fixed_reply(stopped, house).select(*REPLY_COLUMNS))

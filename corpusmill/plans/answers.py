@@ -192,6 +192,10 @@ SQL_BATCH = f"""WITH {PR.SQL_STATS}, {PR.SQL_VECS}, {PR.SQL_ASK}, w AS (SELECT i
 SELECT qid, handler, {sql_footer('body', 'url', 'd')} AS text FROM r"""
 
 
+def answer_chunks(t: Tables):
+    return PR.chunks(t, "text", F.concat(F.lit("https://example.com/"), "source").alias("source_url"), F.lit("2026-02-03T00:00:00").alias("scraped_at"))
+
+
 @query("batch_answer", SQL_BATCH)
 def batch_answer(t: Tables):
     q = t.benchmark.join(PR.questions(t).select(F.col("qid").alias("item_id"), "scope", "qvec"), "item_id").select(
@@ -200,13 +204,48 @@ def batch_answer(t: Tables):
         F.lit(False).alias("all_schemes"),
         F.expr("CASE item_id % 8 WHEN 2 THEN array('part-' || cast(item_id as string)) WHEN 3 THEN filter(array('x'), f -> false) ELSE scope END").alias("scheme_ids"),
         "qvec", F.expr("item_id % 5 <> 0").alias("found"), F.expr(MODEL_ANSWER).alias("answer"), F.expr("cast(1 + item_id % 6 as int)").alias("source_id"))
-    texts = t.documents.select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("https://example.com/"), "source").alias("source_url"),
-                               F.lit("2026-02-03T00:00:00").alias("scraped_at"))
-    chunks = PR.chunks(t).join(texts, "id")
+    chunks = answer_chunks(t)
     none = F.array().cast("array<string>")
     return A.batch_answer(q, PF.facts_from_part(t), chunks, HOUSE, none, house_names=["acme"]).select("qid", "handler", "text")
 
 
+def parts_of(t: Tables):
+    """The questions of ``batch_answer`` as parts, with the model's output for each."""
+    none = F.expr("filter(array('x'), f -> false)")
+    part = F.struct(F.expr(ASKED).alias("question"), F.expr(ASKED_INTENT).alias("intent"),
+                    F.when(F.expr("item_id % 8 IN (2, 3)"), F.array(F.lit("expense_ratio"), F.lit("nav"))).otherwise(none).alias("fact_fields"),
+                    F.lit(False).alias("all_schemes"),
+                    F.expr("CASE item_id % 8 WHEN 2 THEN array('part-' || cast(item_id as string)) WHEN 3 THEN filter(array('x'), f -> false) ELSE scope END").alias("scheme_ids"))
+    return t.benchmark.join(PR.questions(t).select(F.col("qid").alias("item_id"), "scope", "qvec"), "item_id").select(
+        F.col("item_id").alias("qid"), part.alias("part"), "qvec", F.expr("item_id % 5 <> 0").alias("found"), F.expr(MODEL_ANSWER).alias("answer"),
+        F.expr("cast(1 + item_id % 6 as int)").alias("source_id"))
+
+
+# Each message asks what one item asks and what the item two further on asks; the last two ask one thing.
+SQL_MESSAGES = SQL_BATCH[:SQL_BATCH.rindex("SELECT qid, handler,")] + f""", one AS (SELECT qid, handler, {sql_footer('body', 'url', 'd')} AS text FROM r),
+ pr AS (SELECT a.qid, a.handler AS h1, b.handler AS h2, x.text AS t1, y.text AS t2, x.handler AS g1, y.handler AS g2
+   FROM hd a LEFT JOIN hd b ON b.qid = a.qid + 2 JOIN one x ON x.qid = a.qid LEFT JOIN one y ON y.qid = b.qid),
+ st AS (SELECT *, CASE WHEN h1 = 'pii' OR h2 = 'pii' THEN 'pii' WHEN 'refuse_advice' IN (h1, h2) THEN 'refuse_advice' WHEN 'refuse_comparison' IN (h1, h2) THEN 'refuse_comparison' END AS stop FROM pr),
+ fx AS (SELECT handler, {sql_footer('body', 'url')} AS text FROM {SQL_REPLIES})
+SELECT qid, CASE WHEN stop IS NOT NULL THEN stop WHEN h2 IS NULL OR h2 = 'small_talk' THEN g1 WHEN h1 = 'small_talk' THEN g2 ELSE 'multi' END AS handler,
+ CASE WHEN stop IS NOT NULL THEN fx.text WHEN h2 IS NULL OR h2 = 'small_talk' OR t1 = t2 THEN t1 WHEN h1 = 'small_talk' THEN t2 ELSE t1 || chr(10) || chr(10) || t2 END AS text
+FROM st LEFT JOIN fx ON fx.handler = stop"""
+
+
+@query("answer_messages", SQL_MESSAGES)
+def answer_messages(t: Tables):
+    parts = parts_of(t)
+    second = parts.select((F.col("qid") - 2).alias("qid"), F.col("part").alias("other"))
+    messages = parts.select("qid", "part").join(second, "qid", "left").select(
+        "qid", F.concat_ws(" ", "part.question", "other.question").alias("message"), F.array_compact(F.array("part", "other")).alias("parts"),
+        F.struct(F.concat_ws(" ", "part.question", "other.question").alias("question"), F.lit("EXPLAIN").alias("intent"), "part.fact_fields",
+                 "part.all_schemes", "part.scheme_ids").alias("whole")).withColumn("standalone", F.col("message"))
+    said = parts.select("qid", F.col("part.question").alias("question"), "qvec", "found", "answer", "source_id")
+    model = said.unionByName(said.withColumn("qid", F.col("qid") - 2))
+    none = F.array().cast("array<string>")
+    return A.answer_messages(messages, model, PF.facts_from_part(t), answer_chunks(t), HOUSE, none, house_names=["acme"]).select("qid", "handler", "text")
+
+
 @query("judge_scorecard", f"""
 WITH a AS (SELECT quality = 1 OR turn % 4 = 0 AS answered, conv_id % 3 = 0 AS cited, toxic = 0 AS faithful, quality = 1 AS relevant, len({C.sql_sentences(C.sql_strip_links('body'))}) <= 3 AS short,
   NOT {C.sql_advice('body')} AS no_advice FROM (SELECT conv_id, turn, {C.SHORT_ANSWER} AS body FROM conversations WHERE role = 'assistant') JOIN labels ON doc_id = conv_id)

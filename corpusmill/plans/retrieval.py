@@ -17,11 +17,12 @@ ALIASES = {"en": ["from", "with", "er"], "fr": ["que", "la", "les"], "de": ["der
 HOUSE, GENERIC = ["that"], ["he", "re"]
 
 
-def chunks(t: Tables):
-    """Documents with terms, scope key (Spanish text is visible to all) and a vector dealt to them by id."""
+def chunks(t: Tables, *more):
+    """Documents with terms, scope key (Spanish text is visible to all) and a vector dealt to them by id; ``more``: further
+    columns of documents."""
     n = t.embeddings.agg(F.count("*").alias("n"))
     d = t.documents.select(F.col("doc_id").alias("id"), F.nullif(F.col("lang"), F.lit("es")).alias("key"),
-                           X.tokenize_terms(F.col("text")).alias("terms"), (F.col("doc_id") % n.scalar()).alias("vec_id"))
+                           X.tokenize_terms(F.col("text")).alias("terms"), (F.col("doc_id") % n.scalar()).alias("vec_id"), *more)
     return d.join(t.embeddings.select("vec_id", F.col("embedding").alias("vec"), "label"), "vec_id")
 
 
