@@ -147,16 +147,18 @@ def fact_sentence(field: Column, publisher: str = "the source page") -> Column:
 def fields_cross(requests: DataFrame, facts: DataFrame, publisher: str = "the source page") -> DataFrame:
     """Every requested (scheme, field) pair as one answer row; unknown schemes and fields fall out.
 
-    ``requests``: qid, scheme_ids, fact_fields. Only the asked schemes are joined and only the asked sentences built.
+    ``requests``: qid, scheme_ids, fact_fields. Each asked sentence is built once, however many requests ask for it, and
+    only text is joined to the requests.
     """
     known = F.array(*[F.lit(f) for f in X.FACT_SENTENCES])
     asked = requests.select("qid", F.posexplode("scheme_ids").alias("scheme_pos", "scheme_id"), "fact_fields")
-    one = asked.join(facts, "scheme_id")
-    pairs = one.select("*", F.posexplode(F.filter("fact_fields", lambda f: F.array_contains(known, f)))
-                       .alias("field_pos", "field"))
-    return pairs.select("qid", "scheme_pos", "field_pos", "scheme_id", "scheme_name", "field",
-                        fact_sentence(F.col("field"), publisher).alias("sentence"), "source_url",
-                        F.left("scraped_at", F.lit(10)).alias("scraped_at"))
+    pairs = asked.select("qid", "scheme_pos", "scheme_id", F.posexplode(F.filter(
+        "fact_fields", lambda f: F.array_contains(known, f))).alias("field_pos", "field"))
+    said = pairs.select("scheme_id", "field").distinct().join(facts, "scheme_id").select(
+        "scheme_id", "field", "scheme_name", fact_sentence(F.col("field"), publisher).alias("sentence"), "source_url",
+        F.left("scraped_at", F.lit(10)).alias("scraped_at"))
+    return pairs.join(said, ["scheme_id", "field"]).select(
+        "qid", "scheme_pos", "field_pos", "scheme_id", "scheme_name", "field", "sentence", "source_url", "scraped_at")
 
 
 def facts_to_documents(facts: DataFrame, publisher: str = "the source page") -> DataFrame:
