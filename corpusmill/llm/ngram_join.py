@@ -392,7 +392,7 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, n_shingles, cid) and sets (cid, n, grams, prefix) of the classes that may have a partner."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(16, max(4, (4 * parts - 1).bit_length()))
+    bits = min(16, max(8, (4 * parts - 1).bit_length()))
     dealt = docs.select("doc_id", "text").mapInArrow(lambda b: packs(b, bits, n), MESSAGE_DDL)
     counted = dealt.groupBy("dealt").applyInArrow(lambda t: repeated(t, bits), MESSAGE_DDL)
     rows = materialize(counted.groupBy("pack").applyInArrow(sets_of_pack, ROWS_DDL), "gram-sets")
