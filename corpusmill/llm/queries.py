@@ -133,7 +133,20 @@ def op9_pii(spark, folder):
                         span_text(F.col("spans")).alias("spans"))
 
 
-@query("op1_ngram_join")
+@query("op1_ngram_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS ws FROM documents),
+u AS (SELECT doc_id, len(ws) AS m, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+v AS (SELECT doc_id, m, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS x FROM u
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT DISTINCT doc_id, hash(x) AS g FROM v WHERE i <= greatest(m - 4, 1)),
+n AS (SELECT doc_id, count(g) AS n FROM w LEFT JOIN h USING (doc_id) GROUP BY doc_id),
+g AS (SELECT * FROM h SEMI JOIN (SELECT g FROM h GROUP BY g HAVING count(*) > 1) USING (g)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+k AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.d)
+SELECT doc_id, n AS n_shingles, min(c) AS component_id FROM n JOIN r ON r.d = doc_id GROUP BY ALL""")
 def op1_ngram_join(spark, folder):
     from corpusmill.llm.ngram_join import jaccard_join
     return jaccard_join(read(spark, folder, "documents"))
