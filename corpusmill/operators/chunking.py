@@ -81,36 +81,78 @@ def table_split(ls: Column, target: int = P.CHUNK_TARGET_TOKENS, glossary_rows:
         F.when(has_header, F.slice(ls, F.lit(3), F.size(ls))).otherwise(ls).alias("rows")), split)
 
 
-def token_windows(c: Column, target: int = P.CHUNK_TARGET_TOKENS, overlap: int = P.CHUNK_OVERLAP_TOKENS) -> Column:
-    """Exact slices of a text, ``target`` tokens each, ``overlap`` tokens shared with the slice before."""
-    w, nw = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
-    atoms = F.regexp_extract_all(c, F.lit(rf"\A{nw}*{w}+{nw}*|{w}+{nw}*"), 0)
-    return let(atoms, lambda a: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(a) - overlap - 1, F.lit(0)), F.lit(target - overlap)),
-        lambda i: strip(F.array_join(F.slice(a, i + 1, target), ""))))
+PROSE_BREAKS = ("\n\n", "\n", ". ", " ")
+PLAIN_BREAKS = ("\n\n", "\n", " ")
+ATOMS = "array<struct<t:string,n:int,level:int,first:boolean>>"
 
 
-def prose_split(c: Column, target: int = P.CHUNK_TARGET_TOKENS, overlap: int = P.CHUNK_OVERLAP_TOKENS) -> Column:
-    """Paragraphs packed in order; a paragraph above the target becomes overlapping token windows."""
-    paragraphs = F.filter(F.transform(F.split(c, r"\n\n+", -1), strip), lambda x: x != "")
-    counted = F.transform(paragraphs, lambda x: F.struct(x.alias("t"), token_count(x).alias("n")))
-    start = F.struct(F.array().cast(STRINGS).alias("pieces"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
+def recursive_split(c: Column, size: Column, overlap: Column, breaks: tuple[str, ...], last: str, measure=token_count) -> Column:
+    """Pieces of at most ``size``, cut at the coarsest break that makes them small enough, neighbours joined again with
+    up to ``overlap`` of the piece before.
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["cur"].isNull(), acc["pieces"]).otherwise(F.concat(acc["pieces"], F.array(acc["cur"])))
+    A part of ``size`` or more is cut at the next finer break, in the end at every match of ``last``. A break stays with the
+    part behind it. Only parts that come from one cut and lie side by side are joined. ``measure`` must add up over parts.
+    Every level reads the parts once and a piece is one slice of them, so the work grows with the text.
+    """
+    def parts(text: Column, level: int) -> Column:
+        if level == len(breaks):
+            return F.regexp_extract_all(text, F.lit(last), F.lit(0))
+        found = F.split(text, f"\\Q{breaks[level]}\\E", -1)
+        return F.filter(F.transform(found, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(breaks[level]), x))), lambda x: x != "")
 
-    def grow(acc: Column, x: Column) -> Column:
-        big = x["n"] > target
-        full = big | (acc["n"] + x["n"] > target)
-        fresh = full | acc["cur"].isNull()
-        return F.struct(
-            F.when(big, F.concat(closed(acc), token_windows(x["t"], target, overlap)))
-            .when(full, closed(acc)).otherwise(acc["pieces"]).alias("pieces"),
-            F.when(big, F.lit(None).cast("string")).when(fresh, x["t"]).otherwise(
-                F.concat(acc["cur"], F.lit("\n\n"), x["t"])).alias("cur"),
-            F.when(big, F.lit(0)).when(fresh, x["n"]).otherwise(acc["n"] + x["n"]).alias("n"))
+    def cut(level: int, a: Column) -> Column:
+        finer = F.transform(parts(a["t"], level), lambda x, i: F.struct(
+            x.alias("t"), measure(x).alias("n"), F.lit(level).alias("level"), (i == 0).alias("first")))
+        return F.when(a["n"] >= size, finer).otherwise(F.array(a))
+
+    def refined(atoms: Column, level: int) -> Column:
+        return F.flatten(F.transform(atoms, lambda a: cut(level, a)))
+
+    # The whole text counts as too large at first, so even a small one is cut and joined by the same rule.
+    whole = F.struct(c.alias("t"), size.alias("n"), F.lit(-1).alias("level"), F.lit(True).alias("first"))
+    atoms = F.array(whole).cast(ATOMS)
+    for level in range(len(breaks) + 1):
+        atoms = refined(atoms, level)
+
+    def joined(ats: Column) -> Column:
+        span = "array<struct<s:int,e:int>>"
+        start = F.struct(F.array().cast(span).alias("spans"), F.lit(1).alias("s"), F.lit(0).alias("n"))
+
+        def state(spans: Column, s: Column, n: Column) -> Column:
+            return F.struct(spans.alias("spans"), s.alias("s"), n.alias("n"))
 
-    return F.aggregate(counted, start, grow, closed)
+        def closed(acc: Column, end: Column) -> Column:
+            return F.when(end < acc["s"], acc["spans"]).otherwise(
+                F.concat(acc["spans"], F.array(F.struct(acc["s"].alias("s"), end.alias("e")))))
+
+        def grow(acc: Column, i: Column) -> Column:
+            def step(x: Column) -> Column:
+                before = F.try_element_at(ats, F.greatest(i - 1, F.lit(1)))
+                fresh = x["first"] | (before["level"] != x["level"])
+                full = acc["n"] + x["n"] > size
+
+                def drop(left: Column, y: Column) -> Column:
+                    over = (left["n"] > overlap) | ((left["n"] + x["n"] > size) & (left["n"] > 0))
+                    return F.when(over, F.struct((left["s"] + 1).alias("s"), (left["n"] - y["n"]).alias("n"))).otherwise(left)
+
+                lap = F.aggregate(F.slice(ats, acc["s"], i - acc["s"]), F.struct(acc["s"].alias("s"), acc["n"].alias("n")), drop)
+                return (F.when(fresh, state(closed(acc, i - 1), i, x["n"]))
+                        .when(full, let(lap, lambda left: state(closed(acc, i - 1), left["s"], left["n"] + x["n"])))
+                        .otherwise(state(acc["spans"], acc["s"], acc["n"] + x["n"])))
+            return let(F.element_at(ats, i), step)
+
+        spans = F.aggregate(F.sequence(F.lit(1), F.size(ats)), start, grow, lambda acc: closed(acc, F.size(ats)))
+        text = F.transform(spans, lambda p: strip(F.array_join(F.transform(
+            F.slice(ats, p["s"], p["e"] - p["s"] + 1), lambda x: x["t"]), "")))
+        return F.when(F.size(ats) > 0, F.filter(text, lambda x: x != "")).otherwise(F.array().cast(STRINGS))
+
+    return let(atoms, joined)
+
+
+def prose_split(c: Column, target: int = P.CHUNK_TARGET_TOKENS, overlap: int = P.CHUNK_OVERLAP_TOKENS) -> Column:
+    """Paragraphs, then lines, sentences, words and single tokens, in pieces of at most ``target`` tokens that overlap."""
+    w, nw = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    return recursive_split(c, F.lit(target), F.lit(overlap), PROSE_BREAKS, rf"\A{nw}*{w}+{nw}*|{w}+{nw}*")
 
 
 def merge_small(pieces: Column, target: int = P.CHUNK_TARGET_TOKENS) -> Column:
@@ -189,17 +231,16 @@ def chunk_table(docs: DataFrame, header: Column, pieces: Column, keep: list[str]
 
 
 def section_chunking(docs: DataFrame, section: str, text: str, config: dict[str, tuple[int, int]]) -> DataFrame:
-    """Character windows (size, overlap) for the sections that have a setting; the others pass whole."""
-    sizes = F.create_map(*[F.lit(x) for k, (size, _) in config.items() for x in (k, size)])
-    laps = F.create_map(*[F.lit(x) for k, (_, lap) in config.items() for x in (k, lap)])
-    sized = docs.withColumn("_size", F.try_element_at(sizes, F.col(section))).withColumn(
-        "_step", F.col("_size") - F.try_element_at(laps, F.col(section)))
-    lap = F.col("_size") - F.col("_step")
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - lap - 1, F.lit(0)), F.coalesce("_step", F.lit(1)))
-    windows = F.when(F.col("_size").isNull(), F.array(text)).otherwise(
-        F.transform(starts, lambda i: F.substring(F.col(text), i + 1, F.col("_size"))))
-    return sized.withColumn("_w", windows).drop(text, "_size", "_step").select(
-        "*", F.posexplode("_w").alias("chunk_index", text)).drop("_w")
+    """Pieces of (size, overlap) characters for the sections that have a setting, cut at paragraphs, lines, words, then
+    characters; the other sections pass whole."""
+    def pieces(limits: Column) -> Column:
+        return recursive_split(F.col(text), limits["size"], limits["lap"], PLAIN_BREAKS, r"(?s).", F.length)
+
+    limits = F.create_map(*[x for k, (size, lap) in config.items() for x in (
+        F.lit(k), F.struct(F.lit(size).alias("size"), F.lit(lap).alias("lap")))])
+    sized = docs.withColumn("_limits", F.try_element_at(limits, F.col(section)))
+    cut = F.when(F.col("_limits").isNull(), F.array(text)).otherwise(let(F.col("_limits"), pieces))
+    return sized.withColumn("_w", cut).drop(text, "_limits").select("*", F.posexplode("_w").alias("chunk_index", text)).drop("_w")
 
 
 def chunk_size_check(chunks: DataFrame, limit: int = P.CHUNK_MAX_TOKENS + P.CHUNK_SLACK_TOKENS) -> DataFrame:

@@ -32,22 +32,35 @@ def sql_pack(items: str, budget: str, prefix: str, joiner: str = "chr(10)") -> s
     return f"list_transform([{done}], lambda z: CASE WHEN z.c IS NULL THEN z.p ELSE list_append(z.p, {prefix} || z.c) END)[1]"
 
 
-def sql_windows(x: str) -> str:
-    atoms = f"regexp_extract_all({x}, '^{C.NW}*{C.W}+{C.NW}*|{C.W}+{C.NW}*')"
-    return (f"list_transform([{atoms}], lambda t: list_transform(range(0, greatest(len(t) - 51, 0) + 1, 300), lambda i: "
-            f"{C.sql_strip('array_to_string(t[i + 1:i + 350], chr(0))')}))[1]").replace("chr(0)", "''")
-
-
-def sql_prose(x: str) -> str:
-    pars = f"list_filter(list_transform(regexp_split_to_array({x}, '\\n\\n+'), lambda y: {C.sql_strip('y')}), lambda y: y <> '')"
-    elements = f"list_transform({pars}, lambda y: {{'p': CAST([] AS VARCHAR[]), 'c': y, 'n': {TOK('y')}}})"
-    start = "{'p': CAST([] AS VARCHAR[]), 'c': CAST(NULL AS VARCHAR), 'n': 0}"
-    closed = "CASE WHEN a.c IS NULL THEN a.p ELSE list_append(a.p, a.c) END"
-    step = (f"CASE WHEN e.n > 350 THEN {{'p': list_concat({closed}, {sql_windows('e.c')}), 'c': CAST(NULL AS VARCHAR), 'n': 0}} "
-            f"WHEN a.c IS NULL THEN {{'p': a.p, 'c': e.c, 'n': e.n}} WHEN a.n + e.n > 350 THEN {{'p': list_append(a.p, a.c), 'c': e.c, 'n': e.n}} "
-            f"ELSE {{'p': a.p, 'c': a.c || chr(10) || chr(10) || e.c, 'n': a.n + e.n}} END")
-    done = f"list_reduce({elements}, lambda a, e: {step}, {start})"
-    return f"list_transform([{done}], lambda z: CASE WHEN z.c IS NULL THEN z.p ELSE list_append(z.p, z.c) END)[1]"
+def sql_recursive(name: str, source: str, keys: str, breaks: tuple[str, ...], last: str, measure) -> str:
+    """CTEs that end in ``name`` (keys, ps): texts of ``source`` (keys, t, size, lap) split level by level. A part too large for a
+    piece is cut at the next break; the small parts of one cut between two large ones are a run and are joined with overlap."""
+    ctes = [f"{name}_0 AS (SELECT {keys}, size, lap, CAST([] AS INTEGER[]) AS up, CAST([] AS INTEGER[]) AS path, t, true AS big FROM ({source}))"]
+    for level in range(1, len(breaks) + 2):
+        if level <= len(breaks):
+            sep = breaks[level - 1]
+            parts = f"list_transform(string_split(t, {sep}), lambda x, i: {{'i': CAST(i AS INTEGER), 't': CASE WHEN i = 1 THEN x ELSE {sep} || x END}})"
+        else:
+            parts = f"list_transform(regexp_extract_all(t, '{last}'), lambda x, i: {{'i': CAST(i AS INTEGER), 't': x}})"
+        ctes.append(f"{name}_{level} AS (SELECT * EXCLUDE (part), list_append(up, part.i) AS path, part.t AS t, {measure('part.t')} >= size AND {level} <= {len(breaks)} AS big "
+                    f"FROM (SELECT {keys}, size, lap, path AS up, unnest({parts}) AS part FROM {name}_{level - 1} WHERE big) WHERE part.t <> '')")
+    every = " UNION ALL BY NAME ".join(f"SELECT * FROM {name}_{level}" for level in range(1, len(breaks) + 2))
+    after = "coalesce(list_sum(list_transform(a.w[j:], lambda x: x.n)), 0)"
+    keep = f"list_filter(range(1, len(a.w) + 2), lambda j: {after} <= e.lap AND ({after} + e.n <= e.size OR {after} = 0))[1]"
+    text = lambda z: C.sql_strip(f"array_to_string(list_transform({z}.w, lambda x: x.t), '')")
+    popped = f"list_transform([a.w[({keep}):]], lambda w: {{'p': list_append(a.p, {text('a')}), 'w': list_concat(w, e.w), 'n': CAST(coalesce(list_sum(list_transform(w, lambda x: x.n)), 0) + e.n AS INTEGER), 'size': e.size, 'lap': e.lap}})[1]"
+    step = f"CASE WHEN a.n + e.n > e.size THEN {popped} ELSE {{'p': a.p, 'w': list_concat(a.w, e.w), 'n': CAST(a.n + e.n AS INTEGER), 'size': e.size, 'lap': e.lap}} END"
+    ctes.append(f"""{name}_run AS (SELECT *, {measure('t')} AS n, sum(CAST(big AS INTEGER)) OVER (PARTITION BY {keys}, up ORDER BY path) AS run FROM ({every})),
+ {name}_list AS (SELECT {keys}, min(path) AS path, list({{'p': CAST([] AS VARCHAR[]), 'w': [{{'t': t, 'n': n}}], 'n': n, 'size': size, 'lap': lap}} ORDER BY path) AS l
+   FROM {name}_run WHERE NOT big GROUP BY {keys}, up, run),
+ {name}_done AS (SELECT {keys}, path, list_reduce(l, lambda a, e: {step}) AS z FROM {name}_list),
+ {name} AS (SELECT {keys}, list_filter(flatten(list(list_append(z.p, {text('z')}) ORDER BY path)), lambda x: x <> '') AS ps FROM {name}_done GROUP BY {keys})""")
+    return ",\n ".join(ctes)
+
+
+def sql_prose(name: str, source: str, keys: str) -> str:
+    return sql_recursive(name, f"SELECT {keys}, t, 350 AS size, 50 AS lap FROM {source}", keys, ("chr(10) || chr(10)", "chr(10)", "'. '", "' '"),
+                         f"^{C.NW}*{C.W}+{C.NW}*|{C.W}+{C.NW}*", TOK)
 
 
 def sql_merge(pieces: str) -> str:
@@ -81,8 +94,9 @@ SQL_TABLE_SPLIT = (f"list_transform([{{'h': CASE WHEN regexp_matches(lines[2], '
                    f"ELSE {sql_pack('s.r', '350 - ' + TOK('array_to_string(s.h, chr(10))'), 'CASE WHEN len(s.h) > 0 THEN array_to_string(s.h, chr(10)) || chr(10) ELSE chr(32)[:0] END')} END)[1]")
 SQL_ATOMIC = ("len(string_split(lines[1], '|')) = 2 AND (CASE WHEN regexp_matches(lines[2], '^[\\s|:-]+$') THEN len(lines) - 2 ELSE len(lines) END) >= 30")
 SQL_PIECES = f"""tx AS (SELECT *, {C.sql_strip('array_to_string(lines, chr(10))')} AS t FROM blocks),
+ {sql_prose('prose', f"tx WHERE kind = 'text' AND {TOK('t')} > 350", 'doc_id, block')},
  pc AS (SELECT doc_id, block, CASE WHEN t = '' THEN [] WHEN kind = 'table' THEN {SQL_TABLE_SPLIT} WHEN {TOK('t')} > 350 AND kind = 'list' THEN {sql_pack('lines', '350', "''")}
-   WHEN {TOK('t')} > 350 THEN {sql_prose('t')} ELSE [t] END AS ps, kind = 'table' AND {SQL_ATOMIC} AS atomic FROM tx),
+   WHEN {TOK('t')} > 350 THEN prose.ps ELSE [t] END AS ps, kind = 'table' AND {SQL_ATOMIC} AS atomic FROM tx LEFT JOIN prose USING (doc_id, block)),
  fl AS (SELECT doc_id, flatten(list(list_transform(ps, lambda x: {{'t': x, 'a': atomic}}) ORDER BY block)) AS ps FROM pc GROUP BY doc_id),
  parts AS (SELECT d.doc_id, CASE WHEN {TOK('b')} <= 400 THEN [b] ELSE {sql_merge('ps')} END AS ps FROM d JOIN fl USING (doc_id))"""
 
@@ -115,8 +129,8 @@ def table_split(t: Tables):
 SQL_DOUBLE = "text || chr(10) || chr(10) || 'Short close.' || chr(10) || chr(10) || text"
 
 
-@query("prose_split", f"""WITH d AS (SELECT doc_id, {sql_prose(SQL_DOUBLE)} AS p FROM documents)
-SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS part_no, unnest(p) AS text FROM d""")
+@query("prose_split", f"""WITH {sql_prose('prose', f"(SELECT doc_id, {SQL_DOUBLE} AS t FROM documents)", 'doc_id')}
+SELECT doc_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS part_no, unnest(ps) AS text FROM prose""")
 def prose_split(t: Tables):
     return explode(t.documents, K.prose_split(F.expr(SQL_DOUBLE)), "doc_id")
 
@@ -178,9 +192,14 @@ def chunk_numbering(t: Tables):
 SETTINGS = {"en": (800, 80), "de": (1000, 150), "fr": (800, 120)}
 
 
-@query("section_chunking", """
-WITH s AS (SELECT doc_id, lang, text, CASE lang WHEN 'en' THEN 800 WHEN 'de' THEN 1000 WHEN 'fr' THEN 800 END AS size, CASE lang WHEN 'en' THEN 80 WHEN 'de' THEN 150 WHEN 'fr' THEN 120 END AS lap FROM documents),
- w AS (SELECT doc_id, lang, CASE WHEN size IS NULL THEN [text] ELSE list_transform(range(0, greatest(length(text) - lap - 1, 0) + 1, size - lap), lambda i: substr(text, i + 1, size)) END AS p FROM s)
+SQL_SETTINGS = "CASE lang WHEN 'en' THEN {} WHEN 'de' THEN {} WHEN 'fr' THEN {} END"
+SQL_LIMITED = (f"SELECT doc_id, text AS t, {SQL_SETTINGS.format(*[size for size, _ in SETTINGS.values()])} AS size, "
+               f"{SQL_SETTINGS.format(*[lap for _, lap in SETTINGS.values()])} AS lap FROM documents WHERE lang IN ('en', 'de', 'fr')")
+
+
+@query("section_chunking", f"""
+WITH {sql_recursive('cut', SQL_LIMITED, 'doc_id', ("chr(10) || chr(10)", "chr(10)", "' '"), '(?s).', lambda x: f"CAST(length({x}) AS INTEGER)")},
+ w AS (SELECT d.doc_id, lang, CASE WHEN lang IN ('en', 'de', 'fr') THEN ps ELSE [text] END AS p FROM documents d LEFT JOIN cut USING (doc_id))
 SELECT doc_id, lang, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS chunk_index, unnest(p) AS text FROM w""")
 def section_chunking(t: Tables):
     return K.section_chunking(t.documents.select("doc_id", "lang", "text"), "lang", "text", SETTINGS)

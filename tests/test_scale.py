@@ -188,13 +188,14 @@ def test_multisets_without_lists(spark):
 def test_chunks_keep_every_token_and_stay_small(spark):
     text = " ".join(f"w{i}" for i in range(1000)) + "\n\n" + "\n".join(f"- item {i} of the list" for i in range(120)) + "\nTerm | Meaning\n---|---\n" + "\n".join(
         f"T{i} | meaning {i}" for i in range(40))
-    pieces = spark.range(1).select(K.split_body(F.lit(text)).alias("p"), K.token_windows(F.lit(text)).alias("w")).collect()[0]
+    dotted = ".".join(f"w{i}" for i in range(1000))  # no break but between tokens
+    pieces = spark.range(1).select(K.split_body(F.lit(text)).alias("p"), K.prose_split(F.lit(dotted)).alias("w")).collect()[0]
     sizes = [len(__import__("re").findall(r"\w+", p)) for p in pieces.p]
     assert max(sizes) <= K.P.CHUNK_MAX_TOKENS + K.P.CHUNK_SLACK_TOKENS
     joined = " ".join(pieces.p)
     assert all(f"w{i}" in joined for i in range(1000)) and all(f"item {i} " in joined for i in range(120))
     assert sum(p.startswith("T") and ": meaning" in p for p in pieces.p) == 40  # one piece per term, never merged
-    whole = __import__("re").findall(r"\w+", text)
+    whole = __import__("re").findall(r"\w+", dotted)
     back = []
     for w in pieces.w:
         tokens = __import__("re").findall(r"\w+", w)
@@ -202,6 +203,46 @@ def test_chunks_keep_every_token_and_stay_small(spark):
     assert back == whole
 
 
+def split_plainly(text, size, lap, breaks, last, measure):
+    """The recursive rule, one text at a time: cut at the coarsest break, join what is small with overlap."""
+    import re
+
+    def join(parts):
+        done, held = [], []
+        for part in parts:
+            if held and sum(map(measure, held)) + measure(part) > size:
+                done.append("".join(held))
+                while sum(map(measure, held)) > lap or 0 < sum(map(measure, held)) > size - measure(part):
+                    held = held[1:]
+            held = [*held, part]
+        return [t for t in (x.strip() for x in [*done, "".join(held)]) if t]
+
+    first, *finer = breaks or [None]
+    parts = re.findall(last, text, re.S) if first is None else [first * (i > 0) + x for i, x in enumerate(text.split(first))]
+    out, small = [], []
+    for part in filter(None, parts):
+        if measure(part) < size or first is None:
+            small.append(part)
+        else:
+            out += join(small) + split_plainly(part, size, lap, finer, last, measure)
+            small = []
+    return out + join(small)
+
+
+def test_recursive_split_follows_the_plain_rule(spark):
+    import random
+    import re
+    rnd = random.Random(5)
+    marks = ["w", "word ", "x. ", "end.\n", "p\n\n", "\n", "\n\n\n", "--- ", ".", "é "]
+    texts = ["", "a", "\n\n", "a.b.c.d.e.f.g.h.i.j.k.l.m.n"] + ["".join(rnd.choices(marks, k=rnd.randint(1, 200))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = df.select("t", K.prose_split(F.col("t"), 12, 4).alias("tokens"),
+                    K.recursive_split(F.col("t"), F.lit(15), F.lit(5), K.PLAIN_BREAKS, r"(?s).", F.length).alias("chars")).collect()
+    for r in got:
+        assert r.tokens == split_plainly(r.t, 12, 4, K.PROSE_BREAKS, r"\A\W*\w+\W*|\w+\W*", lambda x: len(re.findall(r"\w+", x))), r.t
+        assert r.chars == split_plainly(r.t, 15, 5, K.PLAIN_BREAKS, ".", len), r.t
+
+
 def test_nothing_is_written_when_a_check_fails(spark, tmp_path):
     wrote = []
     bad = spark.createDataFrame([(f"id{i}", "missing nav") for i in range(30)], "id string, problem string")
