@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.session import materialize
+
 
 def key_hash(keys: list[Column]) -> Column:
     """Fixed-width stand-in for a composite key; the text itself never travels through a shuffle."""
@@ -30,13 +32,23 @@ def dedupe_first(df: DataFrame, keys: list[Column], row_id: str) -> DataFrame:
     return flag_duplicates(df, keys, row_id).where(~F.col("duplicate")).drop("duplicate")
 
 
-def occurrence_no(df: DataFrame, keys: list[str], order: str, width: int = 100_000) -> DataFrame:
-    """0-based number of each row within its key, in order of a unique integer id.
+def key_cells(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Add ``_cell``: the number of the range of (keys, order) that a row falls in.
+
+    Ranges are cut by sampled row counts, so they hold about equally many rows whatever the ids look like, and a key with
+    most rows spans many of them. The table is written, so every reader sees the same cells.
+    """
+    ranged = df.repartitionByRange(*[F.col(f"`{c}`") for c in [*keys, order]])
+    return materialize(ranged.withColumn("_cell", F.spark_partition_id()), "cells")
+
+
+def occurrence_no(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """0-based number of each row within its key, in order of a unique column.
 
-    Rows are numbered inside (key, id range) cells and shifted by the sizes of the earlier cells of the key, so the
-    largest sort holds ``width`` rows however many rows share one key.
+    Rows are numbered inside (key, cell) and shifted by the sizes of the earlier cells of the key, so no task sorts a whole
+    hot key, and sparse or hash-like ids don't matter.
     """
-    split = df.withColumn("_cell", F.expr(f"`{order}` div {width}"))
+    split = key_cells(df, keys, order)
     sizes = split.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

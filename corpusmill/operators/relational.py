@@ -174,7 +174,7 @@ def previous_rows(df: DataFrame, key: str, order: str, value: Column, n: int, wi
     Rows are numbered per key and dealt into cells of ``width`` rows; each cell also gets the last n rows of the cell
     before it as context, so no task holds one long key whole.
     """
-    numbered = occurrence_no(df.withColumn("_v", value), [key], order, width)
+    numbered = occurrence_no(df.withColumn("_v", value), [key], order)
     rn = F.col("occurrence_no")
     home = F.expr(f"occurrence_no div {width}")
     cells = F.when(rn % width >= width - n, F.array(home, home + 1)).otherwise(F.array(home))

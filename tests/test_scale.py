@@ -33,10 +33,25 @@ def by_key(rows):
 
 def test_occurrence_numbers_across_cells(hot):
     rows, df = hot
-    got = {r.id: r.occurrence_no for r in dedupe.occurrence_no(df, ["key"], "id", width=7).collect()}
+    got = {r.id: r.occurrence_no for r in dedupe.occurrence_no(df, ["key"], "id").collect()}
     assert got == {i: n for g in by_key(rows).values() for n, (i, _) in enumerate(g)}
 
 
+def test_hash_like_ids_of_a_hot_key_are_dealt_into_even_cells(hot, spark):
+    rows, df = hot
+    name, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(name, "false")
+    try:
+        hashed = df.withColumn("id", F.xxhash64("id"))
+        cells = dedupe.key_cells(hashed, ["key"], "id").where("key = 'hot'").groupBy("_cell").count().collect()
+        got = {(r.key, r.id): r.occurrence_no for r in dedupe.occurrence_no(hashed, ["key"], "id").collect()}
+        ids = sorted(r.id for r in hashed.where("key = 'hot'").collect())
+    finally:
+        spark.conf.set(name, before)
+    assert len(cells) >= 3 and max(c["count"] for c in cells) <= len(rows) / 4
+    assert all(got["hot", i] == n for n, i in enumerate(ids)) and len(got) == len(rows)
+
+
 def test_previous_rows_across_cells(hot):
     rows, df = hot
     got = {r.id: r.previous for r in R.previous_rows(df, "key", "id", F.col("v"), 4, width=6).collect()}
