@@ -42,14 +42,22 @@ def finalized(house: House, body: Column, url: Column, date: Column) -> Column:
 
 # ---- routing ----
 
-def route_decision(df: DataFrame, all_ids: Column) -> DataFrame:
-    """Add ``handler`` (and the full scheme list where all were asked for) from a classified intent.
+#: Stands in ``scheme_ids`` for every scheme there is; a question never carries the list of all.
+EVERY = "*"
+
+
+def asks_every(ids: Column | str) -> Column:
+    return F.array_contains(ids, EVERY)
+
+
+def route_decision(df: DataFrame) -> DataFrame:
+    """Add ``handler`` (and the mark ``EVERY`` where all schemes were asked for) from a classified intent.
 
     ``df``: intent, fact_fields, all_schemes, scheme_ids.
     """
     fact = F.col("intent") == "FACT"
     named = F.size("scheme_ids") > 0
-    ids = F.when(fact & F.col("all_schemes") & ~named, all_ids).otherwise(F.col("scheme_ids"))
+    ids = F.when(fact & F.col("all_schemes") & ~named, F.array(F.lit(EVERY))).otherwise(F.col("scheme_ids"))
     others = F.create_map(*[F.lit(x) for kv in P.INTENT_HANDLERS.items() for x in kv])
     handler = (F.when(fact & (F.size("fact_fields") <= 0), "retrieval").when(fact & (F.size("scheme_ids") <= 0), "ask_scheme")
                .when(fact, "sql_fact").otherwise(F.try_element_at(others, F.col("intent"))))
@@ -134,6 +142,17 @@ def assemble_answers(pairs: DataFrame, house: House) -> DataFrame:
     return grouped.select("qid", finalized(house, body, url, F.col("updated")).alias("a")).select("qid", "a.*")
 
 
+def answer_every_scheme(requests: DataFrame, facts: DataFrame, house: House) -> DataFrame:
+    """Answers to questions about all schemes: one for each list of fields, however many questions ask it.
+
+    ``requests``: qid, fact_fields. Facts are read once and cut to the few that a reply shows before any shuffle.
+    """
+    asked = requests.select("qid", "fact_fields", F.to_json("fact_fields").alias("_list"))
+    lists = asked.select(F.col("_list").alias("qid"), "fact_fields").distinct()
+    told = assemble_answers(fact_ops.every_cross(lists, facts, P.MAX_LIST_ITEMS), house).withColumnRenamed("qid", "_list")
+    return asked.select("qid", "_list").join(told, "_list").drop("_list")
+
+
 def format_rows(rows: Column, footer: Column) -> Column:
     """The older answer text over result rows, array<struct<name, value, extra>>."""
     line = lambda r: F.concat(F.lit("- "), r["name"], F.lit(": "), r["value"], F.coalesce(
@@ -183,7 +202,7 @@ def fixed_reply(df: DataFrame, house: House) -> DataFrame:
 REPLY_COLUMNS = ["qid", "handler", "text", "body", "citation_url", "last_updated"]
 
 
-def batch_answer(questions: DataFrame, facts: DataFrame, chunks: DataFrame, house: House, all_ids: Column,
+def batch_answer(questions: DataFrame, facts: DataFrame, chunks: DataFrame, house: House,
                  k: int = P.RETRIEVAL_K, house_names: list[str] | None = None) -> DataFrame:
     """(qid, handler, text, body, citation_url, last_updated): one reply per question of one part.
 
@@ -191,7 +210,7 @@ def batch_answer(questions: DataFrame, facts: DataFrame, chunks: DataFrame, hous
     retrieved passages (found, answer, source_id). ``chunks``: id, terms, vec, key, text, source_url, scraped_at.
     Screened messages never reach a lookup or a search.
     """
-    routed = route_decision(questions, all_ids).withColumn("handler", F.coalesce(
+    routed = route_decision(questions).withColumn("handler", F.coalesce(
         F.when(has_pii(F.col("message")), "pii"), refusal_kind(F.col("message"), house_names), F.col("handler")))
     return answer_routed(materialize(routed.select(
         "qid", "handler", "message", "scheme_ids", "fact_fields", "qvec", "found", "answer", "source_id"), "routed"), facts, chunks, house, k)
@@ -201,12 +220,14 @@ def answer_routed(routed: DataFrame, facts: DataFrame, chunks: DataFrame, house:
     """Replies to routed questions. ``routed`` is read by every branch, so it should be a written table: qid, handler,
     message, scheme_ids, fact_fields, qvec, found, answer, source_id."""
     asked = routed.where("handler = 'sql_fact'").select("qid", "scheme_ids", "fact_fields")
-    answered = materialize(assemble_answers(fact_ops.fields_cross(asked, facts), house).withColumn(
-        "handler", F.lit("sql_fact")).select(*REPLY_COLUMNS), "fact-answers")
+    named = assemble_answers(fact_ops.fields_cross(asked.where(~asks_every("scheme_ids")), facts), house)
+    told = named.unionByName(answer_every_scheme(asked.where(asks_every("scheme_ids")), facts, house))
+    answered = materialize(told.withColumn("handler", F.lit("sql_fact")).select(*REPLY_COLUMNS), "fact-answers")
     no_fact = asked.join(answered, "qid", "left_anti").select("qid", F.lit("not_found").alias("handler"))
 
     search = routed.where("handler = 'retrieval'").select(
-        "qid", F.col("message").alias("text"), F.col("message").alias("stripped"), F.col("scheme_ids").alias("scope"), "qvec")
+        "qid", F.col("message").alias("text"), F.col("message").alias("stripped"),
+        F.filter("scheme_ids", lambda i: i != EVERY).alias("scope"), "qvec")
     hits = materialize(fusion.hybrid_retrieve(search, chunks.select("id", "terms", "vec", "key"), k).select(
         "qid", "id", "rank", "best_cosine"), "hits")
     # Passages of the few hits only: their ids meet the text column at its scan.
@@ -230,7 +251,7 @@ def answer_routed(routed: DataFrame, facts: DataFrame, chunks: DataFrame, house:
     return answered.unionByName(explained).unionByName(said)
 
 
-def answer_messages(messages: DataFrame, model: DataFrame, facts: DataFrame, chunks: DataFrame, house: House, all_ids: Column,
+def answer_messages(messages: DataFrame, model: DataFrame, facts: DataFrame, chunks: DataFrame, house: House,
                     k: int = P.RETRIEVAL_K, house_names: list[str] | None = None) -> DataFrame:
     """(qid, handler, text, body, citation_url, last_updated): one reply per message, which may ask several things.
 
@@ -246,7 +267,7 @@ def answer_messages(messages: DataFrame, model: DataFrame, facts: DataFrame, chu
     each = screened.where("stop IS NULL").select("qid", F.posexplode(F.array_append("parts", F.col("whole"))).alias("no", "p"),
                                                  F.size("parts").alias("n")).select("qid", "no", "n", "p.*")
     route = F.struct("question", "handler", "scheme_ids", "fact_fields")
-    routes = route_decision(each, all_ids).groupBy("qid").agg(
+    routes = route_decision(each).groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("no", (F.col("no") == F.col("n")).alias("is_whole"), route.alias("r")))).alias("all"))
     one = lambda flag: F.transform(F.filter("all", lambda x: x["is_whole"] == flag), lambda x: x["r"])
     planned = routes.select("qid", message_plan(one(F.lit(False)), one(F.lit(True))[0]).alias("plan"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions import patterns as P
@@ -10,6 +11,7 @@ from corpusmill.functions import templates as X
 from corpusmill.functions.scalars import (compose_duration, embedded_json, format_currency, rupees, stable_id, trim_all,
                                           utc_to_local_date)
 from corpusmill.functions.text import rep, strip
+from corpusmill.operators.relational import topn_per_group
 
 PAGE_SCHEMA = """
 scheme_name string, fund_house string, category string, sub_category string, plan_type string, benchmark_name string,
@@ -161,6 +163,24 @@ def fields_cross(requests: DataFrame, facts: DataFrame, publisher: str = "the so
         "qid", "scheme_pos", "field_pos", "scheme_id", "scheme_name", "field", "sentence", "source_url", "scraped_at")
 
 
+def every_cross(lists: DataFrame, facts: DataFrame, n: int, publisher: str = "the source page") -> DataFrame:
+    """Rows as of ``fields_cross`` for lists of fields asked of every scheme: the first n schemes of each field.
+
+    ``lists``: qid, fact_fields. The first n pairs of a list, by scheme and field, are always among them. ``scraped_at`` is
+    the newest of all schemes, shown or not.
+    """
+    names = F.array(*[F.lit(f) for f in X.FACT_SENTENCES])
+    said = facts.withColumn("field", F.explode(names)).select(
+        "scheme_id", "field", "scheme_name", fact_sentence(F.col("field"), publisher).alias("sentence"), "source_url")
+    first = topn_per_group(said.where("sentence IS NOT NULL"), ["field"], [F.col("scheme_id")], n).drop("rank")
+    newest = facts.agg(F.max(F.left("scraped_at", F.lit(10)))).scalar()
+    wanted = lists.select("qid", F.posexplode("fact_fields").alias("field_pos", "field"))
+    order = W.partitionBy("qid").orderBy("scheme_id")
+    return wanted.join(first, "field").select(
+        "qid", (F.dense_rank().over(order) - 1).alias("scheme_pos"), "field_pos", "scheme_id", "scheme_name", "field", "sentence",
+        "source_url", newest.alias("scraped_at"))
+
+
 def facts_to_documents(facts: DataFrame, publisher: str = "the source page") -> DataFrame:
     """Five templated documents per fact record, with stable ids and provenance."""
     c = {name: F.col(name) for name in (

@@ -40,13 +40,12 @@ IDS = "CASE o_custkey % 4 WHEN 0 THEN array(o_orderstatus) ELSE filter(array('x'
 @query("route_decision", f"""
 WITH r AS (SELECT o_orderkey, {INTENT} AS intent, CASE o_custkey % 3 WHEN 0 THEN ['nav'] WHEN 1 THEN ['nav', 'aum'] ELSE [] END AS f,
  CASE o_custkey % 4 WHEN 0 THEN [o_orderstatus] ELSE [] END AS i, o_orderkey % 5 = 0 AS every FROM orders),
- a AS (SELECT *, CASE WHEN intent = 'FACT' AND every AND len(i) = 0 THEN (SELECT list(r_name ORDER BY r_name) FROM region) ELSE i END AS ids FROM r)
+ a AS (SELECT *, CASE WHEN intent = 'FACT' AND every AND len(i) = 0 THEN ['*'] ELSE i END AS ids FROM r)
 SELECT o_orderkey, array_to_string(ids, ',') AS ids, CASE intent WHEN 'EXPLAIN' THEN 'retrieval' WHEN 'ADVICE' THEN 'refuse_advice' WHEN 'PERFORMANCE_COMPARISON' THEN 'refuse_comparison'
  WHEN 'OFF_TOPIC' THEN 'off_topic' WHEN 'SMALL_TALK' THEN 'small_talk' ELSE CASE WHEN len(f) = 0 THEN 'retrieval' WHEN len(ids) = 0 THEN 'ask_scheme' ELSE 'sql_fact' END END AS handler FROM a""")
 def route_decision(t: Tables):
-    every = t.region.agg(F.array_sort(F.collect_list("r_name")).alias("ids"))  # five regions
     r = t.orders.selectExpr("o_orderkey", f"{INTENT} AS intent", f"{FIELDS} AS fact_fields", f"{IDS} AS scheme_ids", "o_orderkey % 5 = 0 AS all_schemes")
-    return A.route_decision(r, every.scalar()).select("o_orderkey", F.array_join("scheme_ids", ",").alias("ids"), "handler")
+    return A.route_decision(r).select("o_orderkey", F.array_join("scheme_ids", ",").alias("ids"), "handler")
 
 
 # Three parts per order.
@@ -127,6 +126,17 @@ def assemble_answers(t: Tables):
     return A.assemble_answers(pairs, HOUSE).select("qid", "body", "citation_url", "text")
 
 
+@query("answer_every_scheme", PF.SQL_SENTENCES + f""", l AS (SELECT DISTINCT {PF.REQUEST_FIELDS.replace("array(", "[").replace("')", "']")} AS fields FROM orders),
+ p AS (SELECT fields, unnest(fields) AS field, generate_subscripts(fields, 1) AS pos FROM l),
+ e AS (SELECT fields, x.sentence AS sentence, row_number() OVER (PARTITION BY fields ORDER BY scheme_id, pos) AS rn, max(left(scraped_at, 10)) OVER () AS updated
+       FROM p JOIN s ON x.field = p.field WHERE x.sentence IS NOT NULL),
+ g AS (SELECT fields, string_agg('- ' || sentence, chr(10) ORDER BY rn) FILTER (rn <= 12) AS raw, max(updated) AS updated FROM e GROUP BY fields),
+ c AS (SELECT *, {sql_final('raw')} AS body FROM g)
+SELECT o_orderkey AS qid, body, {sql_footer('body', "'https://example.com/list'", 'updated')} AS text FROM orders JOIN c ON fields = {PF.REQUEST_FIELDS.replace("array(", "[").replace("')", "']")}""")
+def answer_every_scheme(t: Tables):
+    return A.answer_every_scheme(PF.requests(t), PF.facts_from_part(t), HOUSE).select("qid", "body", "text")
+
+
 @query("format_answer_rows", """
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'I could not find the requested information in the structured database. ' WHEN 1 THEN 'The requested information for ' || o_orderstatus || ' is ' || o_orderpriority || '. '
  WHEN 2 THEN 'Here is the requested information:' || chr(10) || '- ' || o_orderstatus || ': ' || o_orderpriority || ' (' || o_custkey || ')'
@@ -205,8 +215,7 @@ def batch_answer(t: Tables):
         F.expr("CASE item_id % 8 WHEN 2 THEN array('part-' || cast(item_id as string)) WHEN 3 THEN filter(array('x'), f -> false) ELSE scope END").alias("scheme_ids"),
         "qvec", F.expr("item_id % 5 <> 0").alias("found"), F.expr(MODEL_ANSWER).alias("answer"), F.expr("cast(1 + item_id % 6 as int)").alias("source_id"))
     chunks = answer_chunks(t)
-    none = F.array().cast("array<string>")
-    return A.batch_answer(q, PF.facts_from_part(t), chunks, HOUSE, none, house_names=["acme"]).select("qid", "handler", "text")
+    return A.batch_answer(q, PF.facts_from_part(t), chunks, HOUSE, house_names=["acme"]).select("qid", "handler", "text")
 
 
 def parts_of(t: Tables):
@@ -242,8 +251,7 @@ def answer_messages(t: Tables):
                  "part.all_schemes", "part.scheme_ids").alias("whole")).withColumn("standalone", F.col("message"))
     said = parts.select("qid", F.col("part.question").alias("question"), "qvec", "found", "answer", "source_id")
     model = said.unionByName(said.withColumn("qid", F.col("qid") - 2))
-    none = F.array().cast("array<string>")
-    return A.answer_messages(messages, model, PF.facts_from_part(t), answer_chunks(t), HOUSE, none, house_names=["acme"]).select("qid", "handler", "text")
+    return A.answer_messages(messages, model, PF.facts_from_part(t), answer_chunks(t), HOUSE, house_names=["acme"]).select("qid", "handler", "text")
 
 
 @query("judge_scorecard", f"""
