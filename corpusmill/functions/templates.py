@@ -101,3 +101,7 @@ SAFE_FALLBACK = ("I can only share factual information about {house} schemes, no
 OLD_NO_ROWS = "I could not find the requested information in the structured database. "
 OLD_ONE_ROW = "The requested information for {name} is {value}. "
 OLD_LIST = "Here is the requested information:\n"
+OLD_NAV = "The latest NAV for {name} is {value} as of {extra}. "
+OLD_PII_REPLY = ("For your privacy and security, I can’t process questions that include sensitive personal information.\n"
+                 "Please remove any personal identifiers and ask your question again in a general form.\n\n"
+                 "I answer only factual mutual fund queries related to {house} schemes using official {site} information:\n{link}")

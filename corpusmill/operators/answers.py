@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import patterns as P
 from corpusmill.functions import templates as X
-from corpusmill.functions.screening import finalize_answer, has_pii, refusal_kind
+from corpusmill.functions.screening import finalize_answer, has_old_pii, has_pii, refusal_kind
 from corpusmill.functions.text import extract_numbers, let, strip
 from corpusmill.operators import facts as fact_ops, fusion
 from corpusmill.session import materialize
@@ -164,6 +164,29 @@ def format_rows(rows: Column, footer: Column) -> Column:
         .otherwise(F.concat(F.lit(X.OLD_LIST), F.array_join(F.transform(rows, line), "\n"))), footer)
 
 
+def structured_or_retrieved(questions: DataFrame, rows: DataFrame, retrieved: DataFrame, house: House, footer: Column) -> DataFrame:
+    """(qid, route, text): the older chain, a table answer where intent and schemes allow one, else the retrieval answer.
+
+    ``questions``: qid, message, intent, scheme_ids. ``rows``: scheme_id, intent, pos, name, value, extra. ``retrieved``: qid,
+    text. Personal data in the message stops it. A group holds the rows of one question's own schemes.
+    """
+    looked_up = F.col("intent").isin(*P.STRUCTURED_INTENTS) & (F.size("scheme_ids") > 0)
+    route = F.when(has_old_pii(F.col("message")), "pii").when(looked_up, "structured").otherwise("retrieval")
+    routed = questions.select("qid", "intent", "scheme_ids", route.alias("route"))
+    asked = routed.where("route = 'structured'").select("qid", "intent", F.posexplode("scheme_ids").alias("scheme_pos", "scheme_id"))
+    found = asked.join(rows, ["scheme_id", "intent"]).groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("scheme_pos", "pos", "name", "value", "extra"))).alias("rows"))
+    told = F.coalesce("rows", F.slice(F.array(F.struct(F.lit(0).alias("scheme_pos"), F.lit(0).alias("pos"), *[
+        F.lit(None).cast("string").alias(c) for c in ("name", "value", "extra")])), 1, 0))
+    first = F.try_element_at(F.col("rows"), F.lit(1))
+    nav = F.concat(X.fill(X.OLD_NAV, name=first["name"], value=first["value"], extra=first["extra"]), footer)
+    structured = F.when((F.col("intent") == "NAV") & F.col("rows").isNotNull(), nav).otherwise(format_rows(told, footer))
+    refusal = X.OLD_PII_REPLY.format(house=house.house, site=house.site, link=house.links["list"])
+    return routed.join(found, "qid", "left").join(retrieved.select("qid", F.col("text").alias("_said")), "qid", "left").select(
+        "qid", "route", F.when(F.col("route") == "pii", refusal).when(F.col("route") == "structured", structured)
+        .otherwise(F.col("_said")).alias("text"))
+
+
 def combine_parts(parts: Column) -> Column:
     """One reply from several parts: repeated texts once, bodies joined, first citation, newest date.
 

@@ -150,6 +150,43 @@ def format_answer_rows(t: Tables):
     return t.orders.withColumn("r", rows).select("o_orderkey", A.format_rows(F.col("r"), F.lit("\nLast updated from sources: x")).alias("text"))
 
 
+OLD_INTENT = "CASE o_orderkey % 6 WHEN 0 THEN 'NAV' WHEN 1 THEN 'EXPENSE_RATIO' WHEN 2 THEN 'FUND_MANAGER' WHEN 3 THEN 'HOLDINGS' ELSE 'GENERAL' END"
+OLD_MESSAGE = "o_orderpriority || CASE WHEN o_orderkey % 11 = 0 THEN ' call me on 9876543210' ELSE '' END"
+OLD_IDS = f"CASE WHEN o_orderkey % 5 = 0 THEN filter(array(''), x -> false) WHEN o_orderkey % 7 = 0 THEN array('part-' || cast(o_custkey as string)) ELSE {PF.REQUEST_IDS} END"
+SQL_OLD_REFUSAL = C.lit(X.OLD_PII_REPLY.format(house=HOUSE.house, site=HOUSE.site, link=HOUSE.links["list"]))
+
+
+@query("structured_or_retrieved", PF.SQL_FACTS + f""",
+ rw AS (SELECT scheme_id, 'NAV' AS intent, 1 AS pos, scheme_name AS name, category AS value, launch_date AS extra FROM f
+  UNION ALL SELECT scheme_id, 'EXPENSE_RATIO', 1, scheme_name, expense_ratio, NULL FROM f
+  UNION ALL SELECT scheme_id, 'FUND_MANAGER', unnest(range(1, len(fund_managers) + 1)), scheme_name, unnest(list_transform(fund_managers, lambda m: m.name)), unnest(list_transform(fund_managers, lambda m: m.since)) FROM f),
+ q AS (SELECT o_orderkey AS qid, o_orderstatus AS said, o_orderkey % 11 = 0 AS pii, {OLD_INTENT} AS intent,
+  CASE WHEN o_orderkey % 5 = 0 THEN [] WHEN o_orderkey % 7 = 0 THEN ['part-' || o_custkey] ELSE ['part-' || (o_orderkey % 2500), 'part-' || o_custkey] END AS ids FROM orders),
+ a AS (SELECT qid, unnest(ids) AS scheme_id, generate_subscripts(ids, 1) AS i, intent FROM q),
+ r AS (SELECT qid, count(*) AS n, list(rw ORDER BY i, pos) AS rows FROM a JOIN rw USING (scheme_id, intent) GROUP BY qid)
+SELECT qid, CASE WHEN pii THEN 'pii' WHEN intent <> 'GENERAL' AND len(ids) > 0 THEN 'structured' ELSE 'retrieval' END AS route,
+ CASE WHEN pii THEN {SQL_OLD_REFUSAL} WHEN intent = 'GENERAL' OR len(ids) = 0 THEN 'Said ' || said
+  ELSE CASE WHEN rows IS NULL THEN 'I could not find the requested information in the structured database. '
+   WHEN intent = 'NAV' THEN 'The latest NAV for ' || rows[1].name || ' is ' || rows[1].value || ' as of ' || rows[1].extra || '. '
+   WHEN n = 1 AND rows[1].extra IS NULL THEN 'The requested information for ' || rows[1].name || ' is ' || rows[1].value || '. '
+   ELSE 'Here is the requested information:' || chr(10) || array_to_string(list_transform(rows, lambda x: '- ' || x.name || ': ' || x.value || coalesce(' (' || x.extra || ')', '')), chr(10)) END
+   || chr(10) || 'Last updated from sources: x' END AS text
+FROM q LEFT JOIN r USING (qid)""")
+def structured_or_retrieved(t: Tables):
+    facts = PF.facts_from_part(t)
+    no_extra, one = F.lit(None).cast("string"), F.lit(1)
+
+    def row(intent, pos, value, extra):
+        return F.struct(F.lit(intent).alias("intent"), pos.alias("pos"), F.col("scheme_name").alias("name"), value.alias("value"), extra.alias("extra"))
+
+    rows = facts.select("scheme_id", F.explode(F.concat(
+        F.array(row("NAV", one, F.col("category"), F.col("launch_date")), row("EXPENSE_RATIO", one, F.col("expense_ratio"), no_extra)),
+        F.transform("fund_managers", lambda m, i: row("FUND_MANAGER", i + 1, m["name"], m["since"])))).alias("r")).select("scheme_id", "r.*")
+    questions = t.orders.selectExpr("o_orderkey AS qid", f"{OLD_MESSAGE} AS message", f"{OLD_INTENT} AS intent", f"{OLD_IDS} AS scheme_ids")
+    said = t.orders.select(F.col("o_orderkey").alias("qid"), F.concat(F.lit("Said "), "o_orderstatus").alias("text"))
+    return A.structured_or_retrieved(questions, rows, said, HOUSE, F.lit("\nLast updated from sources: x"))
+
+
 REPLY = ["'t' || cast(conv_id % 3 as string)", "'t' || cast(turn % 3 as string)", "'t' || cast((conv_id + turn) % 2 as string)"]
 DATES = ["CASE WHEN turn % 2 = 0 THEN '2026-01-0' || cast(1 + conv_id % 9 as string) END", "CASE WHEN conv_id % 2 = 0 THEN '2026-01-0' || cast(1 + turn % 9 as string) ELSE '' END", "cast(NULL as string)"]
 
