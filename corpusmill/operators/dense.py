@@ -2,7 +2,9 @@
 
 Two routes with equal results. When the query matrix is proven to fit the broadcast budget, vectors are scored where
 they lie: each task keeps its best k per query and only those travel. Beyond it, queries and vectors are dealt into
-blocks of bounded size and every (query block, vector block) cell is scored on its own.
+blocks of bounded size and every (query block, vector block) cell is scored on its own; a vector is copied once per budget
+of query vectors, as any exact search of more queries than a task can hold must do. Vectors that no query of a block may
+see leave before the product.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from corpusmill.session import BROADCAST_BYTES
 
 SCORE_DIGITS = 9
 # One block of vectors in a task; large blocks keep the number of partial results low.
-BLOCK_QUERIES = 2048
 BLOCK_BYTES = 96 * 1024 * 1024
 # No score matrix in a task is larger than this many cells.
 CELLS = 4_000_000
@@ -40,6 +41,8 @@ class Best:
     def __init__(self, qids: np.ndarray, vectors: np.ndarray, scopes: list, k: int):
         self.qids, self.vectors, self.k = qids, vectors, k
         self.scopes = [None if not s else set(s) for s in scopes]
+        # Keys that some query asks for, where every query has a scope.
+        self.asked = set().union(*self.scopes) if self.scopes and all(s is not None for s in self.scopes) else None
         self.scores = np.full((len(qids), 0), -np.inf)
         self.ids = np.zeros((len(qids), 0), dtype=np.int64)
 
@@ -52,6 +55,9 @@ class Best:
         return allowed[:, [place[key] for key in keys]]
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, keys: list) -> None:
+        if self.asked is not None:
+            wanted = np.array([key is None or key in self.asked for key in keys], dtype=bool)
+            ids, vectors, keys = ids[wanted], vectors[wanted], [key for key, w in zip(keys, wanted) if w]
         step = max(1, CELLS // max(1, len(self.qids)))
         for start in range(0, len(ids), step):
             part = slice(start, start + step)
@@ -98,9 +104,9 @@ def _scored_in_place(queries: pa.Table, vectors: DataFrame, k: int) -> DataFrame
     return vectors.mapInArrow(score, OUT)
 
 
-def _scored_by_cell(queries: DataFrame, vectors: DataFrame, k: int, n_queries: int, n_vectors: int,
-                    dims: int) -> DataFrame:
-    nq, nv = -(-n_queries // BLOCK_QUERIES), max(1, -(-n_vectors * dims * 8 // BLOCK_BYTES))
+def _scored_by_cell(queries: DataFrame, vectors: DataFrame, k: int, n_queries: int, n_vectors: int, dims: int,
+                    cap: int) -> DataFrame:
+    nq, nv = -(-n_queries // cap), max(1, -(-n_vectors * dims * 8 // BLOCK_BYTES))
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("vb", cells(nv))
     right = vectors.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn("qb", cells(nq))
@@ -129,7 +135,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, limit: int = BROA
     if bounded.num_rows <= cap:
         partial = _scored_in_place(bounded, v, k)
     else:
-        partial = _scored_by_cell(q, v, k, q.count(), v.count(), dims)
+        partial = _scored_by_cell(q, v, k, q.count(), v.count(), dims, cap)
     return retriever_rank(partial, "cosine", "id", k)
 
 

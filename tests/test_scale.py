@@ -136,16 +136,20 @@ def test_both_dense_routes_equal_brute_force(spark):
     for i in range(20):
         seen = [j for j in range(300) if not scopes[i] or keys[j] is None or keys[j] in scopes[i]]
         want[i] = sorted(seen, key=lambda j: (-scores[i, j], j))[:5]
-    blocks = dense.BLOCK_QUERIES, dense.BLOCK_BYTES
-    dense.BLOCK_QUERIES, dense.BLOCK_BYTES = 6, 64 * 16 * 8
+    block = dense.BLOCK_BYTES
+    dense.BLOCK_BYTES = 64 * 16 * 8
     try:
-        for limit in (1 << 20, 8 * 16 * 3):  # the second holds three queries only
+        for limit in (1 << 20, 8 * 16 * 3):  # the second holds three queries only, so there are seven blocks of queries
+            scoped = {}
+            for r in dense.dense_topk(qdf.where("size(scope) > 0"), vdf, 5, limit).orderBy("qid", "rank").collect():
+                scoped.setdefault(r.qid, []).append(r.id)
+            assert scoped == {i: ids for i, ids in want.items() if scopes[i]}
             got = {}
             for r in dense.dense_topk(qdf, vdf, 5, limit).orderBy("qid", "rank").collect():
                 got.setdefault(r.qid, []).append(r.id)
             assert got == want
     finally:
-        dense.BLOCK_QUERIES, dense.BLOCK_BYTES = blocks
+        dense.BLOCK_BYTES = block
 
 
 def test_mmr_equals_brute_force(spark):
