@@ -2,7 +2,7 @@
 
 Two routes with equal results. When the query matrix is proven to fit the broadcast budget, vectors are scored where
 they lie: each task keeps its best k per query and only those travel. Beyond it, queries and vectors are dealt into
-blocks of bounded size and every (query block, vector block) cell is scored on its own; a vector is copied once per budget
+blocks of bounded size and every (query block, vector block) cell is scored on its own; a vector is copied once per block
 of query vectors, as any exact search of more queries than a task can hold must do. Vectors that no query of a block may
 see leave before the product.
 """
@@ -21,8 +21,9 @@ from corpusmill.functions import patterns as P
 from corpusmill.session import BROADCAST_BYTES
 
 SCORE_DIGITS = 9
-# One block of vectors in a task; large blocks keep the number of partial results low.
-BLOCK_BYTES = 96 * 1024 * 1024
+# One block of vectors, and one of query vectors, in a cell: larger blocks mean fewer copies, smaller ones
+# mean shorter tasks and less to repeat when one is lost.
+BLOCK_BYTES = 16 * 1024 * 1024
 # No score matrix in a task is larger than this many cells.
 CELLS = 4_000_000
 OUT = "qid bigint, id bigint, cosine double"
@@ -135,7 +136,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, limit: int = BROA
     if bounded.num_rows <= cap:
         partial = _scored_in_place(bounded, v, k)
     else:
-        partial = _scored_by_cell(q, v, k, q.count(), v.count(), dims, cap)
+        partial = _scored_by_cell(q, v, k, q.count(), v.count(), dims, max(1, min(cap, BLOCK_BYTES // (8 * dims))))
     return retriever_rank(partial, "cosine", "id", k)
 
 
