@@ -41,8 +41,10 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every id that reaches a smaller one through ``links`` (a, b); root is the smallest id reached.
 
     ``links`` should be a written table: it is counted, and read by as many tasks as hold LINKS_A_TASK links each. Each
-    task contracts its own links to stars; the roots that different tasks give the same node are linked in the next round.
-    Roots only get smaller, and a round without such nodes ends it. Nothing is gathered in one place.
+    task contracts its own links to stars; the roots that different tasks give the same node are linked, and every root
+    that is a node itself gives way to its own least root, wherever the two rows lie. So each round halves all chains of
+    least roots, and roots only get smaller; a round that leaves neither such nodes nor such roots ends it. Nothing is
+    gathered in one place.
     """
     edges, found = links.select(F.col("a").alias("node"), F.col("b").alias("root")), links.count()
     while True:
@@ -50,12 +52,17 @@ def components(links: DataFrame) -> DataFrame:
         stars = materialize(edges.coalesce(tasks).mapInArrow(contract, STAR), "stars")
         if tasks == 1:
             return stars
-        least = stars.groupBy("node").agg(F.min("root").alias("least"))
-        joined = stars.join(least, "node")
+        joined = stars.join(least_roots(stars), "node")
         # A root that has a smaller root elsewhere is a node too.
-        edges = materialize(joined.select("node", F.col("least").alias("root")).union(
-            joined.where("root > least").select(F.col("root").alias("node"), F.col("least").alias("root"))).distinct(), "edges")
+        hooked = materialize(joined.select("node", F.col("least").alias("root")).union(
+            joined.where("root > least").select(F.col("root").alias("node"), F.col("least").alias("root"))).distinct(), "hooked")
+        above = least_roots(hooked).withColumnRenamed("node", "root")
+        edges = materialize(hooked.join(above, "root", "left").select("node", F.coalesce("least", "root").alias("root")).distinct(), "edges")
         found = edges.count()
         nodes = edges.select("node").distinct()
         if nodes.count() == found and not edges.select(F.col("root").alias("node")).join(nodes, "node", "left_semi").limit(1).count():
             return edges
+
+
+def least_roots(stars: DataFrame) -> DataFrame:
+    return stars.groupBy("node").agg(F.min("root").alias("least"))
