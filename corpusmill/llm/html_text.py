@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,19 +33,54 @@ BOILER = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner
  |page-?header|masthead|top-?bar|comments?|comment-?list|disqus|respond|replies|reply|cookies?|consent|gdpr|notices?|alerts?|popup|modal
  |overlay|newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|more-?stories|tags?|widget|toolbar|pagination|pager
  |skip-?link|copyright|legal|disclaimer|search\w*|navigation|complementary|contentinfo)(?=$|[\s_-])""".replace("\n ", ""), re.I)
+# A word behind one of these says what an element has or is about, not what it is; the second kind only beside an article's name.
+MODIFIED = re.compile(r"(?<![a-z])(?:with|without|no|has)[-_]+[^\s]*", re.I)
+TOPIC = re.compile(r"(?:^|(?<=\s))(?:tag|category|topic|type|format|status)-[^\s]*", re.I)
+ROLE_MAIN = re.compile(r"""\brole\s*+=\s*+["']?main\b""", re.I)
+# Names of what readers write, which can outweigh a short article.
+REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|disqus|respond|replies|reply)(?=$|[\s_-])", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry\w*|main|post|story|text|hentry)(?=$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
 #: Points of a paragraph: one, one for each comma, one for each 100 characters up to three.
 LENGTH_UNIT, LENGTH_MOST = 100, 3
 LINKED = 0.5
+#: Share of the page's unlinked points above which an element named as something else is the article after all: where names
+#: speak for it, and where none do.
+MOST, NEARLY_ALL = 0.5, 0.8
+#: Points of a paragraph that may be an article by itself.
+PARAGRAPH = 3
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def boiler_name(hints: str) -> bool:
+    """Whether a name says that the element is something else than the article."""
+    hints = MODIFIED.sub(" ", hints)
+    if any(ARTICLE.fullmatch(word) for word in hints.split()):
+        hints = TOPIC.sub(" ", hints)
+    return bool(BOILER.search(hints))
+
+
+def joined(parts: list) -> tuple[str, int]:
+    """Text and linked characters of the parts of a block."""
+    text = SPACE.sub(" ", html.unescape("".join(p[1] for p in parts))).strip()
+    return text, min(sum(p[2] for p in parts), len(text))
+
+
+def lineage(node) -> Iterator:
+    while node is not None:
+        yield node
+        node = node.parent
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "chars", "linked", "dropped", "boost")
+    __slots__ = ("tag", "parent", "children", "score", "chars", "linked", "dropped", "boost", "named", "replies", "main", "points")
 
-    def __init__(self, tag: str, parent, dropped: bool, boost: float):
+    def __init__(self, tag: str, parent, dropped: bool, boost: float, named: bool = False, replies: bool = False, main: bool = False):
         self.tag, self.parent, self.dropped, self.boost = tag, parent, dropped, boost
-        self.children, self.score, self.chars, self.linked = [], 0.0, 0, 0
+        self.named, self.replies, self.main = named, replies, main
+        self.children, self.score, self.chars, self.linked, self.points = [], 0.0, 0, 0, 0.0
         if parent is not None:
             parent.children.append(self)
 
@@ -64,8 +100,9 @@ class Page:
         self.root = Node("html", None, False, 0.0)
         self.stack = [self.root]
         self.blocks: list[tuple[Node, str, int]] = []
-        self.parts: list[str] = []
-        self.linked = 0
+        #: Blocks as read: the innermost block element, and (element, text, linked characters) of its parts.
+        self.pieces: list[tuple[Node, list[tuple[Node, str, int]]]] = []
+        self.parts: list[tuple[Node, str, int]] = []
         self.links = 0
         self.read(source)
         self.flush()
@@ -73,17 +110,12 @@ class Page:
     def flush(self) -> None:
         """Ends a block; its text belongs to the innermost block element that is open."""
         if self.parts:
-            text = SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
-            node = next(n for n in reversed(self.stack) if n.tag in BLOCKS)
-            if text and not self.stack[-1].dropped:
-                self.blocks.append((node, text, min(self.linked, len(text))))
-            self.parts, self.linked = [], 0
+            self.pieces.append((next(n for n in reversed(self.stack) if n.tag in BLOCKS), self.parts))
+            self.parts = []
 
     def text(self, piece: str) -> None:
         if piece and not self.stack[-1].dropped:
-            self.parts.append(piece)
-            if self.links:
-                self.linked += len(piece.strip())
+            self.parts.append((self.stack[-1], piece, len(piece.strip()) if self.links else 0))
 
     def close_to(self, depth: int) -> None:
         """Closes the open elements from ``depth`` on."""
@@ -104,7 +136,7 @@ class Page:
         if tag in ("html", "body"):
             return
         if tag == "br" or tag == "hr":
-            self.parts.append(" ")
+            self.parts.append((self.stack[-1], " ", 0))
         if tag in CLOSES_P and (at := self.nearest(("p",), ("table", "button", "object", "td", "th"))):
             self.close_to(at)
         if tag in LISTED:
@@ -117,12 +149,12 @@ class Page:
             return
         hints = " ".join(a or b or c for a, b, c in HINT.findall(attributes)) if attributes else ""
         parent = self.stack[-1]
-        boiler = bool(hints and tag not in ("article", "main") and BOILER.search(hints))
+        boiler = bool(hints and tag not in ("article", "main") and boiler_name(hints))
         own = any(n.tag in ("article", "main") for n in self.stack)
-        dropped = (parent.dropped or tag in DROPPED or boiler or (tag == "header" and not own)
+        dropped = (parent.dropped or tag in DROPPED or (tag == "header" and not own)
                    or bool(attributes and HIDDEN.search(attributes)))
         boost = 25.0 if tag in ("article", "main") or (hints and ARTICLE.search(hints)) else 0.0
-        self.stack.append(Node(tag, parent, dropped, boost))
+        self.stack.append(Node(tag, parent, dropped, boost, boiler, boiler and bool(REPLIES.search(hints)), tag == "main" or bool(ROLE_MAIN.search(attributes))))
         self.links += tag == "a"
 
     def closed(self, tag: str) -> None:
@@ -160,11 +192,76 @@ class Page:
                 continue
             self.opened(name, attributes or "")
 
+    def settle(self) -> None:
+        """Drops the elements that are named as something else, but for those that turn out to hold the article."""
+        if any(n.named for _, parts in self.pieces for top, *_ in parts for n in lineage(top)):
+            self.decide()
+        for node, parts in self.pieces:
+            parts = [p for p in parts if not any(up.named and up.dropped for up in lineage(p[0]))]
+            text, linked = joined(parts)
+            if text:
+                self.blocks.append((node, text, linked))
+
+    def decide(self) -> None:
+        # A paragraph's parts under different names count apart.
+        held, every = [], 0.0
+        for node, parts in self.pieces:
+            under: dict = {}
+            for part in parts:
+                under.setdefault(id(next((n for n in lineage(part[0]) if n.named), None)), []).append(part)
+            for own in under.values():
+                text, linked = joined(own)
+                if text:
+                    plain = node.tag not in HEADINGS and linked <= LINKED * len(text)
+                    held.append((own[0][0], self.points(node, text) * (1 - linked / len(text)) if plain else 0.0, len(text), linked))
+        named, marks = {}, {}
+        for top, points, chars, linked in held:
+            every += points
+            above = list(lineage(top))
+            for up in above:
+                up.points += points
+                up.chars += chars
+                up.linked += linked
+                if up.named:
+                    named[id(up)] = up
+                elif up.boost and points and not any(n.replies for n in above):
+                    marks[id(up)] = up
+        inner = {id(up) for n in marks.values() if n.points > MOST * every for up in lineage(n)}
+        mains = {id(up) for n in marks.values() if n.main for up in lineage(n)}
+
+        def elsewhere(node: Node) -> float:
+            """Most points that an article's mark under no name has outside ``node``."""
+            most, around = 0.0, {id(up) for up in lineage(node)}
+            for n in marks.values():
+                if id(n) in around or not any(up.named for up in lineage(n)):
+                    most = max(most, n.points - node.points if id(n) in around else 0.0 if any(up is node for up in lineage(n)) else n.points)
+            return most
+
+        for at, node in named.items():
+            share = node.points / every if every else 0.0
+            marked = node.boost > 0 or at in inner
+            node.dropped = not (at in mains or node.linked <= LINKED * node.chars and (
+                share >= 1 if node.replies else share > MOST and marked and elsewhere(node) <= (1 - NEARLY_ALL) * every
+                or share > NEARLY_ALL and elsewhere(node) < PARAGRAPH))
+        left = [(top, points) for top, points, *_ in held if points and not any(up.named and up.dropped for up in lineage(top))]
+        if sum(points for _, points in left) < PARAGRAPH and not any(up.boost for top, _ in left for up in lineage(top)):
+            # Names would leave no paragraph; on this page they tell nothing.
+            for node in named.values():
+                node.dropped = node.dropped and (node.replies or node.linked > LINKED * node.chars)
+
+    @staticmethod
+    def points(node: Node, text: str) -> float:
+        return 0.5 if node.tag in HEADINGS else 1 + text.count(",") + min(len(text) // LENGTH_UNIT, LENGTH_MOST)
+
     def main_text(self) -> str:
+        self.settle()
+        found = [self.root]
+        while found:
+            node = found.pop()
+            node.chars = node.linked = 0
+            found += node.children
         for node, text, linked in self.blocks:
-            points = 1 + text.count(",") + min(len(text) // LENGTH_UNIT, LENGTH_MOST)
-            if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                points = 0.5
+            points = self.points(node, text)
             share, up = 1.0, node if node.tag not in ("p", "pre", "blockquote", "li", "td", "dd", "dt", "tr") else node.parent
             while up is not None:
                 up.score += points * share
