@@ -21,12 +21,12 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/
 HINT = re.compile(r"""(?:\b(?:class|id|role|aria-label|itemprop)\s*+=\s*+)(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*+=\s*+["']?true|display\s*+:\s*+none|visibility\s*+:\s*+hidden""", re.I)
 # What HTML says of its elements, and names that pages give to what is not the article.
-RAW = frozenset("script style textarea title noscript template iframe svg math noframes xmp object audio video canvas select".split())
+RAW = frozenset("script style textarea title noscript iframe noframes noembed xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1
  h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption search""".split())
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption".split())
-DROPPED = RAW | frozenset("head nav footer aside form button input label fieldset menu dialog search".split())
+DROPPED = RAW | frozenset("template svg math object audio video canvas select head nav footer aside form button input label fieldset menu dialog search".split())
 LISTED = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
           "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 BOILER = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menus?|breadcrumbs?|side-?bar|footers?|site-?header
@@ -44,6 +44,8 @@ SPACE = re.compile(r"\s+")
 #: Points of a paragraph: one, one for each comma, one for each 100 characters up to three.
 LENGTH_UNIT, LENGTH_MOST = 100, 3
 LINKED = 0.5
+#: Share of links above which a list or table inside the article is a menu; sources and tables of names say more than that.
+LINKS_ONLY = 0.9
 #: Share of the page's unlinked points above which an element named as something else is the article after all: where names
 #: speak for it, and where none do.
 MOST, NEARLY_ALL = 0.5, 0.8
@@ -145,7 +147,7 @@ class Page:
                 self.close_to(at)
         if tag in BLOCKS:
             self.flush()
-        if tag in VOID:
+        if tag in VOID or (tag in ("svg", "math") and attributes.endswith("/")):
             return
         hints = " ".join(a or b or c for a, b, c in HINT.findall(attributes)) if attributes else ""
         parent = self.stack[-1]
@@ -298,9 +300,9 @@ class Page:
 
     @staticmethod
     def link_list(node: Node, best: Node) -> bool:
-        """Whether the block stands in a list or table inside ``best`` that is mostly links."""
+        """Whether the block stands in a list or table inside ``best`` that holds links and hardly anything else."""
         while node is not None and node is not best:
-            if node.tag in ("ul", "ol", "dl", "table") and node.linked > LINKED * node.chars:
+            if node.tag in ("ul", "ol", "dl", "table") and node.linked > LINKS_ONLY * node.chars:
                 return True
             node = node.parent
         return False
