@@ -22,6 +22,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 #: Largest gap in words that the knapsack table covers; what remains above it is first filled with large documents.
 TABLE_WORDS = 1 << 17
+#: Sums that are listed singly where no table covers the gap; past them, one more sum for each part of the gap that has none.
+MOST_SUMS = 1 << 19
 #: Documents of one class that are put in order together; larger classes are ordered in seeded cells of about this size.
 CELL_DOCS = 1000
 #: Seeded places are whole numbers below this one.
@@ -82,15 +84,59 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, gap: int) -> np.ndarray:
     return taken
 
 
+def listed_knapsack(sizes: np.ndarray, counts: np.ndarray, gap: int) -> np.ndarray:
+    """The same as ``knapsack`` on a list of the sums that are reached, for gaps of any length.
+
+    Exact while at most MOST_SUMS sums are reached, as with few documents. Past that, new sums count only where their part of
+    the gap, one of MOST_SUMS, has none yet.
+    """
+    taken = np.zeros(len(sizes), dtype=np.int64)
+    sums, by, many = np.zeros(1, dtype=np.int64), np.full(1, -1, dtype=np.int32), np.zeros(1, dtype=np.int64)
+    width = gap // MOST_SUMS + 1
+    for i in np.argsort(-sizes, kind="stable"):
+        size, left = int(sizes[i]), int(counts[i])
+        if not 0 < size <= gap or left <= 0:
+            continue
+        used, part = np.zeros(len(sums), dtype=np.int64), 1
+        while left > 0 and part * size <= gap:
+            part = min(part, left)
+            new = sums[:np.searchsorted(sums, gap - part * size, side="right")] + part * size
+            at = np.minimum(np.searchsorted(sums, new), len(sums) - 1)
+            fresh = np.flatnonzero(sums[at] != new)
+            if len(sums) + len(fresh) > MOST_SUMS:
+                _, first = np.unique(new[fresh] // width, return_index=True)
+                fresh = fresh[first][~np.isin(new[fresh[first]] // width, sums // width)]
+            n = used[fresh] + part
+            sums = np.concatenate([sums, new[fresh]])
+            order = np.argsort(sums, kind="stable")
+            sums, used = sums[order], np.concatenate([used, n])[order]
+            by = np.concatenate([by, np.full(len(fresh), i, dtype=np.int32)])[order]
+            many = np.concatenate([many, n])[order]
+            left -= part
+            part *= 2
+        if sums[-1] == gap:
+            break
+    at = len(sums) - 1
+    while sums[at]:
+        i, n = int(by[at]), int(many[at])
+        taken[i] += n
+        at = int(np.searchsorted(sums, sums[at] - n * int(sizes[i])))
+    return taken
+
+
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Documents to take of each size class so that their words come near ``budget``, below the words of all."""
+    """Documents to take of each size class so that their words come near ``budget``, below the words of all.
+
+    Where proportional shares, large documents and the table don't meet the budget, the sums over what the shares leave are
+    listed, then the sums over all documents; the nearest result is taken.
+    """
     whole = int((sizes * counts).sum())
     if budget <= 0 or whole <= 0:
         return np.zeros(len(sizes), dtype=np.int64)
     if budget >= whole:
         return counts.copy()
-    taken = (counts * (budget / whole)).astype(np.int64)
-    gap = budget - int((sizes * taken).sum())
+    share = (counts * (budget / whole)).astype(np.int64)
+    taken, gap = share.copy(), budget - int((sizes * share).sum())
     # Large sizes first, until the knapsack table covers what is missing.
     for i in np.argsort(-sizes, kind="stable"):
         if gap <= TABLE_WORDS:
@@ -98,7 +144,16 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         more = min(int(counts[i] - taken[i]), int(gap // sizes[i])) if sizes[i] else 0
         taken[i] += more
         gap -= more * int(sizes[i])
-    return taken + knapsack(sizes, counts - taken, min(gap, TABLE_WORDS))
+    best = taken + knapsack(sizes, counts - taken, min(gap, TABLE_WORDS))
+    for base in (share, np.zeros_like(share)):
+        if (sizes * best).sum() == budget:
+            break
+        more = base + listed_knapsack(sizes, counts - base, budget - int((sizes * base).sum()))
+        gap = budget - int((sizes * more).sum())
+        more += knapsack(sizes, counts - more, min(gap, TABLE_WORDS))
+        if (sizes * more).sum() > (sizes * best).sum():
+            best = more
+    return best
 
 
 def plan(counts: DataFrame, source_targets: DataFrame) -> DataFrame:
