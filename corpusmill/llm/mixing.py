@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import n_words
+from corpusmill.operators.dedupe import occurrence_no
 from corpusmill.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -178,7 +179,7 @@ def mix(docs: DataFrame, seed: int = 7, size: Column | None = None) -> DataFrame
 
     ``taken`` is ``copies`` times the size: the words the mix takes of this row. Null and empty texts have size 0 and add
     nothing. A null source is a source, the last one. Repeated rows are rows of their own; which of several rows with
-    equal doc_id, source and size is taken is not distinguishable. An empty table gives an empty table. Columns of the
+    equal doc_id, source and size are taken is not distinguishable, but only as many as the plan takes are. An empty table gives an empty table. Columns of the
     input with the names of the results are replaced. The number of sources must fit a broadcast of one short row each,
     which is checked; beyond 100,000 sources the call fails with a message.
     """
@@ -203,23 +204,38 @@ def mix(docs: DataFrame, seed: int = 7, size: Column | None = None) -> DataFrame
              .join(open_.alias("o"), same_class("d", "o"))
              .select("d.doc_id", "d.source", "d.size", "d.draw", "o.extra",
                      F.floor(F.col("d.draw") / DRAWS * F.ceil(F.col("o.docs") / CELL_DOCS)).alias("cell")))
-    cells = drawn.groupBy("source", "size", "cell").agg(F.count("*").alias("n"), F.first("extra").alias("extra"))
+    # Rows of one id count as one line, however many they are.
+    ids = drawn.groupBy("source", "size", "cell", "draw", "doc_id").agg(F.count("*").alias("n"), F.first("extra").alias("extra"))
+    cells = ids.groupBy("source", "size", "cell").agg(F.sum("n").alias("n"), F.first("extra").alias("extra"))
     upto = cells.withColumn("upto", F.sum("n").over(W.partitionBy("source", "size").orderBy("cell")))
     at = upto.where((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("n") < F.col("extra"))).select(
         "source", "size", "cell", (F.col("extra") - F.col("upto") + F.col("n")).alias("nth"))
-    cuts = (drawn.alias("d").join(at.alias("a"), same_class("d", "a") & F.expr("d.cell = a.cell"))
-            .select("d.source", "d.size", "d.draw", "d.doc_id", "a.nth")
-            .withColumn("place", F.row_number().over(W.partitionBy("source", "size").orderBy("draw", "doc_id")))
-            .where("place = nth").select("source", "size", F.col("draw").alias("cut_draw"), F.col("doc_id").alias("cut_id")))
+    cuts = (ids.alias("d").join(at.alias("a"), same_class("d", "a") & F.expr("d.cell = a.cell"))
+            .select("d.source", "d.size", "d.draw", "d.doc_id", "d.n", "a.nth")
+            .withColumn("place", F.sum("n").over(W.partitionBy("source", "size").orderBy("draw", "doc_id")))
+            .where("place >= nth and place - n < nth")
+            .select("source", "size", F.col("draw").alias("cut_draw"), F.col("doc_id").alias("cut_id"), F.col("n").alias("cut_rows"),
+                    (F.col("nth") - F.col("place") + F.col("n")).alias("cut_taken")))
     classes = materialize(planned.alias("p").join(cuts.alias("c"), same_class("p", "c"), "left").select(
-        "p.*", "c.cut_draw", "c.cut_id"), "mix-classes")
+        "p.*", "c.cut_draw", "c.cut_id", "c.cut_rows", "c.cut_taken"), "mix-classes")
     one_more = F.when(F.col("c.extra") >= F.col("c.docs"), True).when(F.col("c.extra") == 0, False).otherwise(
         (F.col("draw") < F.col("c.cut_draw"))
         | ((F.col("draw") == F.col("c.cut_draw")) & (F.coalesce("d.doc_id", F.lit(LEAST)) <= F.coalesce("c.cut_id", F.lit(LEAST)))))
-    copies = F.col("c.copies") + F.when(one_more & (F.col("c.size") > 0), 1).otherwise(0)
-    return (sized.withColumn("draw", draw).alias("d").join(classes.alias("c"), same_class("d", "c"))
-            .select(*[F.col(f"d.`{c}`") for c in own], "d.size", "c.source_size", "c.target", copies.alias("copies"),
-                    (copies * F.col("d.size")).alias("taken")))
+
+    def result(rows: DataFrame, more: Column) -> DataFrame:
+        copies = F.col("c.copies") + F.when(more & (F.col("c.size") > 0), 1).otherwise(0)
+        return rows.select(*[F.col(f"d.`{c}`") for c in own], "d.size", "c.source_size", "c.target", copies.alias("copies"),
+                           (copies * F.col("d.size")).alias("taken"))
+
+    rows = sized.withColumn("draw", draw).alias("d").join(classes.alias("c"), same_class("d", "c"))
+    if not classes.where("cut_taken < cut_rows").limit(1).count():
+        return result(rows, one_more)
+    # Of the rows that repeat the id of the cut, as many as are left to take, by their number within the id.
+    cut = F.coalesce(F.expr("c.cut_taken < c.cut_rows and draw = c.cut_draw and d.doc_id <=> c.cut_id"), F.lit(False))
+    tied = rows.where(cut).select(F.struct("d.*").alias("d"), F.struct("c.*").alias("c"), F.col("d.source").alias("source"), F.col("d.size").alias("size"),
+                                  F.monotonically_increasing_id().alias("row"))
+    numbered = occurrence_no(tied, ["source", "size"], "row")
+    return result(rows.where(~cut), one_more).unionByName(result(numbered, F.col("occurrence_no") < F.col("c.cut_taken")))
 
 
 def same_class(a: str, b: str) -> Column:

@@ -31,3 +31,13 @@ def test_more_sums_than_are_listed(monkeypatch):
         budget = int(sizes.sum() // 2)
         got = mixing.listed_knapsack(sizes, np.ones(len(sizes), dtype=np.int64), budget)
         assert (got <= 1).all() and 0.9 * budget < (sizes * got).sum() <= budget
+
+
+def test_rows_of_one_id_meet_the_target(spark):
+    text = "a b c d e"
+    rows = [(1, text, "a")] * 12 + [(None, text, "b")] * 12 + [(9, text, "c")] * 4 + [(i, text, "c") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(df).toPandas()
+    assert len(got) == len(rows) and list(got.columns[:3]) == ["doc_id", "text", "source"]
+    for _, own in got.groupby("source"):
+        assert own.target.iloc[0] - 5 < own.taken.sum() <= own.target.iloc[0] + 0.5
