@@ -32,6 +32,12 @@ def append(df: DataFrame, made: Column, names: list[str]) -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"{held}.{n}").alias(n) for n in names])
 
 
+def others(df: DataFrame, names: list[str]) -> Column:
+    """All columns of ``df`` but those called ``names`` (in any case) as one struct."""
+    lowered = {n.lower() for n in names}
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lowered])
+
+
 def n_words(text: str = "text") -> Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

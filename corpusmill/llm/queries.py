@@ -1,4 +1,4 @@
-"""The ten queries of this folder over whole tables, with the SQL they must agree with where SQL can say it."""
+"""The queries of this folder over whole tables, with the SQL they must agree with where SQL can say it."""
 
 from __future__ import annotations
 
@@ -150,3 +150,74 @@ SELECT doc_id, n AS n_shingles, min(c) AS component_id FROM n JOIN r ON r.d = do
 def op1_ngram_join(spark, folder):
     from corpusmill.llm.ngram_join import jaccard_join
     return jaccard_join(read(spark, folder, "documents"))
+
+
+@query("op11_fill_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, CAST('0x' || s[1:8] AS BIGINT) AS h1,
+  CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM h),
+p AS (SELECT doc_id, t, n, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+       WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p""")
+def op11_fill_middle(spark, folder):
+    from corpusmill.llm.fill_middle import fill_in_middle, restored
+    made = fill_in_middle(read(spark, folder, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def kmeans_sql(rounds: int = 3) -> str:
+    """Each round as two tables: squared distances to every centroid, and floors of the means."""
+    def nearest(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (SELECT v.vec_id, v.q, min({{'d': list_sum(list_transform(list_zip(v.q, c.q),
+  lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c.c}}) AS m FROM v, c{i} c GROUP BY ALL)"""
+
+    def means(i: int) -> str:
+        return f"""s{i} AS (SELECT m.c AS c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT m, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{i}) GROUP BY ALL),
+g{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(g.q, c.q) AS q FROM c{i} c LEFT JOIN g{i} g USING (c))"""
+
+    steps = ",\n".join(x for i in range(rounds) for x in (nearest(i), means(i)))
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, vec_id) - 1 AS c, q FROM
+  (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, vec_id, q FROM v ORDER BY h, vec_id LIMIT 16)),
+{steps},
+{nearest(rounds)}
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.m.c"""
+
+
+@query("op12_lookup_kmeans", kmeans_sql())
+def op12_lookup_kmeans(spark, folder):
+    from corpusmill.llm.lookup_kmeans import cluster
+    rows = cluster(read(spark, folder, "embeddings"))
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                       F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+@query("op13_jump_shards", r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(crc ORDER BY n) AS crc FROM (SELECT n, list_reduce(list_prepend(n, range(8)),
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc FROM range(256) r(n))),
+d AS MATERIALIZED (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b,
+  sha256(coalesce('+' || CAST(doc_id AS VARCHAR), '-')) AS h FROM documents),
+k AS MATERIALIZED (SELECT doc_id, CAST('0x' || h[1:15] AS HUGEINT) AS k, CAST(len(b) AS BIGINT) + 1 AS size,
+  xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, t),
+j AS (SELECT k AS key, n, k, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j FROM (SELECT DISTINCT k FROM k), (VALUES (16), (17)) s(n)
+  UNION ALL
+  SELECT key, n, s, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(s // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT key, n, j, (k * 2862933555777941757 + 1) % 18446744073709551616 AS s FROM j WHERE j < n)),
+e AS (SELECT key, CAST(max(b) FILTER (n = 16) AS INTEGER) AS shard, CAST(max(b) FILTER (n = 17) AS INTEGER) AS grown_shard FROM j GROUP BY key)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard
+FROM k JOIN e ON e.key = k.k""")
+def op13_jump_shards(spark, folder):
+    from corpusmill.llm.jump_shards import manifest
+    return manifest(read(spark, folder, "documents").select("doc_id", "text"))

@@ -27,7 +27,7 @@ def got(spark, name):
 
 
 def test_all_are_registered():
-    assert {re.match(r"op(\d+)_", k)[1] for k in QUERIES} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", k)[1] for k in QUERIES} == {str(i) for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
