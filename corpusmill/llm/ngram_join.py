@@ -9,7 +9,8 @@
    leave little to compare. What remains are pairs from different components that pass the length, positional and suffix
    filters; each is verified once.
 
-Verification compares sets of 56- to 64-bit hashes: two different n-grams of one pair coincide with a chance below 1e-9.
+Sets are compared as 56-bit hashes, in every session the same ones: two different n-grams of one pair coincide with a chance
+below 1e-8. Nodes of the links are classes, so ids that repeat or are missing tie nothing together.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import BATCH_ROWS, bounded
 from corpusmill.llm.graph import components
 from corpusmill.session import materialize
 
@@ -31,7 +33,12 @@ PERCENT = 75
 #: N-grams and documents that a task packs together, and the share of these documents from which on an n-gram's documents
 #: stay with the pack and only their number is dealt.
 PACK_GRAMS, PACK_DOCS, HOT_SHARE, HOT_LEAST = 1_500_000, 60_000, 16, 64
+#: Stands for the place of a document in the pack, which 16 bits number; PACK_DOCS stays below it.
 HOT = 0xFFFF
+#: Bits of an n-gram's hash that count; the ranges that n-grams are dealt to are its first 8 to MOST_BITS ones.
+WIDTH, LEAST_BITS, MOST_BITS = 56, 8, 18
+#: Parts of a range that are counted one after the other.
+SLICES = 16
 #: Postings of one n-gram that are compared in one task; longer lists are compared in tiles.
 TILE = 2048
 #: Width of a band of sizes, as a logarithm.
@@ -40,8 +47,9 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MESSAGE = pa.schema([("dealt", pa.int32()), ("pack", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 MESSAGE_DDL = "dealt int, pack bigint, kind int, payload binary"
 GRAMS, DOCS, LISTS = 0, 1, 2
-ROWS_DDL = "kind int, doc_id bigint, n int, key binary, grams binary, prefix binary"
-ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("grams", pa.binary()), ("prefix", pa.binary())])
+ROWS_DDL = "kind int, doc_id bigint, n int, key binary, mark binary, grams binary, prefix binary"
+ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("mark", pa.binary()), ("grams", pa.binary()),
+                  ("prefix", pa.binary())])
 
 
 def least_shared(total):
@@ -122,7 +130,7 @@ def gram_sets(texts: list[str | None], hasher: WordHasher, n: int = N) -> list[n
 
 def packs(batches: Iterator[pa.RecordBatch], bits: int, n: int) -> Iterator[pa.RecordBatch]:
     """Messages of the documents of a task. A pack is named by its content, so a task that runs again names it alike."""
-    hasher, docs, sets, size = WordHasher(), [], [], 0
+    hasher, docs, sets, marks, size = WordHasher(), [], [], [], 0
 
     def flush() -> pa.RecordBatch:
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -134,7 +142,8 @@ def packs(batches: Iterator[pa.RecordBatch], bits: int, n: int) -> Iterator[pa.R
                 firsts.append(i)
         ids = pa.array(docs, pa.int64())
         table = pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()),
-                                            pa.array([-1 if k is None else place[k] for k in keys], pa.int32())], ["doc_id", "n", "key", "place"])
+                                            pa.array([-1 if k is None else place[k] for k in keys], pa.int32()), pa.array(marks, pa.binary())],
+                                           ["doc_id", "n", "key", "place", "mark"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as writer:
             writer.write_batch(table)
@@ -144,7 +153,7 @@ def packs(batches: Iterator[pa.RecordBatch], bits: int, n: int) -> Iterator[pa.R
         grams = np.concatenate([sets[i] for i in firsts] or [np.zeros(0, np.uint64)])
         at = np.repeat(np.arange(len(firsts), dtype=np.uint16), [len(sets[i]) for i in firsts])
         order = np.argsort(grams, kind="stable")
-        grams, at = grams[order] >> np.uint64(16 - bits) << np.uint64(16 - bits), at[order]
+        grams, at = grams[order] >> np.uint64(64 - WIDTH) << np.uint64(64 - WIDTH), at[order]
         new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
         runs = np.diff(np.concatenate([new, [len(grams)]]))
         hot = runs >= max(HOT_LEAST, len(firsts) // HOT_SHARE)
@@ -161,28 +170,27 @@ def packs(batches: Iterator[pa.RecordBatch], bits: int, n: int) -> Iterator[pa.R
             marked = many[at == HOT]
         else:
             marked = np.zeros(0, np.uint32)
-        part = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
-        cuts = np.searchsorted(part, np.arange(2**bits + 1))
-        low = (grams >> np.uint64(16 - bits)) & np.uint64(2**48 - 1)
+        part = (grams >> np.uint64(64 - bits)).astype(np.int64)
+        low = (grams >> np.uint64(64 - WIDTH)) & np.uint64(2**48 - 1)
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
         done = 0
-        for p in range(2**bits):
-            a, b = cuts[p], cuts[p + 1]
-            if a == b:
-                continue
+        for p, a, b in zip(part[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)]):
             n_hot = int(np.count_nonzero(at[a:b] == HOT))
             rows.append((p, name, GRAMS, np.array([b - a], np.uint32).tobytes() + (low[a:b] >> np.uint64(32)).astype(np.uint16).tobytes()
                          + low[a:b].astype(np.uint32).tobytes() + at[a:b].tobytes() + marked[done:done + n_hot].tobytes()))
             done += n_hot
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), MESSAGE.types)], schema=MESSAGE)
 
-    for batch in batches:
+    # Batches may be larger than a pack can number.
+    for batch in (whole.slice(i, BATCH_ROWS) for whole in batches for i in range(0, whole.num_rows, BATCH_ROWS)):
+        if size >= PACK_GRAMS or len(docs) + batch.num_rows > PACK_DOCS:
+            yield flush()
+            docs, sets, marks, size = [], [], [], 0
         found = gram_sets(batch.column("text").to_pylist(), hasher, n)
         docs += batch.column("doc_id").to_pylist()
+        marks += batch.column("mark").to_pylist()
         sets += found
         size += sum(map(len, found))
-        if size >= PACK_GRAMS or len(docs) >= PACK_DOCS - 2000:
-            yield flush()
-            docs, sets, size = [], [], 0
     if docs:
         yield flush()
 
@@ -200,25 +208,32 @@ def unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def repeated(table: pa.Table, bits: int) -> pa.Table:
     """Of one range of n-grams, those that more than one set holds, with their count, addressed to their packs; what is
-    addressed to a pack already passes."""
+    addressed to a pack already passes. Payloads are sorted, so the range is counted in slices, one after the other."""
     rows = table.to_pylist()
     passing = [r for r in rows if r["kind"] != GRAMS]
-    rows = [r for r in rows if r["kind"] == GRAMS]
+    rows = sorted((r for r in rows if r["kind"] == GRAMS), key=lambda r: r["pack"])
     if rows:
-        rows.sort(key=lambda r: r["pack"])
         parts = [unpacked(r["payload"]) for r in rows]
-        grams, at, many = (np.concatenate(x) for x in zip(*parts))
-        source = np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts])
-        distinct, where, = np.unique(grams, return_inverse=True)
-        count = np.bincount(where, weights=many, minlength=len(distinct)).astype(np.uint32)[where]
-        twice = count > 1
-        whole = (np.uint64(rows[0]["dealt"]) << np.uint64(64 - bits) if bits else np.uint64(0)) | (grams[twice] << np.uint64(16 - bits))
-        at, count, source = at[twice], count[twice], source[twice]
-        cuts = np.searchsorted(source, np.arange(len(rows) + 1))
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if a < b:
-                passing.append({"dealt": 0, "pack": rows[i]["pack"], "kind": GRAMS,
-                                "payload": whole[a:b].tobytes() + count[a:b].tobytes() + at[a:b].tobytes()})
+        # Bits 8 to 55 of a hash are in the payload, the first 8 in the number of the range.
+        dealt = rows[0]["dealt"]
+        top = np.uint64(dealt >> (bits - LEAST_BITS)) << np.uint64(WIDTH)
+        first = (dealt << (WIDTH - bits)) & (2**48 - 1)
+        edges = np.array([first + (i << (WIDTH - bits)) // SLICES for i in range(SLICES + 1)], dtype=np.uint64)
+        cuts = [np.searchsorted(p[0], edges) for p in parts]
+        found: list[list] = [[] for _ in rows]
+        for i in range(SLICES):
+            grams, at, many = (np.concatenate([p[k][c[i]:c[i + 1]] for p, c in zip(parts, cuts)]) for k in range(3))
+            source = np.repeat(np.arange(len(rows)), [c[i + 1] - c[i] for c in cuts])
+            distinct, where = np.unique(grams, return_inverse=True)
+            count = np.bincount(where, weights=many, minlength=len(distinct)).astype(np.uint32)[where]
+            twice = count > 1
+            grams, at, count, source = grams[twice], at[twice], count[twice], source[twice]
+            ends = np.searchsorted(source, np.arange(len(rows) + 1))
+            for j in np.unique(source):
+                found[j].append((top | grams[ends[j]:ends[j + 1]] << np.uint64(64 - WIDTH), count[ends[j]:ends[j + 1]], at[ends[j]:ends[j + 1]]))
+        for r, mine in zip(rows, found):
+            if mine:
+                passing.append({"dealt": 0, "pack": r["pack"], "kind": GRAMS, "payload": b"".join(np.concatenate(x).tobytes() for x in zip(*mine))})
     return pa.Table.from_pylist(passing, schema=MESSAGE)
 
 
@@ -234,7 +249,8 @@ def sets_of_pack(table: pa.Table) -> pa.Table:
     # Equal packs (the same rows read twice) have one name: their rows count as often as they came.
     for _ in range(sum(r["kind"] == DOCS for r in rows)):
         empty = pa.nulls(len(docs), pa.binary())
-        out.append(pa.table([pa.array(np.full(len(docs), DOCS), pa.int32()), docs["doc_id"], docs["n"], docs["key"], empty, empty], schema=ROWS))
+        out.append(pa.table([pa.array(np.full(len(docs), DOCS), pa.int32()), docs["doc_id"], docs["n"], docs["key"], docs["mark"], empty, empty],
+                            schema=ROWS))
     lists: dict[int, np.ndarray] = {}
     for payload in {r["payload"] for r in rows if r["kind"] == LISTS}:
         n = len(payload) // 10
@@ -263,7 +279,7 @@ def sets_of_pack(table: pa.Table) -> pa.Table:
             mine, n = g[cuts[p]:cuts[p + 1]], int(sizes[i])
             inside = prefix_size(n) - (n - len(mine))
             if inside > 0 and len(mine):
-                classes.append((LISTS, None, n, keys[i], np.sort(mine).tobytes(), mine[:inside].tobytes()))
+                classes.append((LISTS, None, n, keys[i], None, np.sort(mine).tobytes(), mine[:inside].tobytes()))
         if classes:
             out.append(pa.table([pa.array(col, t) for col, t in zip(zip(*classes), ROWS.types)], schema=ROWS))
     return pa.concat_tables(out)
@@ -371,35 +387,38 @@ def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(rest)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b, shared) among ``pairs``, each of which is looked at once."""
+def verify(pairs: DataFrame, sets: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """(a, b, linked) of the distinct ``pairs`` that ``tried`` doesn't hold: each pair is looked at once."""
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for a, b, n1, n2, g1, g2 in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "n1", "n2", "g1", "g2")]):
+            linked = []
+            for n1, n2, g1, g2 in zip(*[batch.column(c).to_pylist() for c in ("n1", "n2", "g1", "g2")]):
                 both = len(np.intersect1d(np.frombuffer(g1, np.uint64), np.frombuffer(g2, np.uint64), assume_unique=True))
-                if 100 * both >= PERCENT * (n1 + n2 - both):
-                    out.append((a, b, both))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "shared"])
+                linked.append(100 * both >= PERCENT * (n1 + n2 - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     one = sets.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("grams").alias("g1"))
     two = sets.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("grams").alias("g2"))
-    return pairs.distinct().join(one, "a").join(two, "b").mapInArrow(shared, "a bigint, b bigint, shared bigint")
+    new = pairs.distinct()
+    if tried is not None:
+        new = new.join(tried, ["a", "b"], "left_anti")
+    return new.join(one, "a").join(two, "b").mapInArrow(shared, "a bigint, b bigint, linked boolean")
 
 
-def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, n_shingles, cid) and sets (cid, n, grams, prefix) of the classes that may have a partner."""
+def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (doc_id, n_shingles, mark, key), classes (key, cid, least: smallest doc_id), and sets (cid, n, grams, prefix) of the
+    classes that may have a partner. ``docs``: doc_id, text, mark. Class numbers are written, so that all readers see the same."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(16, max(8, (4 * parts - 1).bit_length()))
-    dealt = docs.select("doc_id", "text").mapInArrow(lambda b: packs(b, bits, n), MESSAGE_DDL)
+    bits = min(MOST_BITS, max(LEAST_BITS, (4 * parts - 1).bit_length()))
+    dealt = docs.select("doc_id", "text", "mark").mapInArrow(lambda b: packs(b, bits, n), MESSAGE_DDL)
     counted = dealt.groupBy("dealt").applyInArrow(lambda t: repeated(t, bits), MESSAGE_DDL)
     rows = materialize(counted.groupBy("pack").applyInArrow(sets_of_pack, ROWS_DDL), "gram-sets")
-    members = rows.where(F.col("kind") == DOCS).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "key")
-    ids = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("cid")).where("cid is not null")
+    members = rows.where(F.col("kind") == DOCS).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "mark", "key")
+    ids = materialize(members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")).withColumn(
+        "cid", F.monotonically_increasing_id()), "gram-ids")
     found = rows.where(F.col("kind") == LISTS).select("key", "n", "grams", "prefix").dropDuplicates(["key"])
-    return members.join(ids, "key", "left").drop("key"), materialize(found.join(ids, "key").drop("key"), "gram-classes")
+    return members, ids, materialize(found.join(ids.select("key", "cid"), "key").drop("key"), "gram-classes")
 
 
 def links_and_roots(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -414,7 +433,8 @@ def links_and_roots(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     # spread; a pair that a range's end parts is left to the tiles.
     order = [F.floor(F.log(F.col("n")) / SIZE_BAND).alias("band"), F.xxhash64("gram", "cid").alias("turn")]
     near = listed.select("*", *order).repartitionByRange(parts, "gram", "band", "turn").sortWithinPartitions("gram", "band", "turn")
-    links = materialize(verify(near.mapInArrow(side_by_side, PAIR_DDL), sets).select("a", "b"), "gram-links")
+    tried = materialize(verify(near.mapInArrow(side_by_side, PAIR_DDL), sets), "gram-tried")
+    links = tried.where("linked").select("a", "b")
     roots = components(links)
 
     # Lists with more than one component left, in tiles of at most TILE postings a side. A class has as many postings as
@@ -426,20 +446,62 @@ def links_and_roots(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     tiles = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
         {"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
     pairs = tiles.repartition(parts, "gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(tile_pairs, PAIR_DDL)
-    links = materialize(links.union(verify(pairs, sets).select("a", "b")), "gram-links")
+    more = verify(pairs, sets, tried.select("a", "b")).where("linked").select("a", "b")
+    links = materialize(links.union(more), "gram-links")
     return links, components(links)
 
 
+def grouped(docs: DataFrame, n: int = N) -> DataFrame:
+    """(doc_id, n_shingles, mark, group, least) for every row of ``docs`` (doc_id, text, mark): the number of its group of linked
+    texts and the smallest doc_id in it. A text without words has a null group."""
+    bounded(docs.sparkSession)
+    members, ids, sets = classes(docs, n)
+    _, roots = links_and_roots(sets)
+    # Every class in a component of several, its root among them.
+    inside = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
+    named = inside.join(ids.select(F.col("cid").alias("node"), "least"), "node")
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    found = inside.join(least, "root").select(F.col("node").alias("cid"), "root", "first")
+    # One short row for each class; joined by number, and copies of one text don't multiply it.
+    told = ids.join(found, "cid", "left").select("key", F.coalesce("root", "cid").alias("group"), F.when(
+        F.col("root").isNull(), F.col("least")).otherwise(F.col("first")).alias("least"))
+    return members.join(told, "key", "left").select("doc_id", "n_shingles", "mark", "group", "least")
+
+
 def jaccard_join(docs: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
-    Words are lower-cased in A-Z only. component_id is the smallest doc_id that links lead to, the document's own
-    included. Texts without words are linked with nothing, not even each other; a text of fewer than ``n`` words is one
-    n-gram. Rows with a null doc_id belong to the class of their text; without another row in it, their component is null.
-    Repeated rows come out as often as they came in; an empty table gives an empty one; further columns don't matter.
+    Words are lower-cased in A-Z only. component_id is the smallest doc_id among the texts that links lead to, the document's
+    own included. Texts without words are linked with nothing, not even each other; a text of fewer than ``n`` words is one
+    n-gram. Links join texts: two rows that share a doc_id but not a text are no link. Rows with a null doc_id have the
+    component of their text, null where none of its texts has an id. Repeated rows come out as often as they came in; an
+    empty table gives an empty one; further columns don't matter.
     """
-    members, sets = classes(docs, n)
-    _, roots = links_and_roots(sets)
-    # One short row for each class in a component; joined by id, and copies of one text don't multiply it.
-    named = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("root", "cid", "doc_id").alias("component_id"))
+    rows = grouped(docs.select("doc_id", "text", F.lit(None).cast("binary").alias("mark")), n)
+    return rows.select("doc_id", "n_shingles", F.coalesce("least", F.when(F.col("group").isNull(), F.col("doc_id"))).alias("component_id"))
+
+
+def row_mark(df: DataFrame) -> Column:
+    """128 bits that tell rows of ``df`` apart."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(i), *cols)), 16, "0") for i in range(2)]))
+
+
+def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest doc_id (a null id after all others), of
+    several such rows any one, the same in every run. Rows without words all stay, and columns and their values are those
+    of ``docs``. Rows are told apart by a hash of all their columns, so repeated and missing ids mix nothing up; column
+    types that Spark can't hash (maps) must be left out.
+    """
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_mark(docs).alias("mark"))
+    rows = grouped(marked.select("row.doc_id", "row.text", "mark"), n).where("`group` is not null")
+    # Rows that are equal in all columns count as one line.
+    lines = materialize(rows.groupBy("group", "mark").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "near-lines")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    firsts = lines.groupBy("group").agg(F.min(place).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    # Only what goes, and what stays once of several equal rows, needs a mark on its rows.
+    told = materialize(lines.join(firsts, "group").select("mark", F.when(F.col("mark") != F.col("first.mark"), "go").when(F.col("n") > 1, "once")
+                                                          .alias("what")).where("what is not null"), "near-told")
+    found = marked.join(told, "mark", "left")
+    kept = found.where("what is null").select("row.*")
+    return kept.unionByName(found.where("what = 'once'").dropDuplicates(["mark"]).select("row.*"))
