@@ -17,44 +17,57 @@ from corpusmill.session import materialize
 ORACLE_SQL = None
 
 
-def columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+def aside(docs: DataFrame, *worked: str) -> DataFrame:
+    """The columns that a stage works on, and all others of ``docs`` in one called row, where no name of a result meets them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in worked]
+    return docs.select(*worked, *([F.struct(*rest).alias("row")] if rest else []))
+
+
+def back(rows: DataFrame, like: DataFrame, *worked: str) -> DataFrame:
+    """The columns of ``like`` in their order, from what ``aside`` made of them."""
+    return rows.select(*[F.col(f"`{c}`") if c in worked else F.col(f"row.`{c}`") for c in like.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told apart; texts without letters and narrow margins go."""
+    """Documents whose language is told apart; null and empty texts, texts without letters and narrow margins go. Every row is
+    judged by its own text, so repeated rows and ids share a fate; an empty table stays empty; all columns of ``docs``
+    come back as they were, whatever they are called."""
     bounded(spark)
-    return columns(language.identify(docs, language.fit(docs)).where(~F.col("rejected")), docs)
+    return back(language.identify(aside(docs, "text"), language.fit(docs)).where(~F.col("rejected")), docs, "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one whose id names the group. Documents without words stay, and
-    so do rows without an id, which no group is named after."""
+    """One row of each group of near duplicates, the one with the smallest doc_id. Groups are groups of texts: a text that only
+    shares its doc_id with a copy stays, and copies without an id go as others do. Rows without words all stay. An empty
+    table stays empty; all columns come back as they were."""
     bounded(spark)
-    grouped = ngram_join.jaccard_join(docs)
-    gone = grouped.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return columns(kept.where(F.col("doc_id").isNull()).union(kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])), docs)
+    return ngram_join.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind in brackets; n_chars follows the new text where there is one."""
+    """All rows, personal data in their texts replaced by its kind in brackets. A null text stays null and an empty one empty;
+    repeated rows get equal texts; n_chars, where the table has it, follows a text that isn't null; all other columns come
+    back as they were."""
     bounded(spark)
-    clean = pii.redact(docs, pii.fit(docs))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return columns(clean, docs)
+    clean = back(pii.redact(aside(docs, "text"), pii.fit(docs)), docs, "text")
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them: not at all, or up to three times."""
+    """Rows as often as the mixture of sources takes them: not at all, or up to three times. A null source is a source; texts
+    without words have no size, add nothing and come once for each whole copy of their source; a source without any words is
+    not taken; repeated rows and ids are rows of their own; an empty table stays empty; all columns come back as they were."""
     bounded(spark)
-    mixed = mixing.mix(docs).where(F.col("copies") > 0)
-    return columns(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
+    worked = ("doc_id", "text", "source")
+    mixed = mixing.mix(aside(docs, *worked)).where(F.col("copies") > 0)
+    return back(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs, *worked)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of every row of the mixture."""
+    """doc_id, source, n_tokens and ids of every row of the mixture. Null and empty texts have no tokens; repeated rows have equal
+    ones; an empty table stays empty; other columns end here."""
     bounded(spark)
     coded = bpe.encode_decode(docs.select("doc_id", "text", "source"), bpe.default_path())
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
