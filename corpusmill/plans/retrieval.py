@@ -55,10 +55,12 @@ _bare = f"CASE WHEN {sql_has('text', _all)} THEN {sql_cut(sql_cut(_cut, HOUSE),
 SQL_ASK = f"""q AS (SELECT item_id AS qid, text, list_filter([{', '.join(f"CASE WHEN {sql_has('text', a)} THEN '{k}' END" for k, a in ALIASES.items())}], lambda k: k IS NOT NULL) AS scope,
   coalesce(nullif({C.sql_strip(f"regexp_replace({_bare}, '\\s+', ' ', 'g')")}, ''), text) AS stripped FROM benchmark)"""
 
-SQL_STATS = f"""dt AS (SELECT doc_id AS id, nullif(lang, 'es') AS key, {C.sql_terms('text')} AS terms FROM documents),
- tok AS (SELECT id, key, len(terms) AS dl, unnest(terms) AS term FROM dt), tf AS (SELECT id, key, dl, term, count(*) AS f FROM tok GROUP BY ALL),
- n AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM dt), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), n),
- idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, (SELECT avg(raw) AS mean FROM raw))"""
+SQL_STATS = f"""tok AS MATERIALIZED (SELECT id, key, term FROM (SELECT doc_id AS id, nullif(lang, 'es') AS key, unnest({C.sql_words('text')}) AS term FROM documents)
+   ANTI JOIN (SELECT unnest({C.STOP_LIST}) AS term) USING (term)),
+ tf AS MATERIALIZED (SELECT id, key, dl, term, count(*) AS f FROM tok JOIN (SELECT id, count(*) AS dl FROM tok GROUP BY id) USING (id) GROUP BY ALL),
+ n AS MATERIALIZED (SELECT n, (SELECT count(*) FROM tok) / n AS avgdl FROM (SELECT count(*) AS n FROM documents)),
+ raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), n),
+ idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, (SELECT avg(raw) AS mean FROM raw))"""
 
 
 def sql_bm25(name: str, source: str, k: int) -> str:
