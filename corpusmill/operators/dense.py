@@ -1,10 +1,10 @@
-"""Exact vector search: every query against every vector in its scope, top k, no approximation.
+"""Exact vector search: every query against every vector in its scope that may matter, top k, no approximation.
 
-Two routes with equal results. When the query matrix is proven to fit the broadcast budget, vectors are scored where
-they lie: each task keeps its best k per query and only those travel. Beyond it, queries and vectors are dealt into
-blocks of bounded size and every (query block, vector block) cell is scored on its own; a vector is copied once per block
-of query vectors, as any exact search of more queries than a task can hold must do. Vectors that no query of a block may
-see leave before the product.
+Two routes with equal results. Few query vectors, or little work, are scored where the vectors lie: each task keeps its best
+k per query and only those travel. Otherwise vectors are dealt into balls, each with a centre and the distance of its
+farthest member. A query first meets the ball it points to; its k-th score there is a bar, and of the other balls it meets
+only those whose centre's score plus radius reach the bar. Queries and vectors of a ball are cut into cells of bounded
+size, and the lists that cells return are merged in two steps.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions import patterns as P
-from corpusmill.session import BROADCAST_BYTES
+from corpusmill.session import BROADCAST_BYTES, materialize
 
 SCORE_DIGITS = 9
 # One block of vectors, and one of query vectors, in a cell: larger blocks mean fewer copies, smaller ones
@@ -26,10 +27,22 @@ SCORE_DIGITS = 9
 BLOCK_BYTES = 16 * 1024 * 1024
 # No score matrix in a task is larger than this many cells.
 CELLS = 4_000_000
+# Multiplications from which on vectors are dealt into balls, if there are more queries than a vector has centres to be compared with.
+BALL_WORK = 4e9
+# Centres a level (balls are their square at most), vectors they are learned from, and rounds.
+CENTRES, SAMPLE, ROUNDS = 48, 16_384, 4
+# Lists of one query that the first step of the merge puts together.
+LOTS = 64
 OUT = "qid bigint, id bigint, cosine double"
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector can be scored: it has components, and all of them are numbers."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -37,42 +50,53 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 class Best:
-    """Best k (score, id) per query over the rows seen so far."""
+    """Best k (score, id) per query over the rows seen so far. ``products``: multiplied pairs."""
 
     def __init__(self, qids: np.ndarray, vectors: np.ndarray, scopes: list, k: int):
-        self.qids, self.vectors, self.k = qids, vectors, k
-        self.scopes = [None if not s else set(s) for s in scopes]
-        # Keys that some query asks for, where every query has a scope.
-        self.asked = set().union(*self.scopes) if self.scopes and all(s is not None for s in self.scopes) else None
+        self.qids, self.vectors, self.k, self.products = qids, vectors, k, 0
         self.scores = np.full((len(qids), 0), -np.inf)
         self.ids = np.zeros((len(qids), 0), dtype=np.int64)
-
-    def visible(self, keys: list) -> np.ndarray | None:
-        if all(s is None for s in self.scopes):
-            return None
-        kinds = list(dict.fromkeys(keys))
-        allowed = np.array([[s is None or kind is None or kind in s for kind in kinds] for s in self.scopes])
-        place = {kind: i for i, kind in enumerate(kinds)}
-        return allowed[:, [place[key] for key in keys]]
+        # Queries of one scope meet the same vectors.
+        self.groups: dict[frozenset | None, list[int]] = {}
+        for i, scope in enumerate(scopes):
+            self.groups.setdefault(frozenset(scope) if scope else None, []).append(i)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, keys: list) -> None:
-        if self.asked is not None:
-            wanted = np.array([key is None or key in self.asked for key in keys], dtype=bool)
-            ids, vectors, keys = ids[wanted], vectors[wanted], [key for key, w in zip(keys, wanted) if w]
-        step = max(1, CELLS // max(1, len(self.qids)))
+        if not len(ids):
+            return
+        at: dict = {}
+        if any(scope is not None for scope in self.groups):
+            for i, key in enumerate(keys):
+                at.setdefault(key, []).append(i)
+        for scope, group in self.groups.items():
+            rows = np.array(group)
+            if scope is None:
+                self.multiply(rows, ids, vectors)
+                continue
+            # What a query may not see is not multiplied.
+            seen = np.array(sorted(i for key in (*scope, None) for i in at.get(key, ())), dtype=np.int64)
+            if len(seen):
+                self.multiply(rows, ids[seen], vectors[seen])
+
+    def multiply(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        step = max(1, CELLS // len(rows))
         for start in range(0, len(ids), step):
             part = slice(start, start + step)
-            scores = np.round(self.vectors @ vectors[part].T, SCORE_DIGITS)
-            seen = self.visible(keys[part])
-            if seen is not None:
-                scores = np.where(seen, scores, -np.inf)
-            scores = np.concatenate([self.scores, scores], axis=1)
-            all_ids = np.concatenate([self.ids, np.broadcast_to(ids[part], (len(self.qids), len(ids[part])))], axis=1)
+            self.products += len(rows) * len(ids[part])
+            scores = np.round(self.vectors[rows] @ vectors[part].T, SCORE_DIGITS)
+            scores = np.concatenate([self.scores[rows], scores], axis=1)
+            all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids[part], (len(rows), len(ids[part])))], axis=1)
             scores, all_ids = self.contenders(scores, all_ids)
             # score descending, then id ascending; the cut keeps ties exact
             order = np.lexsort((all_ids, -scores), axis=1)[:, :self.k]
-            self.scores = np.take_along_axis(scores, order, axis=1)
-            self.ids = np.take_along_axis(all_ids, order, axis=1)
+            self.put(rows, np.take_along_axis(scores, order, axis=1), np.take_along_axis(all_ids, order, axis=1))
+
+    def put(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        more = scores.shape[1] - self.scores.shape[1]
+        if more > 0:
+            self.scores = np.pad(self.scores, ((0, 0), (0, more)), constant_values=-np.inf)
+            self.ids = np.pad(self.ids, ((0, 0), (0, more)))
+        self.scores[rows, :scores.shape[1]], self.ids[rows, :scores.shape[1]] = scores, ids
 
     def contenders(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The columns that reach each query's k-th score, ties included; the rest need no sorting."""
@@ -84,41 +108,179 @@ class Best:
         first = np.argsort(~reach, axis=1, kind="stable")[:, :width]
         return np.take_along_axis(scores, first, axis=1), np.take_along_axis(ids, first, axis=1)
 
-    def table(self) -> pa.RecordBatch:
-        rows, cols = np.nonzero(np.isfinite(self.scores))
+    def table(self, bars: np.ndarray | None = None) -> pa.RecordBatch:
+        """The lists, without what lies below ``bars``."""
+        kept = np.isfinite(self.scores)
+        if bars is not None:
+            kept &= self.scores >= bars[:, None]
+        rows, cols = np.nonzero(kept)
         return pa.RecordBatch.from_arrays(
             [pa.array(self.qids[rows]), pa.array(self.ids[rows, cols]), pa.array(self.scores[rows, cols])],
             names=["qid", "id", "cosine"])
 
 
 def _scored_in_place(queries: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
-    payload = vectors.sparkSession.sparkContext.broadcast((
-        queries["qid"].to_numpy(), matrix(queries["qvec"]), queries["scope"].to_pylist()))
+    by_dim = {}
+    for dim in sorted(set(queries["dim"].to_pylist())):
+        own = queries.filter(pa.compute.equal(queries["dim"], dim))
+        by_dim[dim] = (own["qid"].to_numpy(), matrix(own["qvec"]), own["scope"].to_pylist())
+    payload = vectors.sparkSession.sparkContext.broadcast(by_dim)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qmat, scopes = payload.value
-        best = Best(qids, qmat, scopes, k)
+        best = {dim: Best(*own, k) for dim, own in payload.value.items()}
         for batch in batches:
-            best.add(batch["id"].to_numpy(), matrix(batch["vec"]), batch["key"].to_pylist())
-        yield best.table()
+            dims = batch["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim in best:
+                    rows = batch if (dims == dim).all() else batch.filter(pa.array(dims == dim))
+                    best[dim].add(rows["id"].to_numpy(), matrix(rows["vec"]), rows["key"].to_pylist())
+        for own in best.values():
+            yield own.table()
 
     return vectors.mapInArrow(score, OUT)
 
 
-def _scored_by_cell(queries: DataFrame, vectors: DataFrame, k: int, n_queries: int, n_vectors: int, dims: int,
-                    cap: int) -> DataFrame:
-    nq, nv = -(-n_queries // cap), max(1, -(-n_vectors * dims * 8 // BLOCK_BYTES))
-    cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("vb", cells(nv))
-    right = vectors.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn("qb", cells(nq))
+def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(rows @ centres.T - 0.5 * (centres ** 2).sum(axis=1), axis=1)
+
+
+def settled(rows: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` centres of ``rows``, moved to the mean of what is nearest to them for a few rounds."""
+    centres = rows[np.linspace(0, len(rows) - 1, min(n, len(rows))).astype(int)].copy()
+    for _ in range(ROUNDS):
+        at = nearest(rows, centres)
+        for c in np.unique(at):
+            centres[c] = rows[at == c].mean(axis=0)
+    return centres
+
 
-    def score(q: pa.Table, v: pa.Table) -> pa.Table:
-        best = Best(q["qid"].to_numpy(), matrix(q["qvec"]), q["scope"].to_pylist(), k)
-        if len(q) and len(v):
-            best.add(v["id"].to_numpy(), matrix(v["vec"]), v["key"].to_pylist())
-        return pa.Table.from_batches([best.table()])
+class Balls:
+    """Two levels of centres for the vectors of one length: the first tells where to look among the second."""
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(score, OUT)
+    def __init__(self, sample: np.ndarray, n: int):
+        self.first = settled(sample, n)
+        at = nearest(sample, self.first)
+        self.second = [settled(sample[at == c], n) if (at == c).any() else self.first[c:c + 1] for c in range(len(self.first))]
+        self.start = np.cumsum([0] + [len(c) for c in self.second])
+        self.centres = np.concatenate(self.second)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        above, out = nearest(rows, self.first), np.empty(len(rows), dtype=np.int64)
+        for c in np.unique(above):
+            mine = above == c
+            out[mine] = self.start[c] + nearest(rows[mine], self.second[c])
+        return out
+
+
+class DealtVectors:
+    """Vectors (id, vec, key, dim) dealt into balls, and what is known of each ball: centre, radius and size.
+
+    Centres are learned from a bounded sample; which ball a vector is in never changes a result. ``known``: for each length,
+    the numbers of its balls, their centres, radii and sizes; at most CENTRES squared rows each.
+    """
+
+    def __init__(self, vectors: DataFrame, n: int):
+        sample = vectors.select("dim", "vec", F.xxhash64("id").alias("turn")).orderBy("turn", "dim").limit(SAMPLE).toArrow()
+        # About as many balls as a ball has vectors, and no more than the sample can tell apart.
+        width = int(np.clip(np.ceil(min(n, SAMPLE) ** 0.25), 2, CENTRES)) if n < SAMPLE else CENTRES
+        dims = sample["dim"].to_numpy()
+        learned = {d: Balls(matrix(sample["vec"].combine_chunks().filter(pa.array(dims == d))), width) for d in np.unique(dims).tolist()}
+        payload = vectors.sparkSession.sparkContext.broadcast(learned)
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dims, ball, far = batch["dim"].to_numpy(), np.zeros(len(batch), np.int64), np.zeros(len(batch))
+                for d in np.unique(dims).tolist():
+                    mine = dims == d
+                    rows = matrix(batch["vec"].filter(pa.array(mine)))
+                    balls = payload.value.get(d)
+                    # A length that the sample lacks is one ball around zero.
+                    ball[mine] = balls.of(rows) if balls else 0
+                    centres = balls.centres[ball[mine]] if balls else 0.0
+                    far[mine] = np.sqrt(((rows - centres) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball), pa.array(far)], [*batch.schema.names, "ball", "far"])
+
+        kind = vectors.schema["vec"].dataType.simpleString()
+        self.rows = materialize(vectors.select("id", "vec", "key", "dim").mapInArrow(
+            dealt, f"id bigint, vec {kind}, key string, dim int, ball bigint, far double"), "dense-balls")
+        self.sizes = materialize(self.rows.groupBy("dim", "ball").agg(F.count("*").alias("n"), F.max("far").alias("radius")), "dense-sizes")
+        self.known = {}
+        for r in self.sizes.orderBy("dim", "ball").collect():  # one row a ball
+            centre = learned[r.dim].centres[r.ball] if r.dim in learned else np.zeros(r.dim)
+            self.known.setdefault(r.dim, []).append((r.ball, centre, r.radius))
+        self.known = {d: tuple(np.array(x) for x in zip(*rows)) for d, rows in self.known.items()}
+
+    def reached(self, queries: DataFrame, others: bool) -> DataFrame:
+        """(qid, dim, ball) of the ball that a query points to most or, for ``others``, of all other balls whose centre's score
+        plus radius reach the query's bar (null: none, every ball is reached)."""
+        payload = queries.sparkSession.sparkContext.broadcast(self.known)
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for d in np.unique(batch["dim"].to_numpy()).tolist():
+                    if d not in payload.value:
+                        continue
+                    rows = batch.filter(pa.compute.equal(batch["dim"], d))
+                    balls, centres, radii = payload.value[d]
+                    step = max(1, CELLS // len(balls))
+                    for start in range(0, len(rows), step):
+                        part = rows.slice(start, step)
+                        q = matrix(part["qvec"])
+                        scores = q @ centres.T
+                        long = np.sqrt((q ** 2).sum(axis=1))[:, None]
+                        first = np.argmax(scores, axis=1)
+                        if others:
+                            bars = part["bar"].fill_null(-np.inf).to_numpy()[:, None]
+                            slack = 1e-8 + 1e-12 * long * (np.sqrt((centres ** 2).sum(axis=1)) + radii)
+                            alive = scores + long * radii + slack >= bars
+                            alive[np.arange(len(q)), first] = False
+                            at, ball = np.nonzero(alive)
+                        else:
+                            at, ball = np.arange(len(q)), first
+                        yield pa.RecordBatch.from_arrays([part["qid"].take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(balls[ball])],
+                                                         ["qid", "dim", "ball"])
+
+        return materialize(queries.mapInArrow(pairs, "qid bigint, dim int, ball bigint"), "dense-pairs")
+
+    def lists(self, queries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+        """(qid, id, cosine, lot) of the best k in each cell that ``pairs`` (qid, dim, ball) lead to, none below the query's bar."""
+        asked = pairs.groupBy("dim", "ball").agg(F.count("*").alias("nq"))
+        blocks = lambda n: F.ceil(F.col(n) * F.col("dim") * 8 / BLOCK_BYTES).cast("int")
+        cuts = materialize(self.sizes.join(asked, ["dim", "ball"]).select("dim", "ball", blocks("n").alias("nv"), blocks("nq").alias("nq")), "dense-cells")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        met = pairs.join(F.broadcast(cuts), ["dim", "ball"]).join(queries.select("qid", "qvec", "scope", "bar"), "qid")  # one row a ball
+        left = met.withColumn("qb", part("qid", "nq")).withColumn("vb", every("nv"))
+        right = self.rows.join(F.broadcast(cuts), ["dim", "ball"]).withColumn("vb", part("id", "nv")).withColumn("qb", every("nq"))
+        cell = ["dim", "ball", "qb", "vb"]
+
+        def score(key, q: pa.Table, v: pa.Table) -> pa.Table:
+            best = Best(q["qid"].to_numpy(), matrix(q["qvec"]), q["scope"].to_pylist(), k)
+            if len(q) and len(v):
+                best.add(v["id"].to_numpy(), matrix(v["vec"]), v["key"].to_pylist())
+            table = pa.Table.from_batches([best.table(q["bar"].combine_chunks().fill_null(-np.inf).to_numpy() - 1e-8)])
+            lot = (key[1].as_py() * 31 + key[3].as_py()) % LOTS
+            return table.append_column("lot", pa.array(np.full(len(table), lot, np.int32)))
+
+        return left.select(*cell, "qid", "qvec", "scope", "bar").groupBy(*cell).cogroup(
+            right.select(*cell, "id", "vec", "key").groupBy(*cell)).applyInArrow(score, OUT + ", lot int")
+
+
+def merged(lists: DataFrame, k: int) -> DataFrame:
+    """Best k of each query from its lists, those of a lot first."""
+    place = F.row_number().over(W.partitionBy("qid", "lot").orderBy(F.desc("cosine"), "id"))
+    cut = lists.withColumn("place", place).where(F.col("place") <= k).select("qid", "id", "cosine")
+    return retriever_rank(cut, "cosine", "id", k)
+
+
+def _scored_by_ball(queries: DataFrame, vectors: DataFrame, k: int, n: int) -> DataFrame:
+    dealt = DealtVectors(vectors, n)
+    bare = queries.withColumn("bar", F.lit(None).cast("double"))
+    first = materialize(dealt.lists(bare, dealt.reached(bare, False), k), "dense-first")
+    bars = merged(first, k).where(F.col("rank") == k).select("qid", F.col("cosine").alias("bar"))
+    barred = materialize(queries.join(bars, "qid", "left"), "dense-barred")
+    more = dealt.lists(barred, dealt.reached(barred, True), k)
+    return merged(first.unionByName(more), k)
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -126,18 +288,22 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, limit: int = BROA
 
     ``queries``: qid, qvec and optionally scope (array of keys, empty or absent = everything).
     ``vectors``: id, vec and optionally key (NULL = visible to every query).
+
+    Vectors on either side that are null, empty, or hold a null or non-finite component take no part; a query meets the vectors
+    of its own length only. ``limit``: bytes of query vectors that may be sent to all tasks.
     """
-    q = queries.select("qid", "qvec", (F.col("scope") if "scope" in queries.columns else F.array()).cast("array<string>").alias("scope"))
-    v = vectors.select("id", "vec", (F.col("key") if "key" in vectors.columns else F.lit(None)).cast("string").alias("key"))
-    sizes = q.select(F.size("qvec").alias("d")).limit(1).collect()
-    dims = sizes[0].d if sizes else 1
-    cap = max(1, limit // (8 * dims))
-    bounded = q.limit(cap + 1).toArrow()
-    if bounded.num_rows <= cap:
-        partial = _scored_in_place(bounded, v, k)
-    else:
-        partial = _scored_by_cell(q, v, k, q.count(), v.count(), dims, max(1, min(cap, BLOCK_BYTES // (8 * dims))))
-    return retriever_rank(partial, "cosine", "id", k)
+    q = queries.select("qid", "qvec", (F.col("scope") if "scope" in queries.columns else F.array()).cast("array<string>").alias("scope"),
+                       F.size("qvec").alias("dim")).where(usable(F.col("qvec")))
+    v = vectors.select("id", "vec", (F.col("key") if "key" in vectors.columns else F.lit(None)).cast("string").alias("key"),
+                       F.size("vec").alias("dim")).where(usable(F.col("vec")))
+    counted = q.agg(F.count("*").alias("n"), F.coalesce(F.max("dim"), F.lit(1)).alias("dim")).head()
+    fits = counted.n * counted.dim * 8 <= limit
+    if fits and counted.n <= 2 * CENTRES:
+        return retriever_rank(_scored_in_place(q.toArrow(), v, k), "cosine", "id", k)
+    n = v.count()
+    if fits and counted.n * counted.dim * n <= BALL_WORK:
+        return retriever_rank(_scored_in_place(q.toArrow(), v, k), "cosine", "id", k)
+    return _scored_by_ball(q, v, k, n)
 
 
 def retriever_rank(scored: DataFrame, score: str, tie: str, k: int = P.RRF_CANDIDATES) -> DataFrame:
