@@ -71,11 +71,16 @@ def project_facts(df: DataFrame, html: Column, root: str = "props.pageProps.data
         F.struct(*[fund_return[f"stat_{y}"].alias(y) for y in ("1y", "3y", "5y")]).alias("json_fund_returns"))
 
 
+def missing(fields: list[str], children: dict[str, str] | None = None) -> Column:
+    """Problems of a row as an array: one for each value that is null or empty, one for each empty child list."""
+    found = [F.when(F.col(f).isNull() | (F.col(f).cast("string") == ""), F.lit(f"missing {f}")) for f in fields]
+    found += [F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, F.lit(text)) for c, text in (children or {}).items()]
+    return F.array_compact(F.array(*found))
+
+
 def required_fields(df: DataFrame, key: str, fields: list[str], children: dict[str, str] | None = None) -> DataFrame:
     """One problem row per missing required value and per empty child list."""
-    problems = [F.when(F.col(f).isNull() | (F.col(f).cast("string") == ""), F.lit(f"missing {f}")) for f in fields]
-    problems += [F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, F.lit(text)) for c, text in (children or {}).items()]
-    return df.select(key, F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+    return df.select(key, F.explode(missing(fields, children)).alias("problem"))
 
 
 def tolerance_check(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str,

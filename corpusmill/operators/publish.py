@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,10 +26,9 @@ def publish_if_valid(problems: DataFrame, write: Callable[[], None], report: str
     Problems are evaluated once, into a table at ``report`` (the shared folder by default) that lists every one; the
     rejection says how many there are and where, and has the table's path as ``report``.
     """
-    spark = problems.sparkSession
-    path = report or scratch_path(spark, "problems")
-    problems.write.mode("overwrite").parquet(path)
-    found = spark.read.schema(problems.schema).parquet(path).count()
+    path, seen = report or scratch_path(problems.sparkSession, "problems"), Observation()
+    problems.observe(seen, F.count(F.lit(1)).alias("found")).write.mode("overwrite").parquet(path)
+    found = seen.get["found"]
     if found:
         raise Rejected(f"{found} problems, listed in {path}", path)
     write()
@@ -37,21 +36,18 @@ def publish_if_valid(problems: DataFrame, write: Callable[[], None], report: str
 
 def rebuild_tables(spark: SparkSession, tables: dict[str, DataFrame], database: str | None = None,
                    path: str | None = None) -> DataFrame:
-    """Overwrite every table of a collection and report its row count from the written data."""
-    counts = []
-    path = path or scratch_path(spark, "tables")
-    for name, df in tables.items():
-        if database:
-            df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
-            written = spark.table(f"{database}.{name}")
-        else:
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-            written = spark.read.parquet(f"{path}/{name}")
-        counts.append(written.groupBy(F.lit(name).alias("table_name")).agg(F.count("*").alias("n_rows")))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    """Replace all tables of a collection together and report their row counts: readers of ``snapshots.Snapshots(spark, path)``
+    see all old tables until all new ones are written, whatever happens in between.
+
+    ``database``: its views of these names are pointed at the new version afterwards, one by one; who needs tables that fit
+    together reads the snapshots.
+    """
+    from corpusmill.operators.snapshots import Snapshots
+    collection = Snapshots(spark, path or scratch_path(spark, "tables"))
+    version = collection.publish(tables)["version"]
+    for name in tables if database else ():
+        spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS SELECT * FROM parquet.`{collection.path(name, version)}`")
+    return collection.counts()
 
 
 def replace_children(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from corpusmill.operators import answers as A
 from corpusmill.operators import dense, evaluation
 from corpusmill.operators import facts as O
 from corpusmill.operators import relational as R
+from corpusmill.operators.keyed import KeyedTable
 from corpusmill.plans import compose as C
 from corpusmill.plans import facts as PF
 from corpusmill.plans import retrieval as PR
@@ -347,5 +348,6 @@ SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (P
 def stream_upsert(t: Tables):
     path = scratch_path(t.spark, "upserts")
     rows = arriving(t, "events").select("user_id", "event_type", "ts", "event_id", "value")
-    screen.upsert_batches(rows, f"{path}/data", f"{path}/progress").awaitTermination()
-    return screen.read_upserts(t.spark, f"{path}/data", rows.schema, ["user_id", "event_type"], "ts").select("user_id", "event_type", "event_id", "value")
+    table = KeyedTable(t.spark, f"{path}/data", rows.schema, ["user_id", "event_type"], "ts", buckets=8)
+    screen.upsert_stream(rows, table, f"{path}/progress", compact_every=2).awaitTermination()
+    return table.read().select("user_id", "event_type", "event_id", "value")

@@ -8,6 +8,7 @@ from corpusmill.functions import patterns as P
 from corpusmill.functions import templates as X
 from corpusmill.operators import facts as O
 from corpusmill.operators import publish
+from corpusmill.operators.snapshots import Checked, Snapshots
 from corpusmill.plans import compose as C
 from corpusmill.plans.registry import Tables, query
 from corpusmill.session import materialize, scratch_path
@@ -240,21 +241,51 @@ def required_fields(t: Tables):
 @query("publish_if_valid", f"""WITH p AS ({SQL_PROBLEMS}) SELECT 'gappy' AS collection, 0 AS written, count(*) AS n FROM p
 UNION ALL SELECT 'clean', 1, count(*) FROM orders""")
 def publish_if_valid(t: Tables):
-    spark, problems = t.spark, order_problems(t)
-    outcome = {}
-    for name, checked in (("gappy", problems), ("clean", O.required_fields(t.orders, "o_orderkey", ["o_orderstatus", "o_totalprice"]))):
-        path = scratch_path(spark, name)
+    spark, collection = t.spark, Snapshots(t.spark, scratch_path(t.spark, "published"))
+    gappy = Checked(t.orders.selectExpr("o_orderkey", *GAPS), "o_orderkey", O.missing(["status", "price", "priority"], {"items": "no items"}))
+    clean = Checked(t.orders, "o_orderkey", O.missing(["o_orderstatus", "o_totalprice"]))
+    rows = []
+    for name, table in (("gappy", gappy), ("clean", clean)):
         try:
-            publish.publish_if_valid(checked, lambda: t.orders.write.parquet(path))
-            outcome[name] = spark.read.parquet(path)
-        except publish.Rejected:
-            outcome[name] = None
-    rows = [(problems if df is None else df).groupBy(
-        F.lit(name).alias("collection"), F.lit(0 if df is None else 1).alias("written")).agg(F.count("*").alias("n"))
-        for name, df in outcome.items()]
+            collection.publish({name: table})
+            df, written = collection.read(name), 1
+        except publish.Rejected as rejected:
+            df, written = spark.read.parquet(rejected.report), 0
+        rows.append(df.groupBy(F.lit(name).alias("collection"), F.lit(written).alias("written")).agg(F.count("*").alias("n")))
     return rows[0].unionByName(rows[1])
 
 
+@query("snapshot_versions", """
+WITH g AS (SELECT o_orderkey % 5 AS k, o_totalprice FROM orders) SELECT 'first' AS seen, 'orders' AS table_name, count(*) AS n_rows FROM orders
+UNION ALL SELECT 'first', 'customers', count(*) FROM customer UNION ALL SELECT 'after rejection', 'orders', count(*) FROM orders
+UNION ALL SELECT 'after rejection', 'customers', count(*) FROM customer UNION ALL SELECT 'second', 'orders', count(*) FROM g WHERE k <> 0
+UNION ALL SELECT 'second', 'customers', count(*) FROM customer WHERE c_custkey % 2 = 1""")
+def snapshot_versions(t: Tables):
+    """Tables that fit together as readers see them: at first, after a publication that a check rejects, and after the next one."""
+    collection = Snapshots(t.spark, scratch_path(t.spark, "collection"))
+    priced = O.missing(["o_totalprice"])
+    seen = []
+
+    def look(name):
+        tables = [collection.read(x).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("seen"), F.lit(x).alias("table_name"), "n_rows")
+                  for x in ("orders", "customers")]
+        seen.extend(tables)
+
+    collection.publish({"orders": Checked(t.orders, "o_orderkey", priced), "customers": t.customer})
+    look("first")
+    gaps = t.orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice")))
+    try:
+        collection.publish({"customers": t.customer.where("c_custkey % 2 = 1"), "orders": Checked(gaps, "o_orderkey", priced)})
+    except publish.Rejected:
+        look("after rejection")
+    collection.publish({"customers": t.customer.where("c_custkey % 2 = 1"), "orders": Checked(t.orders.where("o_orderkey % 5 <> 0"), "o_orderkey", priced)})
+    look("second")
+    out = seen[0]
+    for one in seen[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 @query("explode_children", SQL_FACTS + """, h2 AS (SELECT scheme_id, unnest(holdings) AS h, generate_subscripts(holdings, 1) - 1 AS ord FROM f)
 SELECT scheme_id, CAST(ord AS INTEGER) AS ord, h.name AS name, p_type AS sector, 'EQ' AS instrument, h.weight_pct AS weight_pct FROM h2 JOIN f USING (scheme_id)""")
 def explode_children(t: Tables):

@@ -8,6 +8,7 @@ from corpusmill.functions import patterns as P
 from corpusmill.functions import scalars as S
 from corpusmill.functions import text as X
 from corpusmill.operators import dedupe, facts, lookup, publish, relational as R
+from corpusmill.operators.keyed import KeyedTable
 from corpusmill.plans import compose as C
 from corpusmill.plans import facts as PF
 from corpusmill.plans.registry import Tables, query
@@ -389,6 +390,41 @@ def replace_children(t: Tables):
         F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+@query("upsert_compacted", """
+WITH r AS (SELECT user_id, event_type, ts, event_id, value, event_id % 4 AS batch FROM events),
+g AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, batch DESC, event_id DESC, value DESC) AS rn FROM r),
+d AS (SELECT user_id, event_type, max(ts) AS ts FROM events WHERE user_id % 7 = 0 GROUP BY ALL)
+SELECT g.user_id, g.event_type, g.event_id, g.value FROM g ANTI JOIN d ON d.user_id = g.user_id AND d.event_type = g.event_type WHERE rn = 1""")
+def upsert_compacted(t: Tables):
+    """Events in four batches, one of them twice, compacted in between; every seventh user is deleted after the last event."""
+    rows = t.events.select("user_id", "event_type", "ts", "event_id", "value")
+    table = KeyedTable(t.spark, scratch_path(t.spark, "keyed"), rows.schema, ["user_id", "event_type"], "ts", buckets=8)
+    for batch in (0, 1, 1, 2):
+        table.write(rows.where(F.col("event_id") % 4 == batch), batch)
+        if batch == 1:
+            table.compact()
+    table.write(rows.where("event_id % 4 = 3"), 3)
+    table.remove(rows.where("user_id % 7 = 0").groupBy("user_id", "event_type").agg(F.max("ts").alias("last")), 4, F.col("last"))
+    table.compact()
+    return table.read().select("user_id", "event_type", "event_id", "value")
+
+
+@query("children_compacted", """
+SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM (
+ SELECT l_orderkey, l_quantity FROM lineitem SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('P', 'F')) ON o_orderkey = l_orderkey
+ UNION ALL SELECT o_orderkey, unnest([1.0, 2.0]) FROM orders WHERE o_orderstatus = 'P') GROUP BY 1""")
+def children_compacted(t: Tables):
+    """Items of all orders; then those of orders 'P' are replaced by two each, and those of orders 'F' deleted."""
+    items = t.lineitem.select("l_orderkey", "l_quantity").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    table = KeyedTable(t.spark, scratch_path(t.spark, "children"), items.schema, ["l_orderkey"], buckets=8)
+    table.write(items, 0)
+    table.compact()
+    table.write(t.orders.where("o_orderstatus = 'P'").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.explode(F.array(F.lit(1.0), F.lit(2.0))).alias("l_quantity")), 1)
+    table.remove(t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), 2)
+    return table.read().groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
 @query("skip_if_unchanged", """
 WITH d AS (SELECT sha1(concat_ws(chr(31), 'm1', CAST(doc_id AS VARCHAR), text)) AS h FROM documents)
 SELECT count(*) AS n, CAST(sum(CAST(('0x' || left(h, 12)) AS HUGEINT)) AS VARCHAR) AS high, CAST(sum(CAST(('0x' || substr(h, 13, 12)) AS HUGEINT)) AS VARCHAR) AS low,

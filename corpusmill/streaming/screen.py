@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from corpusmill.functions.screening import pii_placeholder, pii_types, refusal_kind
 from corpusmill.operators.dedupe import latest
+from corpusmill.operators.keyed import KeyedTable
 
 
 def stream_screen(messages: DataFrame, text: Column, keep: list[str], house_names: list[str] | None = None) -> DataFrame:
@@ -27,8 +28,21 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
             .trigger(availableNow=True).start())
 
 
+def upsert_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, deleted: Column | None = None, compact_every: int = 16) -> StreamingQuery:
+    """Adds every micro-batch to a keyed table as a delta, and folds the deltas into its base whenever ``compact_every`` have
+    gathered. A batch that runs again replaces its delta, or is left alone where it is folded already."""
+    def save(df: DataFrame, batch_id: int) -> None:
+        table.write(df, batch_id, deleted)
+        if len(table.finished()) >= compact_every:
+            table.compact()
+
+    return (stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def upsert_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends each batch of records; a batch that runs again replaces itself. What is current is decided when reading."""
+    """Appends each batch of records to a plain log; a batch that runs again replaces itself. What is current is decided when
+    reading, over all batches: for logs that end. ``upsert_stream`` keeps what readers take small."""
     return write_batches(stream, path, checkpoint)
 
 
