@@ -343,6 +343,29 @@ def stream_sessions(t: Tables):
     return t.spark.read.parquet(f"{path}/data").select("conv_id", "turn", "transcript", "n_turns")
 
 
+@query("ordered_sessions", f"""
+WITH x AS ({SQL_EXCHANGES}), p AS (SELECT conv_id, turn, 'User: ' || question || chr(10) || 'Assistant: ' || left(answer, 300) AS s FROM x WHERE len({C.sql_pii('question')}) = 0)
+SELECT conv_id, turn, array_to_string(coalesce(list(s) OVER w, []), chr(10)) AS transcript, CAST(count(s) OVER w AS INTEGER) AS n_turns FROM p
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
+def ordered_sessions(t: Tables):
+    """By event time: a minute a turn, and one row much later, behind which the watermark passes them all."""
+    path, conf = scratch_path(t.spark, "ordered"), "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(conf)
+    t.spark.conf.set(conf, sessions.STATE_STORE)
+    try:
+        said = arriving(t, "conversations").selectExpr(
+            "conv_id", "turn", "text || CASE WHEN (conv_id + turn) % 5 = 0 THEN ' call me on 9876543210' ELSE '' END AS question",
+            "'Reply ' || role || ' ' || text AS answer", "timestamp_seconds(86400 + turn * 60) AS said_at")
+        end = t.conversations.groupBy(F.lit(-1).cast("bigint").alias("conv_id")).agg(
+            F.max("turn").alias("turn"), F.lit("").alias("question"), F.lit("").alias("answer"), F.timestamp_seconds(F.max("turn") * 60 + 7 * 86400).alias("said_at"))
+        end.write.parquet(f"{path}/end")
+        exchanges = said.unionByName(t.spark.readStream.schema(end.schema).parquet(f"{path}/end"))
+        screen.write_batches(sessions.ordered_sessions(exchanges, "said_at"), f"{path}/data", f"{path}/progress").awaitTermination()
+    finally:
+        t.spark.conf.set(conf, before)
+    return t.spark.read.schema(sessions.OUT).option("recursiveFileLookup", "true").parquet(f"{path}/data").where("conv_id <> -1")
+
+
 @query("stream_upsert", """
 SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def stream_upsert(t: Tables):
