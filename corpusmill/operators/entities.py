@@ -41,20 +41,75 @@ def word_ngrams(text: Column, longest: Column) -> Column:
     return F.array_distinct(runs)
 
 
-def alias_match_join(messages: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, entity_id) for a table of aliases of any size.
+def alias_index(aliases: DataFrame) -> DataFrame:
+    """(entity_id, alias, n, head, run): aliases in lower case, their number of words, their first word or first two as the
+    head under which they are found, and a hash of all their words."""
+    found = F.regexp_extract_all(F.lower("alias"), F.lit(P.WORD), 0)
+    rows = aliases.select("entity_id", F.lower("alias").alias("alias"), found.alias("w")).where(F.size("w") > 0)
+    return rows.select("entity_id", "alias", F.size("w").alias("n"), F.array_join(F.slice("w", 1, 2), " ").alias("head"), F.xxhash64("w").alias("run"))
+
+
+def alias_runs(messages: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, n, run, said, around): runs of words of a message that may be an alias. A run is made only where its first words
+    are the head of an alias, and only in the lengths that occur under that head.
 
-    The words of a message meet the words of an alias by equi-join; the alias itself is then looked for as a whole word
-    in the message, so punctuation inside it counts. ``aliases``: entity_id, alias of any number of words; runs of the
-    message are as long as the longest alias. The alias side is small as a rule, and then AQE broadcasts it.
+    ``said`` is the run with what stands between its words, ``around`` the same with a word more on either side.
     """
-    by_words = aliases.select("entity_id", F.lower("alias").alias("alias"),
-                              F.array_join(F.regexp_extract_all(F.lower("alias"), F.lit(P.WORD), 0), " ").alias("gram"))
-    grams = messages.withColumn("_longest", n_words(aliases, "alias")).select(
-        key, F.lower(text).alias("_t"), F.explode(word_ngrams(F.col(text), F.col("_longest"))).alias("gram"))
+    heads = index.groupBy("head").agg(F.collect_set("n").alias("lengths"))  # as many as aliases have lengths
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(P.WORD), 0)
+    pieces = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"{P.WORD}|{P.WORD.replace('[', '[^', 1)}"), 0)
+    m = messages.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), words.alias("w"), pieces.alias("p"))
+    # Words and what parts them take turns; a text may begin with either.
+    m = m.withColumn("lead", F.when(F.size("w") == 0, 0).otherwise(F.when(F.get("p", F.lit(0)) == F.get("w", F.lit(0)), 0).otherwise(1)))
+
+    def begins(word: Column, i: Column) -> Column:
+        after = F.get("w", i + 1)
+        return F.array(F.struct(i.alias("pos"), word.alias("head")), F.struct(i.alias("pos"), F.concat(word, F.lit(" "), after).alias("head")))
+
+    starts = m.select("_key", F.explode(F.flatten(F.transform("w", begins))).alias("s")).select("_key", "s.pos", "s.head")
+    at = starts.join(heads, "head").select("_key", F.explode("lengths").alias("n"), "pos")
+    at = at.groupBy("_key").agg(F.collect_set(F.struct("pos", "n")).alias("at"))  # within one message
+
+    def run(x: Column) -> Column:
+        first = x["pos"] * 2 + F.col("lead") + 1
+        before = F.greatest(first - 2, F.lit(1))
+        return F.struct(x["pos"].alias("pos"), x["n"].alias("n"), F.xxhash64(F.slice("w", x["pos"] + 1, x["n"])).alias("run"),
+                        F.array_join(F.slice("p", first, x["n"] * 2 - 1), "").alias("said"),
+                        F.array_join(F.slice("p", before, first - before + x["n"] * 2 + 1), "").alias("around"))
+
+    inside = F.filter("at", lambda x: x["pos"] + x["n"] <= F.size("w"))
+    return m.join(at, "_key").select(F.col("_key").alias(key), F.explode(F.transform(inside, run)).alias("r")).select(key, "r.*")
+
+
+def alias_hits(messages: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, entity_id, alias, pos, n): every place where an alias stands as a whole word, by its first word's number."""
+    index = alias_index(aliases)
     quoted = rep(F.col("alias"), r"([^\p{L}\p{N}_ ])", r"\\$1")
-    whole = F.regexp_like(F.col("_t"), F.concat(F.lit(r"(?iU)\b"), quoted, F.lit(r"\b")))
-    return grams.join(by_words, "gram").where(whole).select(key, "entity_id").distinct()
+    whole = F.regexp_like(F.col("around"), F.concat(F.lit(r"(?iU)\b"), quoted, F.lit(r"\b")))
+    # An alias may begin or end with a mark, which is no part of the run.
+    edged = F.col("alias").rlike(rf"^{P.WORD.replace('[', '[^', 1)}|{P.WORD.replace('[', '[^', 1)}$")
+    return alias_runs(messages, index, key, text).join(index.drop("head"), ["run", "n"]).where(
+        whole & ((F.col("said") == F.col("alias")) | edged)).select(key, "entity_id", "alias", "pos", "n")
+
+
+def alias_spans(messages: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, entity_id, alias, pos, n): the hits of each entity that one pass over the message takes, the leftmost first and of
+    several at one place the longest, none overlapping another of the same entity."""
+    hits = alias_hits(messages, aliases, key, text).distinct()
+    span = F.struct("pos", (-F.length("alias")).alias("shorter"), "alias", "n")
+    listed = hits.groupBy(key, "entity_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))  # within one message
+    taken = F.aggregate("spans", F.expr("array_repeat(spans[0], 0)"), lambda done, s: F.when(
+        (F.size(done) == 0) | (F.element_at(done, -1)["pos"] + F.element_at(done, -1)["n"] <= s["pos"]), F.concat(done, F.array(s))).otherwise(done))
+    return listed.select(key, "entity_id", F.explode(taken).alias("s")).select(key, "entity_id", "s.alias", "s.pos", "s.n")
+
+
+def alias_match_join(messages: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, entity_id) for a table of aliases of any size and length.
+
+    Aliases are looked up under their first words, so a message makes a run of words only where an alias begins; the alias
+    itself must then stand there as a whole word, so punctuation inside it counts. Messages without text have no entity.
+    """
+    return alias_hits(messages, aliases, key, text).select(key, "entity_id").distinct()
 
 
 def bind_alias_keys(aliases: DataFrame, entities: DataFrame) -> DataFrame:

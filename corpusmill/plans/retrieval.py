@@ -264,6 +264,22 @@ def alias_match_join(t: Tables):
     return entities.alias_match_join(part_messages(t), aliases, "p_partkey", "m")
 
 
+@query("alias_hits", r"""
+WITH a AS (SELECT 'first' AS entity_id, unnest(['the', 'in the', 'the on']) AS alias UNION ALL SELECT 'second', unnest(['the', 'an in']) UNION ALL
+ SELECT 'third', array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[3:14], ' ') FROM benchmark WHERE item_id % 5 = 0),
+d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), '  ') AS t FROM documents),
+h AS (SELECT DISTINCT doc_id, entity_id, alias FROM d, a WHERE contains('  ' || t || '  ', '  ' || replace(alias, ' ', '  ') || '  '))
+SELECT doc_id, entity_id, count(*) AS aliases FROM h GROUP BY ALL""")
+def alias_hits(t: Tables):
+    """Which aliases of three entities stand in each document, one of them a table of runs of twelve words; words joined by single blanks."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(P.WORD), 0)
+    short = t.spark.createDataFrame([("first", "the"), ("first", "in the"), ("first", "the on"), ("second", "the"), ("second", "an in")], "entity_id string, alias string")
+    long_ones = t.benchmark.where("item_id % 5 = 0").select(F.lit("third").alias("entity_id"), F.array_join(F.slice(words, 3, 12), " ").alias("alias"))
+    plain = t.documents.select("doc_id", F.array_join(words, " ").alias("m"))
+    hits = entities.alias_hits(plain, short.unionByName(long_ones), "doc_id", "m")
+    return hits.select("doc_id", "entity_id", "alias").distinct().groupBy("doc_id", "entity_id").agg(F.count("*").alias("aliases"))
+
+
 @query("strip_aliases", """
 SELECT a.p_partkey, 'Is the , or ' || CASE WHEN a.p_partkey % 2 = 1 THEN '?' WHEN lower(a.p_name) = lower(b.p_name) THEN b.p_name || 's ?' ELSE b.p_name || 's ?' END AS stripped
 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
