@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +26,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1
  h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption search""".split())
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption".split())
-DROPPED = RAW | frozenset("template svg math object audio video canvas select head nav footer aside form button input label fieldset menu dialog search".split())
+DROPPED = RAW | frozenset("template svg math object audio video canvas select head nav footer aside button input label menu dialog search".split())
+#: What holds controls, unless it turns out to hold the page's paragraphs, as on pages that are one form.
+FORMS = frozenset("form fieldset".split())
 LISTED = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
           "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 BOILER = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menus?|breadcrumbs?|side-?bar|footers?|site-?header
@@ -44,13 +46,15 @@ SPACE = re.compile(r"\s+")
 #: Points of a paragraph: one, one for each comma, one for each 100 characters up to three.
 LENGTH_UNIT, LENGTH_MOST = 100, 3
 LINKED = 0.5
-#: Share of links above which a list or table inside the article is a menu; sources and tables of names say more than that.
+#: Share of links above which a list or table is a menu where it stands before or behind all paragraphs of an unmarked container.
 LINKS_ONLY = 0.9
 #: Share of the page's unlinked points above which an element named as something else is the article after all: where names
 #: speak for it, and where none do.
 MOST, NEARLY_ALL = 0.5, 0.8
 #: Points of a paragraph that may be an article by itself.
 PARAGRAPH = 3
+#: Characters from which on a text without links reads as a sentence, if it ends like one.
+SENTENCE, SENTENCE_ENDS = 25, tuple(".!?…:。！？»”\"')")
 
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -70,63 +74,65 @@ def joined(parts: list) -> tuple[str, int]:
     return text, min(sum(p[2] for p in parts), len(text))
 
 
-def lineage(node) -> Iterator:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "chars", "linked", "dropped", "boost", "named", "replies", "main", "points")
-
-    def __init__(self, tag: str, parent, dropped: bool, boost: float, named: bool = False, replies: bool = False, main: bool = False):
-        self.tag, self.parent, self.dropped, self.boost = tag, parent, dropped, boost
-        self.named, self.replies, self.main = named, replies, main
-        self.children, self.score, self.chars, self.linked, self.points = [], 0.0, 0, 0, 0.0
+    """An element. What holds for it and all below it is set when it opens; sums over what is below it come later, from the last
+    element to the first. Elements are numbered in page order: ``at``, and ``end`` behind the last one below."""
+    __slots__ = ("tag", "parent", "at", "end", "children", "dropped", "boost", "named", "form", "replies", "main", "block", "in_article", "namer",
+                 "under_replies", "score", "chars", "linked", "points", "clear", "kept", "gone", "inner", "holds_main")
+
+    def __init__(self, tag: str, parent, at: int, dropped: bool, boost: float, named: bool = False, replies: bool = False, main: bool = False):
+        self.tag, self.parent, self.at, self.end, self.children = tag, parent, at, at + 1, []
+        self.dropped, self.boost, self.named, self.form, self.replies, self.main = dropped, boost, named, tag in FORMS, replies, main
+        self.block = self if parent is None or tag in BLOCKS else parent.block
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
+        self.under_replies = replies or (parent is not None and parent.under_replies)
+        #: The innermost element, itself included, that only scoring can keep.
+        self.namer = self if named or self.form else parent.namer if parent is not None else None
+        self.score, self.chars, self.linked, self.points, self.clear = 0.0, 0, 0, 0.0, 0.0
+        self.kept = self.gone = self.inner = self.holds_main = False
         if parent is not None:
             parent.children.append(self)
 
-    def inside(self, kept: set) -> bool:
-        node = self
-        while node is not None:
-            if id(node) in kept:
-                return True
-            node = node.parent
-        return False
+    def around(self, other) -> bool:
+        """Whether ``other`` is this element or stands in it."""
+        return self.at <= other.at < self.end
 
 
 class Page:
     """Blocks of one page: text, the element it stands in, and its linked characters."""
 
     def __init__(self, source: str):
-        self.root = Node("html", None, False, 0.0)
-        self.stack = [self.root]
+        self.root = Node("html", None, 0, False, 0.0)
+        self.nodes, self.stack, self.open = [self.root], [self.root], Counter(["html"])
         self.blocks: list[tuple[Node, str, int]] = []
         #: Blocks as read: the innermost block element, and (element, text, linked characters) of its parts.
         self.pieces: list[tuple[Node, list[tuple[Node, str, int]]]] = []
         self.parts: list[tuple[Node, str, int]] = []
-        self.links = 0
         self.read(source)
         self.flush()
+        for node in reversed(self.nodes[1:]):
+            node.parent.end = max(node.parent.end, node.end)
 
     def flush(self) -> None:
         """Ends a block; its text belongs to the innermost block element that is open."""
         if self.parts:
-            self.pieces.append((next(n for n in reversed(self.stack) if n.tag in BLOCKS), self.parts))
+            self.pieces.append((self.stack[-1].block, self.parts))
             self.parts = []
 
     def text(self, piece: str) -> None:
         if piece and not self.stack[-1].dropped:
-            self.parts.append((self.stack[-1], piece, len(piece.strip()) if self.links else 0))
+            self.parts.append((self.stack[-1], piece, len(piece.strip()) if self.open["a"] else 0))
 
     def close_to(self, depth: int) -> None:
         """Closes the open elements from ``depth`` on."""
         if any(n.tag in BLOCKS for n in self.stack[depth:]):
             self.flush()
-        self.links -= sum(n.tag == "a" for n in self.stack[depth:])
+        self.open.subtract(n.tag for n in self.stack[depth:])
         del self.stack[depth:]
 
     def nearest(self, tags, stops) -> int:
+        if not any(self.open[t] for t in tags):
+            return 0
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
                 return i
@@ -152,12 +158,13 @@ class Page:
         hints = " ".join(a or b or c for a, b, c in HINT.findall(attributes)) if attributes else ""
         parent = self.stack[-1]
         boiler = bool(hints and tag not in ("article", "main") and boiler_name(hints))
-        own = any(n.tag in ("article", "main") for n in self.stack)
-        dropped = (parent.dropped or tag in DROPPED or (tag == "header" and not own)
+        dropped = (parent.dropped or tag in DROPPED or (tag == "header" and not parent.in_article)
                    or bool(attributes and HIDDEN.search(attributes)))
         boost = 25.0 if tag in ("article", "main") or (hints and ARTICLE.search(hints)) else 0.0
-        self.stack.append(Node(tag, parent, dropped, boost, boiler, boiler and bool(REPLIES.search(hints)), tag == "main" or bool(ROLE_MAIN.search(attributes))))
-        self.links += tag == "a"
+        node = Node(tag, parent, len(self.nodes), dropped, boost, boiler, boiler and bool(REPLIES.search(hints)), tag == "main" or bool(ROLE_MAIN.search(attributes)))
+        self.nodes.append(node)
+        self.stack.append(node)
+        self.open[tag] += 1
 
     def closed(self, tag: str) -> None:
         if tag == "p" and not self.nearest(("p",), ()):
@@ -196,60 +203,102 @@ class Page:
 
     def settle(self) -> None:
         """Drops the elements that are named as something else, but for those that turn out to hold the article."""
-        if any(n.named for _, parts in self.pieces for top, *_ in parts for n in lineage(top)):
+        if any(top.namer for _, parts in self.pieces for top, *_ in parts):
             self.decide()
+        self.pass_down()
         for node, parts in self.pieces:
-            parts = [p for p in parts if not any(up.named and up.dropped for up in lineage(p[0]))]
-            text, linked = joined(parts)
+            text, linked = joined([p for p in parts if not p[0].gone])
             if text:
                 self.blocks.append((node, text, linked))
 
+    def pass_down(self) -> None:
+        """Tells every element whether it is below one that scoring has dropped."""
+        for node in self.nodes:
+            node.gone = ((node.named or node.form) and node.dropped) or (node.parent is not None and node.parent.gone)
+
+    def add_up(self, names: tuple[str, ...]) -> None:
+        """Adds what elements hold to those above them."""
+        for node in reversed(self.nodes[1:]):
+            for name in names:
+                value = getattr(node, name)
+                if value:
+                    setattr(node.parent, name, getattr(node.parent, name) + value)
+
     def decide(self) -> None:
         # A paragraph's parts under different names count apart.
         held, every = [], 0.0
         for node, parts in self.pieces:
             under: dict = {}
             for part in parts:
-                under.setdefault(id(next((n for n in lineage(part[0]) if n.named), None)), []).append(part)
+                under.setdefault(id(part[0].namer), []).append(part)
             for own in under.values():
                 text, linked = joined(own)
                 if text:
                     plain = node.tag not in HEADINGS and linked <= LINKED * len(text)
-                    held.append((own[0][0], self.points(node, text) * (1 - linked / len(text)) if plain else 0.0, len(text), linked))
-        named, marks = {}, {}
-        for top, points, chars, linked in held:
-            every += points
-            above = list(lineage(top))
-            for up in above:
-                up.points += points
-                up.chars += chars
-                up.linked += linked
-                if up.named:
-                    named[id(up)] = up
-                elif up.boost and points and not any(n.replies for n in above):
-                    marks[id(up)] = up
-        inner = {id(up) for n in marks.values() if n.points > MOST * every for up in lineage(n)}
-        mains = {id(up) for n in marks.values() if n.main for up in lineage(n)}
+                    top, points = own[0][0], self.points(node, text) if plain else 0.0
+                    points *= 1 - linked / len(text)
+                    held.append((top, points))
+                    every += points
+                    top.points += points
+                    top.clear += 0.0 if top.under_replies else points
+                    top.chars += len(text)
+                    top.linked += linked
+        self.add_up(("points", "clear", "chars", "linked"))
+        marks = [n for n in self.nodes if n.boost and not n.named and n.clear]
+        for n in marks:
+            up = n if n.points > MOST * every else None
+            while up is not None and not up.inner:
+                up.inner, up = True, up.parent
+            up = n if n.main else None
+            while up is not None and not up.holds_main:
+                up.holds_main, up = True, up.parent
+        # Marks under no name, those with most points first.
+        free = sorted((n for n in marks if not self.under_name(n)), key=lambda n: -n.points)
 
         def elsewhere(node: Node) -> float:
             """Most points that an article's mark under no name has outside ``node``."""
-            most, around = 0.0, {id(up) for up in lineage(node)}
-            for n in marks.values():
-                if id(n) in around or not any(up.named for up in lineage(n)):
-                    most = max(most, n.points - node.points if id(n) in around else 0.0 if any(up is node for up in lineage(n)) else n.points)
+            most, up = 0.0, node.parent
+            while up is not None:
+                if up.boost and not up.named and up.clear:
+                    most = max(most, up.points - node.points)
+                up = up.parent
+            for n in free:
+                if n.points <= most or not (node.around(n) or n.around(node)):
+                    return max(most, n.points)
             return most
 
-        for at, node in named.items():
+        for node in self.nodes:
+            if not (node.named or node.form) or not node.chars:
+                continue
             share = node.points / every if every else 0.0
-            marked = node.boost > 0 or at in inner
-            node.dropped = not (at in mains or node.linked <= LINKED * node.chars and (
+            if node.form and not node.named:
+                node.dropped = node.dropped or not (share > MOST and node.points >= PARAGRAPH or node.inner or node.holds_main)
+                continue
+            marked = node.boost > 0 or node.inner
+            node.dropped = not (node.holds_main or node.linked <= LINKED * node.chars and (
                 share >= 1 if node.replies else share > MOST and marked and elsewhere(node) <= (1 - NEARLY_ALL) * every
                 or share > NEARLY_ALL and elsewhere(node) < PARAGRAPH))
-        left = [(top, points) for top, points, *_ in held if points and not any(up.named and up.dropped for up in lineage(top))]
-        if sum(points for _, points in left) < PARAGRAPH and not any(up.boost for top, _ in left for up in lineage(top)):
+        self.pass_down()
+        left = [(top, points) for top, points in held if points and not top.gone]
+        if sum(points for _, points in left) < PARAGRAPH and not any(self.boosted(top) for top, _ in left):
             # Names would leave no paragraph; on this page they tell nothing.
-            for node in named.values():
-                node.dropped = node.dropped and (node.replies or node.linked > LINKED * node.chars)
+            for node in self.nodes:
+                if node.named and node.chars:
+                    node.dropped = node.dropped and (node.replies or node.form or node.linked > LINKED * node.chars)
+
+    @staticmethod
+    def under_name(node: Node) -> bool:
+        while node is not None and node.namer is not None:
+            if node.namer.named:
+                return True
+            node = node.namer.parent
+        return False
+
+    @staticmethod
+    def boosted(node: Node | None) -> bool:
+        while node is not None and not node.boost:
+            node = node.parent
+        return node is not None
 
     @staticmethod
     def points(node: Node, text: str) -> float:
@@ -257,23 +306,18 @@ class Page:
 
     def main_text(self) -> str:
         self.settle()
-        found = [self.root]
-        while found:
-            node = found.pop()
+        for node in self.nodes:
             node.chars = node.linked = 0
-            found += node.children
         for node, text, linked in self.blocks:
             points = self.points(node, text)
             share, up = 1.0, node if node.tag not in ("p", "pre", "blockquote", "li", "td", "dd", "dt", "tr") else node.parent
-            while up is not None:
+            while up is not None and share > 1e-9:  # what is farther up gets nothing that could be seen
                 up.score += points * share
                 share /= 2
                 up = up.parent
-            up = node
-            while up is not None:
-                up.chars += len(text)
-                up.linked += linked
-                up = up.parent
+            node.chars += len(text)
+            node.linked += linked
+        self.add_up(("chars", "linked"))
         found, best, most = [self.root], self.root, -1.0
         while found:
             node = found.pop()
@@ -284,19 +328,40 @@ class Page:
                     best, most = node, worth
         while best.parent is not None and best.tag not in BLOCKS:
             best = best.parent
-        kept = {id(best)}
+        return "\n".join(text for node, text, _ in self.article(best))
+
+    def article(self, best: Node) -> list[tuple[Node, str, int]]:
+        """The blocks of ``best``, of its siblings that are article too, and what their parent says itself."""
+        best.kept = True
         floor = max(10.0, 0.2 * (best.score + best.boost))
+        own: dict[int, list[tuple[str, int]]] = {}
+        for node, text, linked in self.blocks:
+            own.setdefault(node.at, []).append((text, linked))
         for near in best.parent.children if best.parent is not None else ():
             if near is best or near.dropped or not near.chars:
                 continue
             density = near.linked / near.chars
-            if near.tag == "h1" or (near.score + near.boost) * (1 - density) >= floor or (near.tag == "p" and density < 0.25 and near.chars > 80):
-                kept.add(id(near))
-        out = []
-        for node, text, _ in self.blocks:
-            if node.inside(kept) and not self.link_list(node, best):
-                out.append(text)
-        return "\n".join(out)
+            if (near.tag == "h1" or (near.score + near.boost) * (1 - density) >= floor or (near.tag == "p" and density < 0.25 and near.chars > 80)
+                    or (near.tag in HEADINGS and not near.linked and near.at < best.at) or self.is_section(near, best, own)):
+                near.kept = True
+        for node in self.nodes[1:]:
+            node.kept = node.kept or node.parent.kept
+        marked = best.in_article or self.boosted(best)
+        kept = []
+        for block in self.blocks:
+            node, text, linked = block
+            if node.kept or (node is best.parent and reads(text, linked)):
+                kept.append(block)
+        plain = [i for i, (node, text, linked) in enumerate(kept) if node.tag not in HEADINGS and linked <= LINKED * len(text)]
+        inside = range(plain[0], plain[-1] + 1) if plain else range(0)
+        return [block for i, block in enumerate(kept) if marked or i in inside or not self.link_list(block[0], best)]
+
+    def is_section(self, near: Node, best: Node, own: dict) -> bool:
+        """Whether a sibling of the best container has paragraphs that read as text: a short section beside a long one."""
+        if near.tag not in ("p", "section", "article", "div", "blockquote") or near.linked > 0.25 * near.chars:
+            return False
+        inside = [self.nodes[i] for i in range(near.at, near.end)] if near.tag != "p" else [near]
+        return any(reads(text, linked) for n in inside if n.tag in ("p", "blockquote") and not n.gone for text, linked in own.get(n.at, ()))
 
     @staticmethod
     def link_list(node: Node, best: Node) -> bool:
@@ -308,6 +373,11 @@ class Page:
         return False
 
 
+def reads(text: str, linked: int) -> bool:
+    """Whether a block reads as a sentence and not as a label, a menu or a notice of rights."""
+    return len(text) >= SENTENCE and linked <= 0.25 * len(text) and text.endswith(SENTENCE_ENDS) and "©" not in text
+
+
 def main_text(source: str | None) -> str:
     return Page(source).main_text() if source else ""
 

@@ -190,7 +190,7 @@ PAGES = {
              + "</p></div></div><div class=cookie-notice>We use cookies</div>", "H\n" + ("Real words, here. " * 20).strip()),
     "cut": ("<article><p>a &am</p><p>b<scr", "a &am\nb"), "comment": ("<main><p>a<!-- <p>no</p> -->b</p></main>", "ab"), "none": ("", ""), "text": ("just text", "just text"),
     "script": ("<main><script>var a='<p>x</p>'</script><p>y</p><style>p{}</style><form><p>no</p></form></main>", "y"), "sign": ("<main><p>1 < 2 > 0</p></main>", "1 < 2 > 0"),
-    "list": ("<article><p>Read, this, and that.</p><ul><li><a href=a>Link one</a><li><a href=b>Link two</a></ul><ul><li>Point</ul></article>", "Read, this, and that.\nPoint"),
+    "list": ("<article><p>Read, this, and that.</p><ul><li><a href=a>Link one</a><li><a href=b>Link two</a></ul><ul><li>Point</ul></article>", "Read, this, and that.\nLink one\nLink two\nPoint"),
     "unclosed": ("<article><p>x <a href=\"y>z</p></article>", None), "deep": ("<div>" * 3000 + "<p>deep</p>", "deep"),
 }
 
