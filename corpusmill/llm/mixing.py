@@ -9,8 +9,10 @@ of w words has at most sqrt(2w) different sizes, whatever its number of document
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +35,8 @@ DRAWS, LEAST = 2**52, -(2**63)
 
 def targets(sizes: dict, total: float, weights=WEIGHTS, most: float = MOST_COPIES) -> dict:
     """Words for each source: ``total`` shared by weight, no source above ``most`` times its size, the excess shared
-    again by weight among the others until none is above. ``sizes``: words by source name, None for no source."""
+    again by weight among the others until none is above. ``sizes``: words by source name, None for no source. The rule for
+    sizes in memory; ``target_table`` follows it for a table of any number of sources."""
     order = sorted((s for s in sizes if s is not None), key=str) + [None] * (None in sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     out, left, free = {}, float(total), list(order)
@@ -49,6 +52,28 @@ def targets(sizes: dict, total: float, weights=WEIGHTS, most: float = MOST_COPIE
     return out
 
 
+def target_table(sources: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
+    """(source, source_size, number, target) of a table (source, source_size) with one row a source, by the rule of ``targets``.
+
+    Sources are numbered in order of their names, null last, in ranges and not in one task. All sources below their limit have one
+    level, words a unit of weight; each round adds up what the capped ones take and the weight of the others, and raises
+    the level, until no other source is capped. A round is one sum over the table.
+    """
+    ordered = sources.select("source", "source_size", F.lit(0).alias("all"), F.struct(F.col("source").isNull().alias("none"), "source").alias("place"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("occurrence_no") % len(weights) + 1).cast("int"))
+    rows = materialize(occurrence_no(ordered, ["all"], "place").select("source", "source_size", F.col("occurrence_no").alias("number"),
+                                                                       weight.alias("weight"), (F.col("source_size") * float(most)).alias("cap")), "mix-sources")
+    total, level, capped = int(rows.agg(F.sum("source_size")).head()[0] or 0), 0.0, -1
+    while True:
+        over = F.col("weight") * level > F.col("cap")
+        sums = rows.agg(F.sum(over.cast("int")).alias("n"), F.sum(F.when(over, F.col("cap"))).alias("taken"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).head()
+        if (sums.n or 0) <= capped or not sums.weight:
+            break
+        capped, level = sums.n or 0, (total - (sums.taken or 0.0)) / sums.weight
+    over = F.col("weight") * level > F.col("cap")
+    return rows.select("source", "source_size", "number", F.when(over, F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
+
+
 def knapsack(sizes: np.ndarray, counts: np.ndarray, gap: int) -> np.ndarray:
     """How many of each size to take, at most ``counts``, so that the sum comes as near to ``gap`` as it can from below.
 
@@ -157,21 +182,53 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return best
 
 
+PLAN = pa.schema([("source", pa.string()), ("size", pa.int64()), ("docs", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()),
+                  ("copies", pa.int32()), ("extra", pa.int64())])
+
+
+def planned_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Plans of the sources of a task, whose rows come sorted by source and size. One source at a time is held in whole."""
+    def fitted(rows: pa.Table) -> pa.RecordBatch:
+        sizes, docs = (rows[c].to_numpy().astype(np.int64) for c in ("size", "docs"))
+        # Rows of several whole sources, each planned for itself.
+        number = rows["number"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        copies, extra = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int64)
+        targets = rows["target"].to_numpy()
+        for i, j in zip(starts, [*starts[1:], len(sizes)]):
+            whole, target = int((sizes[i:j] * docs[i:j]).sum()), float(targets[i])
+            times = min(MOST_COPIES, int(target // whole)) if whole else 0
+            copies[i:j] = times
+            if times < MOST_COPIES:
+                extra[i:j] = fit(sizes[i:j], docs[i:j], int(round(target)) - times * whole)
+        columns = [rows[c].combine_chunks() for c in PLAN.names[:5]]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(copies), pa.array(extra)], schema=PLAN)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number = batch["number"].to_numpy()
+        if held and held[-1]["number"][-1].as_py() != number[0]:
+            yield fitted(pa.Table.from_batches(held))
+            held = []
+        # Where the batch's last source begins; what stands before it is whole.
+        cut = int(np.flatnonzero(number != number[-1])[-1]) + 1 if (number != number[-1]).any() else 0
+        if cut:
+            yield fitted(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield fitted(pa.Table.from_batches(held))
+
+
 def plan(counts: DataFrame, source_targets: DataFrame) -> DataFrame:
     """One row for each (source, size): copies of every document and the number of documents that get one more."""
-    def per_source(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("size", ignore_index=True)
-        sizes, docs = rows["size"].to_numpy(np.int64), rows["docs"].to_numpy(np.int64)
-        source, target = int((sizes * docs).sum()), float(rows["target"].iloc[0])
-        copies = min(MOST_COPIES, int(target // source)) if source else 0
-        budget = int(round(target)) - copies * source if copies < MOST_COPIES else 0
-        return rows.assign(copies=np.int32(copies), extra=fit(sizes, docs, budget))[
-            ["source", "size", "docs", "source_size", "target", "copies", "extra"]]
-
     # A null source is a group of its own.
-    joined = counts.join(F.broadcast(source_targets), counts["source"].eqNullSafe(source_targets["s"])).drop("s")
-    return joined.groupBy("source").applyInPandas(
-        per_source, "source string, size bigint, docs bigint, source_size bigint, target double, copies int, extra bigint")
+    joined = counts.alias("c").join(source_targets.alias("t"), F.expr("c.source <=> t.source")).select(
+        "c.*", "t.source_size", "t.target", "t.number")
+    return joined.repartition("number").sortWithinPartitions("number", "size").mapInArrow(
+        planned_sources, "source string, size bigint, docs bigint, source_size bigint, target double, copies int, extra bigint")
 
 
 def mix(docs: DataFrame, seed: int = 7, size: Column | None = None) -> DataFrame:
@@ -179,28 +236,24 @@ def mix(docs: DataFrame, seed: int = 7, size: Column | None = None) -> DataFrame
 
     ``taken`` is ``copies`` times the size: the words the mix takes of this row. Null and empty texts have size 0 and add
     nothing. A null source is a source, the last one. Repeated rows are rows of their own; which of several rows with
-    equal doc_id, source and size are taken is not distinguishable, but only as many as the plan takes are. An empty table gives an empty table. Columns of the
-    input with the names of the results are replaced. The number of sources must fit a broadcast of one short row each,
-    which is checked; beyond 100,000 sources the call fails with a message.
+    equal doc_id, source and size are taken is not distinguishable, but only as many as the plan takes are. An empty table
+    gives an empty table. Columns of the input with the names of the results are replaced. There may be any number of sources.
+
+    Words are counted twice: once into a table of sizes, from which all is planned, and once with the result.
     """
-    spark = docs.sparkSession
     made = ["size", "source_size", "target", "copies", "taken"]
     own = [c for c in docs.columns if c not in made]
     sized = docs.select(*[F.col(f"`{c}`") for c in own], (n_words() if size is None else size).alias("size"))
-    counts = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("docs")), "mix-counts")
-    sources = [tuple(r) for r in counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs"))).limit(100_001).collect()]
-    if len(sources) > 100_000:
-        raise ValueError("more than 100,000 sources; targets are planned on the driver for fewer")
-    words = {s: int(n or 0) for s, n in sources}
-    target = targets(words, sum(words.values()))
-    rows = [(s, words[s], target[s]) for s in words]
-    planned = materialize(plan(counts, spark.createDataFrame(rows, "s string, source_size bigint, target double")), "mix-plan")
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(DRAWS))
+    narrow = materialize(sized.select("source", "size", "doc_id", draw.alias("draw")), "mix-sizes")
+    counts = materialize(narrow.groupBy("source", "size").agg(F.count("*").alias("docs")), "mix-counts")
+    sources = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
+    planned = materialize(plan(counts, target_table(sources)), "mix-plan")
 
     # The cut of a class is the place in seeded order of its last chosen document. It is found in cells of about
     # CELL_DOCS documents: counts tell the cell, and only that cell is put in order.
     open_ = planned.where((F.col("extra") > 0) & (F.col("extra") < F.col("docs")))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(DRAWS))
-    drawn = (sized.select("doc_id", "source", "size", draw.alias("draw")).alias("d")
+    drawn = (narrow.alias("d")
              .join(open_.alias("o"), same_class("d", "o"))
              .select("d.doc_id", "d.source", "d.size", "d.draw", "o.extra",
                      F.floor(F.col("d.draw") / DRAWS * F.ceil(F.col("o.docs") / CELL_DOCS)).alias("cell")))

@@ -41,3 +41,23 @@ def test_rows_of_one_id_meet_the_target(spark):
     assert len(got) == len(rows) and list(got.columns[:3]) == ["doc_id", "text", "source"]
     for _, own in got.groupby("source"):
         assert own.target.iloc[0] - 5 < own.taken.sum() <= own.target.iloc[0] + 0.5
+
+
+def test_targets_of_a_table_follow_the_rule(spark):
+    import math
+    import random
+    rng = random.Random(8)
+    for case in range(6):
+        names = [f"s{i}" if i % 7 else f"\u00e9{i}" for i in range(rng.choice([1, 3, 40]))] + [None] * (case % 2)
+        sizes = {n: rng.choice([0, 1, rng.randrange(50), rng.randrange(10**6)]) for n in names}
+        rows = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+        got = {r.source: r.target for r in mixing.target_table(rows).collect()}
+        want = mixing.targets(sizes, sum(sizes.values()))
+        assert got.keys() == want.keys() and all(math.isclose(got[n], want[n], rel_tol=1e-9, abs_tol=1e-6) for n in want)
+
+
+def test_more_sources_than_fit_a_driver(spark):
+    docs = spark.range(120_000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 3 AS int)) AS text", "concat('s', id) AS source")
+    rows = mixing.mix(docs)
+    out = rows.selectExpr("count(*) AS n", "sum(taken) AS taken", "sum(size) AS size", "max(taken / size) AS most").head()
+    assert out.n == 120_000 and out.most <= 3 and abs(out.taken / out.size - 1) < 0.5
