@@ -7,6 +7,7 @@ completion, with the ranges that count for the loss: the words of the assistant.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Turns rendered into one row. Longer conversations continue in further rows, so no row or group grows without bound.
@@ -25,15 +26,15 @@ def rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(header(t["role"]), t["text"], F.lit(END))), "")
 
 
-def mask(turns: Column) -> Column:
-    """start:end of what the assistant says, in characters of the rendered text, end exclusive, comma-joined; the end sign
-    of such a turn counts, its header doesn't."""
+def mask(turns: Column, begin_at: Column) -> Column:
+    """start:end of what the assistant says, in characters of the rendered text, which begins at ``begin_at``; end exclusive,
+    comma-joined. The end sign of such a turn counts, its header doesn't."""
     def step(have: Column, t: Column) -> Column:
         start = have["at"] + F.length(header(t["role"]))
         end = start + F.length(t["text"]) + len(END) - 1
         return F.struct((end + 1).alias("at"), F.when(t["role"] == TRAINED, F.array_append(
             have["ranges"], F.concat_ws(":", start, end))).otherwise(have["ranges"]).alias("ranges"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("ranges"))
+    begin = F.struct(begin_at.alias("at"), F.array().cast("array<string>").alias("ranges"))
     return F.aggregate(turns, begin, step, lambda have: F.array_join(have["ranges"], ","))
 
 
@@ -45,7 +46,9 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, segment_turns: int
     null pair_id or turn are left out. Of rows that repeat a number on one side the smallest (role, text) counts. A pair
     with one side only has an empty prompt and an empty other side; equal sides have empty completions; an empty table
     gives an empty one. Segment s holds the turns whose number divided by ``segment_turns`` is s, so a pair has one row
-    unless it is longer; parts of a pair join in order of segment. Further columns don't matter.
+    unless it is longer. n_common is the pair's number of common turns on each of its rows, and masks count from the start of
+    the pair's whole completion, so its parts are joined by putting texts and masks one behind the other in order of
+    segment (``whole_pairs``). Further columns don't matter.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
         said = F.struct(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -66,10 +69,27 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, segment_turns: int
         return F.array_sort(F.collect_list(F.when(when & F.col(said).isNotNull(), t)))
 
     parts = held.groupBy("pair_id", "segment").agg(
-        F.sum(F.col("shared").cast("long")).alias("n_common"), part("c", F.col("shared")).alias("p"),
-        part("c", ~F.col("shared")).alias("c"), part("r", ~F.col("shared")).alias("r"))
-    return parts.select("pair_id", "segment", "n_common", rendered(F.col("p")).alias("prompt"), rendered(F.col("c")).alias("chosen"),
-                        mask(F.col("c")).alias("chosen_mask"), rendered(F.col("r")).alias("rejected"), mask(F.col("r")).alias("rejected_mask"))
+        part("c", F.col("shared")).alias("p"), part("c", ~F.col("shared")).alias("c"), part("r", ~F.col("shared")).alias("r"))
+    # Where a segment's completions begin: short rows, so that no text is sorted by pair.
+    long = {s: F.sum(F.when(~F.col("shared"), F.length(header(F.col(f"{s}.role"))) + F.length(f"{s}.text") + len(END))) for s in ("c", "r")}
+    lengths = held.groupBy("pair_id", "segment").agg(F.sum(F.col("shared").cast("long")).alias("n"), *[x.alias(f"{s}_chars") for s, x in long.items()])
+    pair = W.partitionBy("pair_id")
+    before = pair.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    begins = lengths.select("pair_id", "segment", F.sum("n").over(pair).alias("n_common"), *[
+        F.coalesce(F.sum(f"{s}_chars").over(before), F.lit(0)).alias(f"{s}_at") for s in ("c", "r")])
+    return parts.join(begins, ["pair_id", "segment"]).select(
+        "pair_id", "segment", "n_common", rendered(F.col("p")).alias("prompt"), rendered(F.col("c")).alias("chosen"),
+        mask(F.col("c"), F.col("c_at")).alias("chosen_mask"), rendered(F.col("r")).alias("rejected"), mask(F.col("r"), F.col("r_at")).alias("rejected_mask"))
+
+
+def whole_pairs(parts: DataFrame) -> DataFrame:
+    """One row for each pair of ``preference_pairs``, whatever its length: its segments joined, which a row must then hold whole."""
+    texts = ["prompt", "chosen", "rejected"]
+    masks = ["chosen_mask", "rejected_mask"]
+    joined = parts.groupBy("pair_id", "n_common").agg(F.array_sort(F.collect_list(F.struct("segment", *texts, *masks))).alias("s"))
+    every = lambda c: F.transform("s", lambda x: x[c])
+    return joined.select("pair_id", "n_common", *[F.array_join(every(c), "").alias(c) for c in texts],
+                         *[F.array_join(F.filter(every(c), lambda x: x != ""), ",").alias(c) for c in masks])
 
 
 def with_first_reply(conversations: DataFrame) -> DataFrame:

@@ -103,8 +103,9 @@ w AS (SELECT v.*, first IS NULL OR turn < first AS shared, '<|im_start|>' || rol
       FROM v JOIN f USING (pair_id)),
 o AS (SELECT *, sum(length(head) + length(text) + 11) OVER p - length(text) - 11 AS cs,
              sum(length(head) + length(other) + 11) OVER p - length(other) - 11 AS rs
-      FROM w WINDOW p AS (PARTITION BY pair_id, turn // 256, shared ORDER BY turn))
-SELECT pair_id, turn // 256 AS segment, CAST(count(*) FILTER (shared) AS BIGINT) AS n_common,
+      FROM w WINDOW p AS (PARTITION BY pair_id, shared ORDER BY turn)),
+n AS (SELECT pair_id, CAST(count(*) FILTER (shared) AS BIGINT) AS n_common FROM w GROUP BY pair_id)
+SELECT pair_id, turn // 256 AS segment, n_common,
        coalesce(string_agg(head || text || tail, '' ORDER BY turn) FILTER (shared), '') AS prompt,
        coalesce(string_agg(head || text || tail, '' ORDER BY turn) FILTER (NOT shared), '') AS chosen,
        coalesce(string_agg(CAST(cs AS BIGINT) || ':' || CAST(cs + length(text) + 10 AS BIGINT), ',' ORDER BY turn)
@@ -112,7 +113,7 @@ SELECT pair_id, turn // 256 AS segment, CAST(count(*) FILTER (shared) AS BIGINT)
        coalesce(string_agg(head || other || tail, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected,
        coalesce(string_agg(CAST(rs AS BIGINT) || ':' || CAST(rs + length(other) + 10 AS BIGINT), ',' ORDER BY turn)
                 FILTER (NOT shared AND role = 'assistant'), '') AS rejected_mask
-FROM o GROUP BY pair_id, turn // 256""")
+FROM o JOIN n USING (pair_id) GROUP BY pair_id, turn // 256, n_common""")
 def op6_preferences(spark, folder):
     from corpusmill.llm.preferences import preference_pairs, with_first_reply
     said = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
