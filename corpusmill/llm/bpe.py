@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 import string
 from collections.abc import Iterator
 from itertools import chain
@@ -44,6 +45,9 @@ class ForcedBoundaryBpe:
         self.normalizer, self.splitter = rules.normalizer, rules.pre_tokenizer
         suffix, vocab = model.get("end_of_word_suffix") or "", dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["content"]}
+        # All special tokens at once: the leftmost place, there the longest one.
+        longest = sorted(self.special, key=len, reverse=True)
+        self.marks = re.compile("|".join(map(re.escape, longest))) if longest else None
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
 
@@ -184,14 +188,10 @@ class ForcedBoundaryBpe:
     def pieces(self, text: str):
         """The text between special tokens, each with the id of the token after it."""
         at = 0
-        while True:
-            found = [(p, -len(t), t) for t in self.special if (p := text.find(t, at)) >= 0] if self.special else []
-            if not found:
-                yield text[at:], None
-                return
-            place, _, token = min(found)
-            yield text[at:place], self.special[token]
-            at = place + len(token)
+        for found in self.marks.finditer(text) if self.marks else ():
+            yield text[at:found.start()], self.special[found[0]]
+            at = found.end()
+        yield text[at:], None
 
     def decode(self, ids) -> str:
         """Vocabulary strings joined by a blank, as a file without decoder rules asks for."""

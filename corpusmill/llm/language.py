@@ -21,6 +21,9 @@ from corpusmill.llm.common import append
 #: Bound of the labelled sample a model is fitted on: documents of each language, characters of each (from its middle),
 #: and bytes of each dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 300, 2000, 64 * 1024
+#: Languages that are learned at most, and how many times the sample is cut from the table before it is put in order.
+LANGUAGES, SPARE = 256, 4
+DRAWS = 2**52
 PIECE_BYTES = 3000
 LEVEL = 6
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -30,14 +33,24 @@ UNKNOWN = "und"
 
 
 def fit(docs: DataFrame, where: Column | None = None, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
-        dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Dictionaries by language from rows (doc_id, text, lang) with a language and text. The sample is seeded by doc_id
-    and at most ``sample_docs * sample_chars`` characters a language, whatever the table's size."""
+        dictionary_bytes: int = DICTIONARY_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """Dictionaries by language from rows (doc_id, text, lang) with a language and text. The sample is seeded by doc_id and text
+    and at most ``sample_docs * sample_chars`` characters a language, whatever the table's size; at most ``languages`` languages
+    are learned, those of the most rows. Rows that repeat an id and text are drawn once.
+
+    A share of each language's rows, by the number of its different ones, is cut by their draw before anything is put in
+    order, so neither a language of most rows nor a row that is repeated often meets in one task.
+    """
     rows = docs if where is None else docs.where(where)
-    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn(
+        "draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(DRAWS)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("different"))
+    shares = F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(languages).select(  # at most ``languages`` rows
+        "lang", (F.lit(SPARE * sample_docs * DRAWS) / F.col("different")).alias("cut")))
     start = F.greatest(F.lit(1), F.floor((F.length("text") - sample_chars) / 2) + 1).cast("int")
-    drawn = rows.select("lang", F.xxhash64("doc_id").alias("draw"), F.substring(F.col("text"), start, F.lit(sample_chars)).alias("sample"))
-    first = drawn.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("draw", "sample"))).where(F.col("n") <= sample_docs)
+    drawn = rows.join(shares, "lang").where(F.col("draw") < F.col("cut")).select(
+        "lang", "draw", F.substring(F.col("text"), start, F.lit(sample_chars)).alias("sample")).groupBy("lang", "draw").agg(F.min("sample").alias("sample"))
+    first = drawn.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("draw"))).where(F.col("n") <= sample_docs)
     samples: dict[str, list] = {}
     for r in first.select("lang", "n", "sample").toLocalIterator():
         samples.setdefault(r.lang, []).append((r.n, r.sample))

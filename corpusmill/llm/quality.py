@@ -118,7 +118,8 @@ class Forest:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     """Forest from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality). At most ``rows`` labelled rows are used.
 
-    Labels other than 0 and 1, and labels without a document, don't count; a repeated label counts each time.
+    Labels other than 0 and 1, and labels without a document, don't count; a repeated label counts each time, and so does a
+    document that repeats a labelled id, up to ``rows`` rows in all, drawn by a hash of the id.
     """
     marked = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     drawn = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows))  # at most ``rows`` pairs of numbers
@@ -128,8 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     def figures(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(t, kinds) for t in texts])
 
-    found = docs.select("doc_id", "text").join(drawn, "doc_id").select(figures("text").alias("x"), "quality", "doc_id").toPandas()
-    found = found.sort_values(["doc_id", "quality"])
+    told = docs.select("doc_id", "text").join(drawn, "doc_id").select(figures("text").alias("x"), "quality", "doc_id")
+    found = told.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(rows).toPandas()
+    found = found.sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(found["x"].tolist(), dtype=float).reshape(len(found), len(STATISTICS))
     return Forest.fit(x, found["quality"].to_numpy(float))
 

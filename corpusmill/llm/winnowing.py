@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing: of every window of k-gram hashes the smallest is kept, the rightmost of equal ones.
 
-Any two texts that share a run of at least ``k + window - 1`` code points share a kept hash; positions are kept so that a
-match can be located. The work is numpy over whole texts inside tasks; nothing is gathered.
+Any two texts of at least ``k + window - 1`` code points that share a run of as many share a kept hash; positions are kept so
+that a match can be located. Short texts have smaller windows, and very short ones shorter grams, or there would be nothing
+to compare them by: ``sizes`` states the rule. The work is numpy over whole texts inside tasks; nothing is gathered.
 """
 
 from __future__ import annotations
@@ -11,11 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import materialize
+
 #: Length of a gram in code points, and grams in a window: shared runs of 80 code points are always seen.
 K, WINDOW = 20, 61
+#: Grams of a text per window, at least: a text of few grams keeps several of them.
+WINDOWS = 8
 BASE = 0x9E3779B97F4A7C15
 LEAST = -(2**63)
 
@@ -52,17 +57,32 @@ def window_minima(keys: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(have[:len(have) - rest], have[rest:]) if rest else have
 
 
+def sizes(n: int, k: int = K, window: int = WINDOW) -> tuple[int, int]:
+    """Length of a gram and grams in a window for a text of ``n`` code points.
+
+    Grams are halved while the text is shorter than the run that ``k`` and ``window`` guarantee (80 code points; 40 and 20 after
+    one and two halves), and no longer than the text. A window holds at most an eighth of the text's grams. Of two texts
+    with equal grams the one with the smaller window keeps whatever the other keeps in a shared run, so the guarantee
+    holds for all pairs of texts that are as long as the run.
+    """
+    run = k + window - 1
+    while n < run and k > 4:
+        k, run = k // 2, run // 2
+    k = min(k, n)
+    return k, max(1, min(window, (n - k + 1) // WINDOWS))
+
+
 def winnow(text: str | None, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Kept hashes and their positions in code points. A text shorter than ``k`` is one gram, an empty one has none; one
-    with fewer grams than a window keeps the smallest of them."""
+    """Kept hashes and their positions in code points, with the grams and windows of ``sizes``; an empty text has none."""
     codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if not len(codes):
         return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-    hashes = gram_hashes(codes, min(k, len(codes)))
+    k, window = sizes(len(codes), k, window)
+    hashes = gram_hashes(codes, k)
     # Hash above, place below: the smallest hash wins and among equal ones the largest place.
     places = np.arange(len(hashes), dtype=np.uint64)
     keys = (hashes << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - places)
-    best = window_minima(keys, min(window, len(keys)))
+    best = window_minima(keys, window)
     kept = best[np.flatnonzero(np.diff(best, prepend=~best[:1]))]
     return (kept >> np.uint64(32)).astype(np.uint32), (np.uint64(0xFFFFFFFF) - (kept & np.uint64(0xFFFFFFFF))).astype(np.uint32)
 
@@ -97,21 +117,36 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K, window: int =
     return append(docs, marks(F.col(text)), ["hashes", "positions"])
 
 
-def ranges(docs: DataFrame, parts: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Bounds that cut the ids into about equal parts, and for each part that has rows its smallest id. Reads ids only;
-    at most ``parts`` numbers come to the driver."""
-    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(LEAST)).alias("doc_id"))
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    bounds = np.unique(ids.select(F.percentile_approx("doc_id", shares, 100 * parts)).head()[0] or [])
-    least = {int(r[0]): r[1] for r in ids.select(part_of(bounds)("doc_id").alias("p"), "doc_id").groupBy("p").agg(
-        F.min("doc_id")).collect()}
-    return bounds, least
+def ranges(docs: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """The first (id, hash of the text) of each of about ``parts`` even ranges. Reads those two only; at most ``parts`` pairs come
+    to the driver. Rows that share an id are parted by their texts, so an id that many rows repeat fills many ranges."""
+    keys = materialize(docs.select(key_of("doc_id").alias("key"), F.xxhash64(text_of("text")).alias("turn")).repartitionByRange(parts, "key", "turn").select(
+        "key", "turn", F.spark_partition_id().alias("p")), "winnow-keys")
+    firsts = keys.groupBy("p").agg(F.min(F.struct("key", "turn")).alias("first")).select("first.*").collect()
+    return sorted({(r.key, r.turn) for r in firsts})
+
+
+def key_of(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id), F.lit(LEAST))
+
+
+def text_of(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit(""))
+
 
+def part_of(firsts: list[tuple[int, int]]):
+    """Number of the range that (id, hash) falls in."""
+    keys, turns = (np.array(x, dtype=np.int64) for x in zip(*firsts)) if firsts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-def part_of(bounds: np.ndarray):
     @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), side="left").astype(np.int32))
+    def part(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        ids, hashes = ids.to_numpy(np.int64), hashes.to_numpy(np.int64)
+        low, high = np.searchsorted(keys, ids, side="left"), np.searchsorted(keys, ids, side="right")
+        out = high - 1
+        # Where ranges begin within the rows of one id, the hash tells which.
+        for i in np.flatnonzero(high > low):
+            out[i] = low[i] - 1 + np.searchsorted(turns[low[i]:high[i]], hashes[i], side="right")
+        return pd.Series(np.maximum(out, 0).astype(np.int32))
     return part
 
 
@@ -122,32 +157,31 @@ SUCCESSORS = ("doc_id bigint, n_chars bigint, edited string, hashes array<bigint
 def next_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (part, ahead, doc_id, text) in which each part is in order and ends with the row that follows it.
 
-    Texts are dealt once, by range of doc_id. The first row of a part is dealt a second time, to the part before it (of
-    the first part: to the last one), so no task needs another's rows. A null doc_id comes first; equal ids are ordered
-    by text.
+    Texts are dealt once, each range to the task of its number. The first row of a part is dealt a second time, to the part
+    before it (of the first part: to the last one), so no task needs another's rows. A null doc_id comes first; equal ids
+    are ordered by a hash of the text and then the text.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds, least = ranges(docs, parts)
-    order = sorted(least)
-    before = {p: order[i - 1] for i, p in enumerate(order)}
-    firsts = spark.createDataFrame([(least[p], before[p]) for p in order] or [(None, None)], "first bigint, target int")
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(LEAST)).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("p", part_of(bounds)("key"))
+    firsts = ranges(docs, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, len(firsts))
+    heads = spark.createDataFrame([(*first, (i - 1) % n) for i, first in enumerate(firsts)], "head_key bigint, head_turn bigint, target int")
+    rows = docs.select(key_of("doc_id").alias("key"), "doc_id", text_of("text").alias("text")).withColumn("turn", F.xxhash64("text"))
+    rows = rows.withColumn("p", part_of(firsts)("key", "turn"))
     # One row for each part: at most ``parts`` short rows are broadcast.
-    rows = rows.join(F.broadcast(firsts), F.col("key") == F.col("first"), "left")
+    rows = rows.join(F.broadcast(heads), F.expr("key = head_key AND turn = head_turn"), "left")
     here = F.struct(F.col("p").alias("part"), F.lit(False).alias("ahead"))
     there = F.struct(F.col("target").alias("part"), F.lit(True).alias("ahead"))
     rows = rows.withColumn("to", F.explode(F.when(F.col("target").isNull(), F.array(here)).otherwise(F.array(here, there))))
-    return (rows.select("to.part", "to.ahead", "key", "doc_id", "text").repartition(parts, "part")
-            .sortWithinPartitions("part", "ahead", "key", "text"))
+    return (rows.select("to.part", "to.ahead", "key", "turn", "doc_id", "text").repartitionById(n, "part")
+            .sortWithinPartitions("part", "ahead", "key", "turn", "text"))
 
 
 def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW, parts: int | None = None) -> DataFrame:
     """Each document (doc_id, text) against its edited text and against the next document, ascending doc_id.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many of the next document; the last
-    document is followed by the first, a single one by itself. Null texts count as empty; further columns don't matter.
+    document is followed by the first, a single one by itself. Null texts count as empty, a null doc_id comes first, rows that
+    repeat an id follow each other by a hash of their texts; further columns don't matter.
     """
     def per_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (part, doc_id, text, fingerprint) of the row that waits for its successor

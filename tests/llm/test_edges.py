@@ -64,7 +64,7 @@ def test_winnowing(spark, docs, nothing):
     assert len(rows) == len(DOCS) and rows[0].hashes == [] and rows[2].hashes == rows[3].hashes != []
     near = winnowing.compare_with_next(docs, parts=3).collect()
     assert len(near) == len(DOCS) and winnowing.compare_with_next(nothing).count() == 0
-    order = sorted(((d[0] if d[0] is not None else -2**63, d[1] or "", d[0]) for d in DOCS), key=lambda x: x[:2])
+    order = sorted(((d[0] if d[0] is not None else -2**63, d[1] or "", d[0]) for d in DOCS), key=lambda x: x[:2])  # only equal texts share an id
     want = sorted((d[2] or -1, o[1][:len(o[1]) - len(o[1]) // 2] + n[1][:len(o[1]) // 2]) for o, n, d in zip(order, order[1:] + order[:1], order))
     assert sorted((r.doc_id or -1, r.edited) for r in near) == want
     one = winnowing.compare_with_next(spark.createDataFrame([(9, "abcd")], "doc_id bigint, text string")).collect()
@@ -75,7 +75,7 @@ def test_winnowing_against_plain_windows():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 19, 20, 60, 81, 300):
         text = "".join(rng.choice(list("abé😀"), n))
-        k, w = min(winnowing.K, n), winnowing.WINDOW
+        k, w = winnowing.sizes(n)
         hashes, places = winnowing.winnow(text)
         if not n:
             assert len(hashes) == 0
