@@ -1,8 +1,8 @@
 """Personal data by weak supervision.
 
 Patterns propose spans; regex, checksum, gazetteer and context labelers vote on each. Expectation-maximisation over the
-counts of vote patterns estimates how reliable each labeler is and how likely each pattern is personal data; those
-probabilities train a final span classifier that also sees the shape of a span. Spans of the four base rules always stay,
+counts of vote patterns estimates how reliable each labeler is for each kind and how likely each pattern is personal data;
+those probabilities train a final span classifier that also sees the shape of a span. Spans of the four base rules always stay,
 others are added when the classifier says so. What travels to the driver are counts of patterns: their number is bounded
 by kinds, votes and shapes, not by documents.
 """
@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,21 +32,38 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Weaker forms, gazetteers and cues.
-SPELLED = re.compile(r"(?<![\w.+-])[A-Za-z0-9._+-]{2,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{2,63}(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z]{2,24})+")
+SPELLED = re.compile(r"(?<![\w.+-])[A-Za-z0-9._+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z]{2,24})+")
 LOCAL_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])")
 NUMBER = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)")
-NAMED = re.compile(r"[\x20\t]*+([A-Z][a-z]{1,20}(?:[\x20][A-Z][a-z]{1,20}){0,2})(?!\w)")
-NAME_CUES = ["my name is", "My name is", "Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Prof. ", "Sincerely, ", "Best regards, "]
+# A capitalised word of any script, also O'Brien and Jean-Paul, and up to four of them with particles between.
+CAPITAL = r"\p{Lu}(?:['’]\p{Lu})?[\p{Ll}\p{M}]{1,20}(?:-\p{Lu}[\p{Ll}\p{M}]{1,20})?"
+PARTICLES = r"(?:(?:von|van|der|den|de|du|di|da|del|dos|la|le|zu)\x20){0,2}"
+NAMED = regex.compile(rf"[\x20\t]*+({CAPITAL}(?:\x20{PARTICLES}{CAPITAL}){{0,3}})(?![\w])")
+CAPITALS = regex.compile(rf"(?<![\w'’-]){CAPITAL}(?:\x20{PARTICLES}{CAPITAL}){{1,3}}(?![\w])")
+NAME_CUES = ["my name is", "My name is", "Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Prof. ", "Sincerely, ", "Best regards, ",
+             "mein Name ist", "Mein Name ist", "Ich heiße", "ich heiße", "Herr ", "Herrn ", "Frau ", "Mit freundlichen Grüßen, ",
+             "je m'appelle", "Je m'appelle", "mon nom est", "Mon nom est", "Monsieur ", "Madame ", "Mme ", "Cordialement, ",
+             "me llamo", "Me llamo", "mi nombre es", "Mi nombre es", "Señor ", "Señora ", "Sr. ", "Sra. ", "Atentamente, "]
 GIVEN = frozenset("""James John Robert Michael William David Richard Joseph Thomas Charles Mary Patricia Jennifer Linda Elizabeth Barbara
- Susan Jessica Sarah Karen Anna Maria Peter Paul Hans Klaus Jean Pierre Marie Claire Luis Carlos Jose Juan Carmen Sofia Laura Julia""".split())
+ Susan Jessica Sarah Karen Christopher Daniel Matthew Anthony Mark Donald Steven Andrew Paul Joshua Kenneth Kevin Brian George Edward Emily
+ Nancy Lisa Betty Margaret Sandra Ashley Emma Olivia Anna Maria Peter Hans Klaus Jürgen Wolfgang Günter Werner Helmut Heinz Karl Franz Stefan
+ Andreas Ursula Monika Petra Sabine Renate Helga Ingrid Brigitte Gisela Greta Jean Pierre Michel André Philippe Jacques François Louis Henri
+ Marie Claire Isabelle Sylvie Catherine Nathalie Monique Françoise Chantal Camille Luis Carlos Jose José Juan Antonio Manuel Francisco
+ Javier Miguel Pedro Diego Carmen Sofia Laura Julia Isabel Pilar Dolores Lucía Elena Rosa""".split())
+# What a title or a greeting may be followed by that is nobody's name.
+ROLES = frozenset("""President Prime Minister Chairman Chairwoman Chairperson Chair Speaker Secretary Director Manager Team Support Customer Service
+ Sales Office Staff Committee Council Board Department Editor Ambassador Mayor Senator Governor Judge Chancellor Vice The Your Our All
+ Präsident Präsidentin Minister Ministerin Bundeskanzler Kanzler Direktor Doktor Professor Bürgermeister Ihr Ihre Ihnen
+ Président Présidente Ministre Directeur Directrice Maire Le La Les Votre Presidente Presidenta Ministro Ministra Alcalde El Su Usted""".split())
 ENDINGS = frozenset("com org net edu gov io info biz de fr es uk us ca au eu ch at it nl example".split())
 CUES = {
     "email": ("mail", "contact", "write", "reach"), "ip": ("ip", "host", "server", "address", "client", "login"),
     "card": ("card", "visa", "master", "credit", "payment"), "phone": ("phone", "tel", "call", "mobile", "fax", "contact", "cell"),
-    "name": tuple(c.lower().strip() for c in NAME_CUES), "number": ("ssn", "social security", "tax id"),
+    "number": ("ssn", "social security", "tax id"),
     "account": ("iban", "account", "bank"),
 }
+ENDING_CUES = tuple(c.strip() for c in NAME_CUES)
 OTHER_USES = ("version", "release", "isbn", "issn", "doi", "order no", "invoice", "serial", "section", "page ", "build")
 
 
@@ -92,6 +110,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def names(text: str) -> list[tuple[int, int]]:
+    """What stands behind a cue and is capitalised, and what begins with a listed given name and goes on capitalised; what begins with
+    a role is neither."""
+    found = []
+    for cue in NAME_CUES:
+        at = text.find(cue)
+        while at >= 0:
+            if (at == 0 or not text[at - 1].isalnum()) and (m := NAMED.match(text, at + len(cue))) and m[1].split()[0] not in ROLES:
+                found.append(m.span(1))
+            at = text.find(cue, at + len(cue))
+    for m in CAPITALS.finditer(text):
+        at = m.start()
+        for word in m[0].split(" "):
+            if word in GIVEN or word.split("-")[0] in GIVEN:
+                if at + len(word) < m.end():
+                    found.append((at, m.end()))
+                break
+            at += len(word) + 1
+    return found
+
+
 def proposed(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) of all candidates; further ones don't overlap base spans or each other."""
     base = base_spans(text)
@@ -101,12 +140,7 @@ def proposed(text: str) -> list[tuple[str, int, int, bool]]:
         more += [("account", *m.span()) for m in ACCOUNT.finditer(text)]
         more += [("phone", *m.span()) for m in LOCAL_PHONE.finditer(text)]
         more += [("card", *m.span()) for m in CARD.finditer(text) if 14 <= m.end() - m.start() <= 40 and 14 <= len(only_digits(m[0])) <= 19]
-    for cue in NAME_CUES:
-        at = text.find(cue)
-        while at >= 0:
-            if (at == 0 or not text[at - 1].isalnum()) and (m := NAMED.match(text, at + len(cue))):
-                more.append(("name", *m.span(1)))
-            at = text.find(cue, at + len(cue))
+    more += [("name", *span) for span in names(text)]
     out, taken = [(*s, True) for s in base], sorted((a, b) for _, a, b in base)
     free: list[tuple[str, int, int]] = []
     for kind, a, b in sorted(more, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
@@ -127,7 +161,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> list[int]:
     """One vote for each labeler: 1 personal, -1 not, 0 no opinion."""
     said, before = text[start:end], text[max(0, start - CONTEXT):start].lower()
     digits = only_digits(said) if kind != "name" else ""
-    form = 1 if base or kind in ("number", "account") else 0
+    form = 1 if base or kind in ("number", "account") or (kind == "name" and " " in said) else 0
     if kind == "card":
         checksum = 1 if luhn(digits) else -1
     elif kind == "account":
@@ -149,7 +183,10 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> list[int]:
         gazetteer = -1 if said.split(".")[0] in ("0", "127", "255") else 0
     else:
         gazetteer = 0
-    cue = 1 if any(c in before for c in CUES[kind]) else 0
+    if kind == "name":
+        cue = 1 if text[max(0, start - CONTEXT):start].rstrip(" \t").endswith(ENDING_CUES) else 0
+    else:
+        cue = 1 if any(c in before for c in CUES[kind]) else 0
     joined = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
     other = -1 if joined or any(c in before for c in OTHER_USES) else 0
     return [form, checksum, gazetteer, cue, other]
@@ -172,22 +209,20 @@ def parse(key: str) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def reliabilities(kinds: np.ndarray, voted: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expectation-maximisation. Returns P(vote | class) as [class, labeler, vote + 1], the share of personal data by kind
-    and the probability of each pattern. Pseudo-counts state that labelers are better than chance, so that a corpus
-    without counter-examples doesn't teach that every vote is worthless."""
-    prior = np.array([[[1.0, 4.0, 5.0]] * voted.shape[1], [[5.0, 4.0, 1.0]] * voted.shape[1]])
-    table, share = prior / prior.sum(axis=2, keepdims=True), np.full(len(KINDS), 0.5)
+    """Expectation-maximisation. Returns P(vote | class) as [class, kind, labeler, vote + 1], the share of personal data by kind and
+    the probability of each pattern. A labeler is as reliable for each kind as it proves there. Pseudo-counts state that
+    labelers are better than chance, so that a corpus without counter-examples doesn't teach that every vote is worthless."""
+    prior = np.array([[1.0, 4.0, 5.0], [5.0, 4.0, 1.0]])[:, None, None, :] * np.ones((1, len(KINDS), voted.shape[1], 1))
+    table, share = prior / prior.sum(axis=3, keepdims=True), np.full(len(KINDS), 0.5)
     probability = np.full(len(counts), 0.5)
-    at = np.arange(voted.shape[1])
+    at = np.arange(voted.shape[1])[None, :]
     for _ in range(rounds):
-        yes = np.log(share[kinds]) + np.log(table[0][at, voted + 1]).sum(axis=1)
-        no = np.log(1 - share[kinds]) + np.log(table[1][at, voted + 1]).sum(axis=1)
+        yes, no = (np.log(s[kinds]) + np.log(t[kinds[:, None], at, voted + 1]).sum(axis=1) for s, t in ((share, table[0]), (1 - share, table[1])))
         probability = 1 / (1 + np.exp(np.clip(no - yes, -50, 50)))
         for c, weight in ((0, probability * counts), (1, (1 - probability) * counts)):
             seen = prior[c].copy()
-            for v in range(3):
-                seen[:, v] += ((voted + 1 == v) * weight[:, None]).sum(axis=0)
-            table[c] = seen / seen.sum(axis=1, keepdims=True)
+            np.add.at(seen, (kinds[:, None], at, voted + 1), weight[:, None])
+            table[c] = seen / seen.sum(axis=2, keepdims=True)
         share = (np.bincount(kinds, probability * counts, len(KINDS)) + 2) / (np.bincount(kinds, counts, len(KINDS)) + 4)
     return table, share, probability
 
