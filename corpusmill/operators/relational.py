@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import patterns as P
 from corpusmill.functions.text import extract_numbers
 from corpusmill.operators.dedupe import occurrence_no
+from corpusmill.session import materialize
 
 
 # ---- joins ----
@@ -80,18 +85,29 @@ def size_stats_by(df: DataFrame, key: str, size: Column) -> DataFrame:
         F.floor(F.avg(size)).cast("bigint").alias("avg_size"), F.max(size).cast("bigint").alias("max_size"))
 
 
-def ranked_elements(df: DataFrame, value: Column, **shares: tuple[int, int]) -> DataFrame:
-    """Elements ``sorted[n * a // b]`` of a column, exact.
+def elements_at(df: DataFrame, value: Column, ranks: Callable[[int], dict[str, int]]) -> DataFrame:
+    """One row with the elements of a column at given places of its order, exact; ``ranks`` names the places, from the number of
+    values (nulls don't count). Null where there is no such place.
 
-    Works on the histogram of values, so the one ordered pass sees distinct values only. Give it whole numbers or
-    values rounded to a known step: their number of distinct values is bounded whatever the number of rows.
+    The histogram of values is dealt into ranges and each range is counted; only the ranges that hold a place are put in
+    order, each for itself, so no task orders all values however many different ones there are.
     """
     hist = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("c"))
-    running = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    everything = W.partitionBy()
-    cum = hist.withColumn("hi", F.sum("c").over(running)).withColumn("n", F.sum("c").over(everything))
-    return cum.agg(*[F.min(F.when(F.col("hi") > F.floor(F.col("n") * a / b), F.col("v"))).alias(name)
-                     for name, (a, b) in shares.items()])
+    cells = materialize(hist.repartitionByRange("v").withColumn("cell", F.spark_partition_id()), "value-cells")
+    sizes = cells.groupBy("cell").agg(F.sum("c").alias("n")).orderBy("cell").collect()  # one row a range
+    ends = list(accumulate(r.n for r in sizes))
+    places = {}
+    for name, rank in ranks(ends[-1] if ends else 0).items():
+        at = bisect_right(ends, rank)
+        places[name] = (sizes[at].cell, rank - (ends[at - 1] if at else 0)) if 0 <= rank and at < len(ends) else (-1, 0)
+    running = W.partitionBy("cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    cum = cells.where(F.col("cell").isin(sorted({cell for cell, _ in places.values()}))).withColumn("hi", F.sum("c").over(running))
+    return cum.agg(*[F.min(F.when((F.col("cell") == cell) & (F.col("hi") > at), F.col("v"))).alias(name) for name, (cell, at) in places.items()])
+
+
+def ranked_elements(df: DataFrame, value: Column, **shares: tuple[int, int]) -> DataFrame:
+    """Elements ``sorted[n * a // b]`` of a column, exact."""
+    return elements_at(df, value, lambda n: {name: n * a // b for name, (a, b) in shares.items()})
 
 
 def distribution_stats(df: DataFrame, tokens: Column, group: str, price_per_million: float) -> DataFrame:
@@ -101,10 +117,16 @@ def distribution_stats(df: DataFrame, tokens: Column, group: str, price_per_mill
     basic = sized.agg(
         F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("v").alias("total"),
         F.round(F.sum("v") / 1e6 * price_per_million, 6).alias("cost"), F.round(F.avg("v"), 6).alias("mean"),
-        F.round(F.stddev("v"), 6).alias("std"),
-        *[F.round(F.percentile("v", q / 100), 6).alias(f"p{q}") for q in (50, 75, 90, 95)])
-    median = ranked_elements(sized, F.col("v"), median=(1, 2))
-    return basic.select("*", median.scalar().alias("median"), split.scalar().alias("n_split"))
+        F.round(F.stddev("v"), 6).alias("std"))
+    quarters = (50, 75, 90, 95)
+    # A percentile lies between two neighbours of the order.
+    found = elements_at(sized, F.col("v"), lambda n: {"median": n // 2} | {
+        f"{side}{q}": ((n - 1) * q + up) // 100 for q in quarters for side, up in (("lo", 0), ("hi", 99))})
+    values = found.select(F.struct(*found.columns)).scalar()
+    told = basic.select("*", values.alias("_e"), split.scalar().alias("n_split"))
+    share = lambda q: ((F.col("n") - 1) * q % 100) / 100
+    return told.select(*basic.columns, *[F.round(F.col(f"_e.lo{q}") * (1 - share(q)) + F.col(f"_e.hi{q}") * share(q), 6).alias(f"p{q}") for q in quarters],
+                       F.col("_e.median").alias("median"), "n_split")
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:

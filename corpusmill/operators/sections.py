@@ -114,14 +114,17 @@ def unpivot_table(c: Column, heading: str = "returns and rankings") -> Column:
         periods = F.slice(rows[0], F.lit(2), F.size(rows[0]))
         data = F.slice(rows, F.lit(3), F.size(rows))
 
-        def row(r: Column, i: Column) -> Column:
+        def row(r: Column) -> Column:
             values = F.slice(r, F.lit(2), F.least(F.size(periods), F.size(r) - 1))
             pairs = F.transform(values, lambda v, j: F.struct(
                 r[0].alias("metric"), periods[j].alias("period"), null_markers(v).alias("value")))
-            repeated = F.exists(F.slice(data, i + 2, F.size(data)), lambda x: x[0] == r[0])
-            return F.filter(pairs, lambda z: ~repeated & (z["period"] != ""))
+            return F.filter(pairs, lambda z: z["period"] != "")
 
-        return F.when(F.size(rows) >= 3, F.flatten(F.transform(data, row)))
+        # In order of metric and place, a metric's last row is the one before the next metric.
+        ordered = F.array_sort(F.transform(data, lambda r, i: F.struct(r[0].alias("metric"), i.alias("at"))))
+        last = let(ordered, lambda rows: F.filter(rows, lambda x, j: ~F.get(rows, j + 1)["metric"].eqNullSafe(x["metric"])))
+        kept = F.array_sort(F.transform(last, lambda x: x["at"]))
+        return F.when(F.size(rows) >= 3, F.flatten(F.transform(kept, lambda at: let(rows[at + 2], row))))
 
     return let(F.transform(table, cells), parsed)
 
