@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,13 +55,18 @@ def replace_children(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def content_fingerprint(df: DataFrame, columns: list[str], salt: str = "") -> DataFrame:
-    """Row count and two order-free sums of row digests: equal content, equal fingerprint, in one partial aggregate."""
+def digest_sums(columns: list[str], salt: str = "") -> list[Column]:
+    """n, high and low: row count and two order-free sums of row digests, as aggregates."""
     text = F.concat_ws("\x1f", F.lit(salt), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
     digest = F.sha1(text)
     high = F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(38,0)")
     low = F.conv(F.substring(digest, 13, 12), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n"), F.sum(high).cast("string").alias("high"), F.sum(low).cast("string").alias("low"))
+    return [F.count("*").alias("n"), F.sum(high).cast("string").alias("high"), F.sum(low).cast("string").alias("low")]
+
+
+def content_fingerprint(df: DataFrame, columns: list[str], salt: str = "") -> DataFrame:
+    """Row count and digest sums: equal content, equal fingerprint, in one partial aggregate."""
+    return df.agg(*digest_sums(columns, salt))
 
 
 def is_up_to_date(spark: SparkSession, info_path: str, fingerprint: DataFrame, model: str) -> bool:

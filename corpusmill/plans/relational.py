@@ -8,6 +8,7 @@ from corpusmill.functions import patterns as P
 from corpusmill.functions import scalars as S
 from corpusmill.functions import text as X
 from corpusmill.operators import dedupe, facts, lookup, publish, relational as R
+from corpusmill.operators.buckets import BUCKET, BucketBuild
 from corpusmill.operators.keyed import KeyedTable
 from corpusmill.plans import compose as C
 from corpusmill.plans import facts as PF
@@ -303,18 +304,29 @@ def unique_texts(t: Tables):
 
 # ---- sources and sinks ----
 
-@query("scan_json_array", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY user_id")
-def scan_json_array(t: Tables):
-    # one JSON array of at most 50,000 events per file
+def event_arrays(t: Tables, *cols: str) -> str:
+    """Folder of files with one JSON array of at most 50,000 events each."""
     path = scratch_path(t.spark, "json-array")
-    cols = ["event_id", "user_id", "value"]
     arrays = t.events.groupBy(F.floor(F.col("event_id") / 50_000).alias("part")).agg(
         F.to_json(F.collect_list(F.struct(*cols))).alias("value"))
     arrays.repartition("part").write.partitionBy("part").text(path)
-    read = files.scan_json_array(t.spark, path, "event_id bigint, user_id bigint, value double")
+    return path
+
+
+@query("scan_json_array", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY user_id")
+def scan_json_array(t: Tables):
+    read = files.scan_json_array(t.spark, event_arrays(t, "event_id", "user_id", "value"), "event_id bigint, user_id bigint, value double")
     return read.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
+@query("scan_large_arrays", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS value, CAST(sum(length(props)) AS BIGINT) AS chars FROM events GROUP BY event_type")
+def scan_large_arrays(t: Tables):
+    """Every file by splits, whatever its size; the events' own JSON texts stand in strings with commas, quotes and braces."""
+    path = event_arrays(t, "event_id", "event_type", "value", "props")
+    read = files.scan_json_array(t.spark, path, "event_id bigint, event_type string, value double, props string", whole=0)
+    return read.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"), F.sum(F.length("props")).alias("chars"))
+
+
 @query("scan_jsonl", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def scan_jsonl(t: Tables):
     path = scratch_path(t.spark, "jsonl")
@@ -425,6 +437,20 @@ def children_compacted(t: Tables):
     return table.read().groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+@query("rebuild_changed", """
+SELECT 16 AS first_run, 0 AS second_run, 1 AS one_changed, 16 AS other_model, count(*) AS n, CAST(sum(length(text)) + 1 AS BIGINT) AS chars FROM documents""")
+def rebuild_changed(t: Tables):
+    """Buckets rebuilt at first, without a change, after one text has grown by a character, and for another model; then all rows."""
+    index = BucketBuild(t.spark, scratch_path(t.spark, "index"), ["doc_id"], buckets=16)
+    sizes = lambda df: df.select("doc_id", F.length("text").alias("chars"), BUCKET)
+    least = t.documents.agg(F.min("doc_id")).scalar()
+    grown = t.documents.withColumn("text", F.when(F.col("doc_id") == least, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    runs = [index.refresh(df, ["doc_id", "text"], model, sizes) for df, model in (
+        (t.documents, "m1"), (t.documents, "m1"), (grown, "m1"), (grown, "m2"))]
+    counts = [F.lit(len(r)).alias(n) for r, n in zip(runs, ("first_run", "second_run", "one_changed", "other_model"))]
+    return index.read().agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).select(*counts, "n", "chars")
+
+
 @query("skip_if_unchanged", """
 WITH d AS (SELECT sha1(concat_ws(chr(31), 'm1', CAST(doc_id AS VARCHAR), text)) AS h FROM documents)
 SELECT count(*) AS n, CAST(sum(CAST(('0x' || left(h, 12)) AS HUGEINT)) AS VARCHAR) AS high, CAST(sum(CAST(('0x' || substr(h, 13, 12)) AS HUGEINT)) AS VARCHAR) AS low,

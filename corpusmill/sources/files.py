@@ -6,11 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.scalars import url_topic
-
-
-def scan_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Files that each hold one JSON array, as rows."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+from corpusmill.sources.json_arrays import scan_large_arrays
+
+
+def scan_json_array(spark: SparkSession, path: str, schema, whole: int = 128 * 1024 * 1024) -> DataFrame:
+    """Files that each hold one JSON array, as rows. Files of at most ``whole`` bytes are read by one task each, larger ones by as
+    many as they have splits."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    large = [r.path for r in listed.where(F.col("length") > whole).collect()]  # one name a large file
+    small = [r.path for r in listed.where(F.col("length") <= whole).collect()] if large else [path]
+    read = spark.read.schema(schema).option("multiLine", True)
+    rows = read.json(small) if small else None
+    if large:
+        split = scan_large_arrays(spark, large, schema)
+        rows = split if rows is None else rows.unionByName(split)
+    return rows
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema, recursive: bool = False) -> DataFrame:

@@ -186,3 +186,50 @@ def test_upserts_from_a_stream(spark, tmp_path):
         screen.upsert_stream(stream, table, str(tmp_path / "progress"), compact_every=2).awaitTermination()
         assert {tuple(r) for r in table.read().collect()} == latest_of({m: batches[m] for m in range(n + 1)})
     assert table.upto() == 5 and table.finished() == []
+
+
+# ---- buckets that are built anew
+
+def test_only_changed_buckets_are_built(spark, tmp_path):
+    from corpusmill.operators.buckets import BUCKET, BucketBuild
+    index, seen = BucketBuild(spark, str(tmp_path / "i"), ["id"], buckets=8), []
+
+    def build(rows):
+        seen.append(sorted(r.id for r in rows.collect()))
+        return rows.where("text <> 'nothing'").select("id", F.upper("text").alias("text"), BUCKET)
+
+    def held(rows):
+        return {(i, t.upper()) for i, t in rows if t != "nothing"} == {tuple(r) for r in index.read().collect()}
+
+    with pytest.raises(LookupError):
+        index.read()
+    rows = [(i, f"t{i}") for i in range(40)] + [(100, "nothing")]
+    df = lambda: spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    assert len(index.refresh(df(), ["id", "text"], "m", build)) == 8 and held(rows)
+    assert index.refresh(df(), ["id", "text"], "m", build) == [] and len(seen) == 1
+    rows[3] = (3, "changed")
+    assert len(index.refresh(df(), ["id", "text"], "m", build)) == 1 and 3 in seen[-1] and len(seen[-1]) < 15 and held(rows)
+    rows.pop(7)
+    rows.append((500, "new"))
+    assert 1 <= len(index.refresh(df(), ["id", "text"], "m", build)) <= 2 and held(rows)
+    assert len(index.refresh(df(), ["id", "text"], "other", build)) == 8 and held(rows)
+    with pytest.raises(publish.Rejected):
+        index.read("m")
+    assert index.clean() > 0 and held(rows) and index.clean() == 0
+    rows = [r for r in rows if r[0] == 3]  # most buckets are empty now
+    assert index.refresh(df(), ["id", "text"], "other", build) != [] and held(rows)
+    rows = []
+    index.refresh(df(), ["id", "text"], "other", build)
+    assert index.read().count() == 0
+
+
+def test_a_build_that_fails_leaves_the_last_result(spark, tmp_path):
+    from corpusmill.operators.buckets import BUCKET, BucketBuild
+    index = BucketBuild(spark, str(tmp_path / "i"), ["id"], buckets=4)
+    df = spark.range(20).withColumn("v", F.lit(1))
+    index.refresh(df, ["id", "v"], "m", lambda rows: rows)
+    with pytest.raises(Exception, match="gone"):
+        index.refresh(df.withColumn("v", F.lit(2)), ["id", "v"], "m", lambda rows: rows.withColumn("v", F.raise_error(F.lit("gone")).cast("int")))
+    with pytest.raises(ValueError):
+        index.refresh(df.withColumn("v", F.lit(2)), ["id", "v"], "m", lambda rows: rows.drop(BUCKET))
+    assert index.read("m").agg(F.sum("v")).head()[0] == 20
