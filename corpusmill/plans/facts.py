@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import patterns as P
 from corpusmill.functions import templates as X
 from corpusmill.operators import facts as O
-from corpusmill.operators import publish
+from corpusmill.operators import payloads, publish
 from corpusmill.operators.snapshots import Checked, Snapshots
 from corpusmill.plans import compose as C
 from corpusmill.plans.registry import Tables, query
@@ -220,6 +220,27 @@ def project_facts(t: Tables):
         F.col("json_fund_returns.1y").alias("json_1y"), F.col("json_fund_returns.3y").alias("json_3y"))
 
 
+CHANGED = """'<html><script id="__NEXT_DATA__" type="application/json">' || CASE WHEN p_partkey % 9 = 8 THEN '{"props": {"data": ' ELSE '{"props":{"data":{"key":' || cast(p_partkey as string)
+ || CASE WHEN p_partkey % 9 = 1 THEN '' WHEN p_partkey % 9 = 2 THEN ',"name":' || cast(p_size as string) ELSE ',"name":"' || p_name || '"' END
+ || ',"size":{"n":' || CASE WHEN p_partkey % 9 = 3 THEN '"' || cast(p_size as string) || '"' WHEN p_partkey % 9 = 4 THEN 'null' ELSE cast(p_size as string) || '.5' END || '}'
+ || ',"rows":[{"brand":"' || p_brand || '"}' || CASE WHEN p_partkey % 9 = 5 THEN ',{"brand":"x","more":1},{"brand":"y","more":2}' ELSE '' END || ']'
+ || CASE WHEN p_partkey % 9 = 6 THEN ',"new":[]' ELSE '' END || '}}}' END || '</script></html>'"""
+
+
+@query("payload_problems", """
+SELECT p_partkey, '$.props.data.name' AS path, 'missing' AS problem FROM part WHERE p_partkey % 9 = 1
+UNION ALL SELECT p_partkey, '$.props.data.name', 'string expected, number found' FROM part WHERE p_partkey % 9 = 2
+UNION ALL SELECT p_partkey, '$.props.data.size.n', 'number expected, string found' FROM part WHERE p_partkey % 9 = 3
+UNION ALL SELECT p_partkey, '$.props.data.rows[*].more', 'unknown field' FROM part WHERE p_partkey % 9 = 5
+UNION ALL SELECT p_partkey, '$.props.data.new', 'unknown field' FROM part WHERE p_partkey % 9 = 6
+UNION ALL SELECT p_partkey, '$', 'no payload' FROM part WHERE p_partkey % 9 = 7 UNION ALL SELECT p_partkey, '$', 'no JSON' FROM part WHERE p_partkey % 9 = 8""")
+def payload_problems(t: Tables):
+    """Pages whose payload lacks a field, has one of another type, a new one, or is none."""
+    html = F.when(F.col("p_partkey") % 9 == 7, "<html></html>").otherwise(F.expr(CHANGED))
+    shape = "key bigint, name string, size struct<n:double>, rows array<struct<brand:string>>"
+    return payloads.payload_problems(t.part.withColumn("html", html), "p_partkey", F.col("html"), shape, "$.props.data")
+
+
 GAPS = ["CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 13 = 1 THEN '' ELSE o_orderstatus END AS status",
         "CASE WHEN o_orderkey % 17 <> 0 THEN o_totalprice END AS price",
         "o_orderpriority AS priority", "CASE WHEN o_orderkey % 19 = 0 THEN filter(array(1), x -> false) ELSE array(1) END AS items"]
