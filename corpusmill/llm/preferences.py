@@ -58,26 +58,33 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, segment_turns: int
                            (said if name == "r" else other).alias("r"))
 
     turns = side(chosen, "c").unionByName(side(rejected, "r")).groupBy("pair_id", "turn").agg(F.min("c").alias("c"), F.min("r").alias("r"))
-    # The first difference of each pair is a grouped minimum, combined before it travels; a join brings it back, and a pair
-    # of very many turns is split by the adaptive skew join.
-    first = turns.groupBy("pair_id").agg(F.min(F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("turn"))).alias("first"))
-    placed = turns.join(first, "pair_id").withColumn("shared", F.col("first").isNull() | (F.col("turn") < F.col("first")))
-    held = placed.select("pair_id", F.floor(F.col("turn") / segment_turns).alias("segment"), "turn", "shared", "c", "r")
+    turns = turns.withColumn("segment", F.floor(F.col("turn") / segment_turns))
+    # What a segment must know of its pair, from numbers alone: the first turn that differs, how many turns come before it, and
+    # where its own completions begin. A segment's numbers are at most as many as it has turns; a join brings the result
+    # back, and a pair of very many turns is split by the adaptive skew join.
+    long = {s: F.when(F.col(s).isNotNull(), F.length(header(F.col(f"{s}.role"))) + F.length(f"{s}.text") + len(END)).otherwise(0) for s in ("c", "r")}
+    numbers = turns.select("pair_id", "segment", F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("turn")).alias("differs"),
+                           F.struct("turn", long["c"].alias("c"), long["r"].alias("r")).alias("x")).groupBy("pair_id", "segment").agg(
+        F.min("differs").alias("first"), F.collect_list("x").alias("x"))
+    pair = W.partitionBy("pair_id")
+    before = pair.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    numbers = numbers.withColumn("first", F.min("first").over(pair))
+    alone = F.filter("x", lambda x: x["turn"] >= F.col("first"))
+    chars = {s: F.aggregate(alone, F.lit(0).cast("long"), lambda n, x: n + x[s]) for s in ("c", "r")}  # noqa: B023
+    begins = numbers.select("pair_id", "segment", "first", F.size(F.filter("x", lambda x: F.col("first").isNull() | (x["turn"] < F.col("first")))).alias("n"),
+                            *[F.when(F.col("first").isNull(), 0).otherwise(n).alias(f"{s}_chars") for s, n in chars.items()]).select(
+        "pair_id", "segment", "first", F.sum("n").over(pair).alias("n_common"),
+        *[F.coalesce(F.sum(f"{s}_chars").over(before), F.lit(0)).alias(f"{s}_at") for s in ("c", "r")])
+    held = turns.join(begins, ["pair_id", "segment"]).withColumn("shared", F.col("first").isNull() | (F.col("turn") < F.col("first")))
 
     def part(said: str, when: Column) -> Column:
         t = F.struct("turn", F.col(f"{said}.role").alias("role"), F.col(f"{said}.text").alias("text"))
         return F.array_sort(F.collect_list(F.when(when & F.col(said).isNotNull(), t)))
 
     parts = held.groupBy("pair_id", "segment").agg(
-        part("c", F.col("shared")).alias("p"), part("c", ~F.col("shared")).alias("c"), part("r", ~F.col("shared")).alias("r"))
-    # Where a segment's completions begin: short rows, so that no text is sorted by pair.
-    long = {s: F.sum(F.when(~F.col("shared"), F.length(header(F.col(f"{s}.role"))) + F.length(f"{s}.text") + len(END))) for s in ("c", "r")}
-    lengths = held.groupBy("pair_id", "segment").agg(F.sum(F.col("shared").cast("long")).alias("n"), *[x.alias(f"{s}_chars") for s, x in long.items()])
-    pair = W.partitionBy("pair_id")
-    before = pair.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
-    begins = lengths.select("pair_id", "segment", F.sum("n").over(pair).alias("n_common"), *[
-        F.coalesce(F.sum(f"{s}_chars").over(before), F.lit(0)).alias(f"{s}_at") for s in ("c", "r")])
-    return parts.join(begins, ["pair_id", "segment"]).select(
+        *[F.first(c).alias(c) for c in ("n_common", "c_at", "r_at")], part("c", F.col("shared")).alias("p"),
+        part("c", ~F.col("shared")).alias("c"), part("r", ~F.col("shared")).alias("r"))
+    return parts.select(
         "pair_id", "segment", "n_common", rendered(F.col("p")).alias("prompt"), rendered(F.col("c")).alias("chosen"),
         mask(F.col("c"), F.col("c_at")).alias("chosen_mask"), rendered(F.col("r")).alias("rejected"), mask(F.col("r"), F.col("r_at")).alias("rejected_mask"))
 
