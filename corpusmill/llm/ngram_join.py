@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import BATCH_ROWS, bounded
+from corpusmill.llm.common import BATCH_ROWS, WORD, bounded
 from corpusmill.llm.graph import components
 from corpusmill.session import materialize
 
@@ -496,12 +496,11 @@ def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_mark(docs).alias("mark"))
     rows = grouped(marked.select("row.doc_id", "row.text", "mark"), n).where("`group` is not null")
     # Rows that are equal in all columns count as one line.
-    lines = materialize(rows.groupBy("group", "mark").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "near-lines")
+    lines = materialize(rows.groupBy("group", "mark").agg(F.min("doc_id").alias("doc_id")), "near-lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    firsts = lines.groupBy("group").agg(F.min(place).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
-    # Only what goes, and what stays once of several equal rows, needs a mark on its rows.
-    told = materialize(lines.join(firsts, "group").select("mark", F.when(F.col("mark") != F.col("first.mark"), "go").when(F.col("n") > 1, "once")
-                                                          .alias("what")).where("what is not null"), "near-told")
-    found = marked.join(told, "mark", "left")
-    kept = found.where("what is null").select("row.*")
-    return kept.unionByName(found.where("what = 'once'").dropDuplicates(["mark"]).select("row.*"))
+    firsts = lines.groupBy("group").agg(F.min(place).alias("first"), F.count("*").alias("lines")).where("lines > 1")
+    gone = lines.join(firsts, "group").where("mark <> first.mark").select("mark")
+    # Equal rows become one before they are dealt by their mark; what goes is dealt alike, so each text travels once.
+    worded = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    single = marked.where(worded).dropDuplicates(["mark"]).join(gone, "mark", "left_anti")
+    return single.unionByName(marked.where(~worded)).select("row.*")
