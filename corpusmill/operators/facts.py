@@ -174,7 +174,10 @@ def every_cross(lists: DataFrame, facts: DataFrame, n: int, publisher: str = "th
     ``lists``: qid, fact_fields. The first n pairs of a list, by scheme and field, are always among them. ``scraped_at`` is
     the newest of all schemes, shown or not.
     """
-    names = F.array(*[F.lit(f) for f in X.FACT_SENTENCES])
+    known = F.array(*[F.lit(f) for f in X.FACT_SENTENCES])
+    # Only sentences that some list asks for are built; there are as many names as templates at most.
+    asked = lists.select(F.explode(F.filter("fact_fields", lambda f: F.array_contains(known, f))).alias("f")).distinct().collect()
+    names = F.array(*[F.lit(r.f) for r in sorted(asked)]).cast("array<string>")
     said = facts.withColumn("field", F.explode(names)).select(
         "scheme_id", "field", "scheme_name", fact_sentence(F.col("field"), publisher).alias("sentence"), "source_url")
     first = topn_per_group(said.where("sentence IS NOT NULL"), ["field"], [F.col("scheme_id")], n).drop("rank")
