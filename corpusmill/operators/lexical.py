@@ -15,6 +15,8 @@ SCORE_DIGITS = 9
 SLACK = 1e-8
 # A query's first candidates come from its terms' best SEEDS * k documents.
 SEEDS = 2
+# Postings that all queries together meet, from which on bars are looked for; fewer are added up sooner than bars are found.
+PRUNE_FROM = 20_000_000
 # Documents of a term that one list holds, and most terms of more than one list.
 SPREAD, SPREAD_TERMS = 100_000, 100_000
 
@@ -156,6 +158,11 @@ def met(rows: DataFrame, found: Postings, pruned: bool) -> DataFrame:
         "given", F.col("weight") * F.col("part"))
 
 
+def added_up(rows: DataFrame, found: Postings) -> DataFrame:
+    """(qid, id, score) of every document that some term of ``rows`` is in."""
+    return met(rows, found, False).groupBy("id", "qid").agg(F.round(F.sum("given"), SCORE_DIGITS).alias("score")).where("score > 0")
+
+
 def contenders(rows: DataFrame, found: Postings) -> DataFrame:
     """(qid, id) of every document that may still reach the bar of a pruned query.
 
@@ -177,17 +184,20 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, counts: DataFrame | N
 
     Scores are bounded before they are added up: the best documents of rare terms set a bar for each query, and a frequent
     term's documents are met only where its part and what is left can pass that bar. Who passes is scored exactly. Queries
-    whose bar rules out too little add up the postings of all their terms. A term of very many documents is spread over tasks.
+    whose bar rules out too little, and all queries where they meet PRUNE_FROM postings at most, add up the postings of all
+    their terms: the same hits either way. A term of very many documents is spread over tasks.
     """
     counts = corpus_counts(docs) if counts is None else counts
     asked = queries.select("qid", (F.col("scope") if "scope" in queries.columns else F.array()).cast("array<string>").alias("scope"),
                            F.explode("terms").alias("term")).groupBy("qid", "scope", "term").agg(F.count("*").alias("mult"))
     weights = asked.join(corpus_stats(counts), "term").select("term", "qid", "scope", (F.col("mult") * F.col("idf")).alias("weight"))
     found = Postings(postings(docs, asked.select("term").distinct(), mean_length(counts).scalar(), k1, b))
+    asked = weights.join(found.bounds, "term")
+    if (asked.agg(F.sum("n")).head()[0] or 0) <= PRUNE_FROM:
+        return retriever_rank(added_up(asked, found), "score", "id", k).select("qid", "id", "score", "rank")
     terms = term_bounds(weights, found, k)
     rows = materialize(with_bars(terms, first_bars(terms, found, k)), "bm25-bars")
-    whole = met(rows.where("NOT pruned"), found, False).groupBy("id", "qid").agg(F.round(F.sum("given"), SCORE_DIGITS).alias("score")).where("score > 0")
-    scored = whole.unionByName(exact_scores(contenders(rows, found), rows, found))
+    scored = added_up(rows.where("NOT pruned"), found).unionByName(exact_scores(contenders(rows, found), rows, found))
     return retriever_rank(scored, "score", "id", k).select("qid", "id", "score", "rank")
 
 

@@ -57,9 +57,10 @@ def corpus(rng, n, words=40):
     return [(i, ["all"] * rng.randrange(1, 4) + rng.choices(vocabulary, weights, k=rng.randrange(0, 30)), rng.choice([None, "a", "b", "c"])) for i in range(n)]
 
 
-@pytest.mark.parametrize("spread", [7, 100_000])
-def test_same_hits_as_scoring_everything(spark, monkeypatch, spread):
+@pytest.mark.parametrize("spread,prune", [(7, 0), (100_000, 0), (7, 10**9)])
+def test_same_hits_as_scoring_everything(spark, monkeypatch, spread, prune):
     monkeypatch.setattr(lexical, "SPREAD", spread)
+    monkeypatch.setattr(lexical, "PRUNE_FROM", prune)
     rng = random.Random(spread)
     docs = corpus(rng, 400)
     queries = [(q, rng.choices([f"w{i}" for i in range(45)], k=rng.randrange(0, 9)) + ["all"] * (q % 2), [[], ["a"], ["b", "c"], ["none"]][q % 4]) for q in range(60)]
@@ -68,7 +69,9 @@ def test_same_hits_as_scoring_everything(spark, monkeypatch, spread):
         same(spark, docs, queries, k)
 
 
-def test_small_and_lopsided_corpora(spark):
+@pytest.mark.parametrize("prune", [0, 10**9])
+def test_small_and_lopsided_corpora(spark, monkeypatch, prune):
+    monkeypatch.setattr(lexical, "PRUNE_FROM", prune)
     same(spark, [(1, ["x"], None)], [(0, ["x", "x", "y"], [])], 3)
     same(spark, [(i, ["x"] * (i % 3 + 1) + ["y"], None) for i in range(12)], [(0, ["x", "y"], []), (1, ["y"], ["k"])], 4)  # mean weight below zero
     q, d = frames(spark, [(1, ["x"], None)], [(0, ["x"], [])])
@@ -86,8 +89,9 @@ def prepared(spark, docs, queries, k):
     return found, lexical.with_bars(terms, lexical.first_bars(terms, found, k))
 
 
-def test_a_term_of_every_document_is_hardly_met(spark):
+def test_a_term_of_every_document_is_hardly_met(spark, monkeypatch):
     """Rare words and one that stands everywhere: a tenth of the pairs, at most, and the same hits."""
+    monkeypatch.setattr(lexical, "PRUNE_FROM", 0)
     rng = random.Random(1)
     docs = [(i, ["all", *rng.choices([f"r{j}" for j in range(300)], k=4), *rng.choices([f"n{j}" for j in range(5000)], k=rng.randrange(3, 9))], None)
             for i in range(4000)]
