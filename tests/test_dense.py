@@ -104,3 +104,34 @@ def test_a_ball_of_most_vectors_is_cut_into_cells(spark, monkeypatch):
     queries = [(i, [1.0, 0.1, 0.0, 0.0], []) for i in range(110)]
     q, v = frames(spark, queries, vectors)
     assert ranks(by_balls(q, v, 3)) == {(i, r): (1, 2, 4)[r - 1] for i in range(110) for r in (1, 2, 3)}
+
+
+@pytest.mark.parametrize("scoped", [False, True])
+def test_shapeless_vectors_are_not_sent_to_every_ball(spark, monkeypatch, scoped):
+    """Random vectors, whose balls rule out next to nothing: queries go to blocks of vectors, not to each ball."""
+    sent, plain_write = {}, dense.materialize
+
+    def write(df, name):
+        out = plain_write(df, name)
+        sent[name] = sent.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(dense, "materialize", write)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 24)).astype(np.float32)
+    x[500:] = x[0]
+    vectors = [(i, x[i].tolist(), f"k{i % 5}") for i in range(600)]
+    queries = [(i, x[i].tolist(), [f"k{i % 6}"] if scoped else []) for i in range(0, 600, 4)]
+    q, v = frames(spark, queries, vectors)
+    assert ranks(by_balls(q, v, 5)) == plain(queries, vectors, 5)
+    assert sent["dense-pairs"] <= len(queries)
+
+
+def test_long_and_tiny_vectors_keep_their_order():
+    """Lengths that single precision cannot multiply, and scores that differ by less than it can tell."""
+    for scale in (1e18, 1.0, 1e-3):
+        v = np.array([[1.0, 0.0], [1.0 - 3e-8, 0.0], [1.0, 0.0], [1.0 + 3e-8, 0.0]] * 50) * scale
+        best = dense.Best(np.arange(2), np.array([[1.0, 0.0], [scale, 0.0]]), [[], []], 3)
+        best.add(np.arange(200)[::-1], v[::-1], [None] * 200)
+        want = np.round(np.array([[1.0, 0.0], [scale, 0.0]]) @ v.T, dense.SCORE_DIGITS)
+        assert best.ids.tolist() == [np.lexsort((np.arange(200), -row))[:3].tolist() for row in want]
