@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpusmill.operators import answers as A
+from corpusmill.operators import entities
 from corpusmill.operators import facts as O
 from corpusmill.plans import facts as PF
+from corpusmill.plans import retrieval as PR
 from corpusmill.plans.registry import Tables
 
 
@@ -40,3 +42,15 @@ def test_many_questions_of_one_list_meet_its_answer(tables, monkeypatch, few):
     told = A.answer_every_scheme(asked, PF.facts_from_part(tables), A.House())
     assert told.count() == asked.count() and told.select("text").distinct().count() == 1
     assert ("BroadcastHashJoin" in plan(told)) or not few
+
+
+def test_a_short_list_of_aliases_is_sent_to_the_words(spark):
+    aliases = spark.createDataFrame([("a", "red fox"), ("b", "fox")], "entity_id string, alias string").repartition(3)
+    messages = spark.createDataFrame([(i, f"The red fox {i}") for i in range(9)], "id bigint, m string").repartition(3)
+    hits = entities.alias_hits(messages, aliases, "id", "m")
+    assert "BroadcastHashJoin [head" in plan(hits)
+    assert {(r.id, r.entity_id, r.pos) for r in hits.collect()} == {(i, e, p) for i in range(9) for e, p in (("a", 1), ("b", 2))}
+
+
+def test_no_text_goes_through_the_join_with_vectors(tables):
+    assert "text" not in plan(PR.chunks(tables)) and {"id", "key", "vec"} <= set(PR.chunks(tables).columns)
