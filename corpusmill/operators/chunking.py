@@ -1,7 +1,7 @@
 """Documents to retrieval-sized chunks, as folds inside the row.
 
 Sizes are counts of word tokens; joining two texts with a line break adds their counts, so each fold carries a running
-count and never counts a text twice. No function here shuffles.
+count, a body's count is the sum of its blocks' and pieces keep their counts. No function here shuffles.
 """
 
 from __future__ import annotations
@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import patterns as P
 from corpusmill.functions.scalars import heading_path, label_map
-from corpusmill.functions.text import let, lines, rep, strip, token_count
+from corpusmill.functions.text import SPACE, let, lines, rep, strip, token_count
 
 PIECE = "array<struct<text:string,atomic:boolean,n:int>>"
 STRINGS = "array<string>"
+COUNTED = "array<struct<text:string,n:int>>"
+# White space that may stand before a bullet.
+INDENT = "".join(x for x in SPACE if x not in "\x1c\x1d\x1e\x1f")
 
 
 def block_types(c: Column) -> Column:
     """array<struct<kind, lines>>: neighbouring lines of one kind (table, list, text) together."""
     def kind(line: Column) -> Column:
-        return F.when(F.contains(line, F.lit("|")), "table").when(line.rlike(r"(?U)^\s*[-*] "), "list").otherwise("text")
+        bullet = let(F.ltrim(line, F.lit(INDENT)), lambda x: x.startswith("- ") | x.startswith("* "))
+        return F.when(F.contains(line, F.lit("|")), "table").when(bullet, "list").otherwise("text")
 
     def blocks(ls: Column, kinds: Column) -> Column:
         edge = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: (i == 1) | (F.element_at(kinds, i) != F.element_at(kinds, F.greatest(i - 1, F.lit(1)))))
@@ -30,7 +34,7 @@ def block_types(c: Column) -> Column:
 
     # Neighbours are compared and each block is one slice, so the work grows with the number of lines.
     found = let(lines(c), lambda ls: let(F.transform(ls, kind), lambda kinds: blocks(ls, kinds)))
-    return F.when(F.size(lines(c)) > 0, found).otherwise(F.array().cast("array<struct<kind:string,lines:array<string>>>"))
+    return F.coalesce(found, F.array().cast("array<struct<kind:string,lines:array<string>>>"))
 
 
 def greedy_pack(items: Column, header: Column | None = None, target: int = P.CHUNK_TARGET_TOKENS,
@@ -83,9 +87,25 @@ def table_split(ls: Column, target: int = P.CHUNK_TARGET_TOKENS, glossary_rows:
 
 PROSE_BREAKS = ("\n\n", "\n", ". ", " ")
 PLAIN_BREAKS = ("\n\n", "\n", " ")
+_W, _NW = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+ONE_TOKEN = rf"\A{_NW}*{_W}+{_NW}*|{_W}+{_NW}*"
 ATOMS = "array<struct<t:string,n:int,level:int,first:boolean>>"
 
 
+def parts_at(text: Column, level: int, breaks: tuple[str, ...], last: str) -> Column:
+    """The text cut at one break, which stays with the part behind it; no part is empty."""
+    if level == len(breaks):
+        return F.regexp_extract_all(text, F.lit(last), F.lit(0))
+    found = F.split(text, f"\\Q{breaks[level]}\\E", -1)
+    return F.filter(F.transform(found, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(breaks[level]), x))), lambda x: x != "")
+
+
+def first_atoms(c: Column, breaks: tuple[str, ...], last: str, measure=token_count) -> Column:
+    """The whole text cut at the coarsest break: even a small one is cut and joined by the same rule."""
+    return F.transform(parts_at(c, 0, breaks, last), lambda x, i: F.struct(
+        x.alias("t"), measure(x).alias("n"), F.lit(0).alias("level"), (i == 0).alias("first"))).cast(ATOMS)
+
+
 def recursive_split(c: Column, size: Column, overlap: Column, breaks: tuple[str, ...], last: str, measure=token_count) -> Column:
     """Pieces of at most ``size``, cut at the coarsest break that makes them small enough, neighbours joined again with
     up to ``overlap`` of the piece before.
@@ -94,28 +114,26 @@ def recursive_split(c: Column, size: Column, overlap: Column, breaks: tuple[str,
     part behind it. Only parts that come from one cut and lie side by side are joined. ``measure`` must add up over parts.
     Every level reads the parts once and a piece is one slice of them, so the work grows with the text.
     """
-    def parts(text: Column, level: int) -> Column:
-        if level == len(breaks):
-            return F.regexp_extract_all(text, F.lit(last), F.lit(0))
-        found = F.split(text, f"\\Q{breaks[level]}\\E", -1)
-        return F.filter(F.transform(found, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(breaks[level]), x))), lambda x: x != "")
+    found = joined_atoms(first_atoms(c, breaks, last, measure), size, overlap, breaks, last, measure)
+    return F.transform(found, lambda x: x["text"])
 
+
+def joined_atoms(atoms: Column, size: Column, overlap: Column, breaks: tuple[str, ...], last: str, measure=token_count) -> Column:
+    """Pieces, array<struct<text, n>>, from the parts of the coarsest cut; ``n`` is what the parts of a piece add up to."""
     def cut(level: int, a: Column) -> Column:
-        finer = F.transform(parts(a["t"], level), lambda x, i: F.struct(
-            x.alias("t"), measure(x).alias("n"), F.lit(level).alias("level"), (i == 0).alias("first")))
+        # A part without the break stays as it is and has been measured.
+        finer = let(parts_at(a["t"], level, breaks, last), lambda ps: F.transform(ps, lambda x, i: F.struct(
+            x.alias("t"), F.when(F.size(ps) == 1, a["n"]).otherwise(measure(x)).alias("n"), F.lit(level).alias("level"), (i == 0).alias("first"))))
         return F.when(a["n"] >= size, finer).otherwise(F.array(a))
 
     def refined(atoms: Column, level: int) -> Column:
         return F.flatten(F.transform(atoms, lambda a: cut(level, a)))
 
-    # The whole text counts as too large at first, so even a small one is cut and joined by the same rule.
-    whole = F.struct(c.alias("t"), size.alias("n"), F.lit(-1).alias("level"), F.lit(True).alias("first"))
-    atoms = F.array(whole).cast(ATOMS)
-    for level in range(len(breaks) + 1):
+    for level in range(1, len(breaks) + 1):
         atoms = refined(atoms, level)
 
     def joined(ats: Column) -> Column:
-        span = "array<struct<s:int,e:int>>"
+        span = "array<struct<s:int,e:int,n:int>>"
         start = F.struct(F.array().cast(span).alias("spans"), F.lit(1).alias("s"), F.lit(0).alias("n"))
 
         def state(spans: Column, s: Column, n: Column) -> Column:
@@ -123,7 +141,7 @@ def recursive_split(c: Column, size: Column, overlap: Column, breaks: tuple[str,
 
         def closed(acc: Column, end: Column) -> Column:
             return F.when(end < acc["s"], acc["spans"]).otherwise(
-                F.concat(acc["spans"], F.array(F.struct(acc["s"].alias("s"), end.alias("e")))))
+                F.concat(acc["spans"], F.array(F.struct(acc["s"].alias("s"), end.alias("e"), acc["n"].alias("n")))))
 
         def grow(acc: Column, i: Column) -> Column:
             def step(x: Column) -> Column:
@@ -142,26 +160,31 @@ def recursive_split(c: Column, size: Column, overlap: Column, breaks: tuple[str,
             return let(F.element_at(ats, i), step)
 
         spans = F.aggregate(F.sequence(F.lit(1), F.size(ats)), start, grow, lambda acc: closed(acc, F.size(ats)))
-        text = F.transform(spans, lambda p: strip(F.array_join(F.transform(
-            F.slice(ats, p["s"], p["e"] - p["s"] + 1), lambda x: x["t"]), "")))
-        return F.when(F.size(ats) > 0, F.filter(text, lambda x: x != "")).otherwise(F.array().cast(STRINGS))
+        found = F.transform(spans, lambda p: F.struct(strip(F.array_join(F.transform(
+            F.slice(ats, p["s"], p["e"] - p["s"] + 1), lambda x: x["t"]), "")).alias("text"), p["n"].alias("n")))
+        return F.when(F.size(ats) > 0, F.filter(found, lambda x: x["text"] != "")).otherwise(F.array().cast(COUNTED))
 
     return let(atoms, joined)
 
 
 def prose_split(c: Column, target: int = P.CHUNK_TARGET_TOKENS, overlap: int = P.CHUNK_OVERLAP_TOKENS) -> Column:
     """Paragraphs, then lines, sentences, words and single tokens, in pieces of at most ``target`` tokens that overlap."""
-    w, nw = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
-    return recursive_split(c, F.lit(target), F.lit(overlap), PROSE_BREAKS, rf"\A{nw}*{w}+{nw}*|{w}+{nw}*")
+    return recursive_split(c, F.lit(target), F.lit(overlap), PROSE_BREAKS, ONE_TOKEN)
 
 
 def merge_small(pieces: Column, target: int = P.CHUNK_TARGET_TOKENS) -> Column:
     """Left-to-right merge of neighbouring non-atomic pieces while they fit. ``pieces``: struct<text, atomic, n>."""
-    start = F.struct(F.array().cast(STRINGS).alias("done"), F.lit(None).cast("string").alias("cur"),
+    return F.transform(merge_counted(pieces, target), lambda x: x["text"])
+
+
+def merge_counted(pieces: Column, target: int = P.CHUNK_TARGET_TOKENS) -> Column:
+    """The same as array<struct<text, n>>."""
+    start = F.struct(F.array().cast(COUNTED).alias("done"), F.lit(None).cast("string").alias("cur"),
                      F.lit(False).alias("atomic"), F.lit(0).alias("n"))
 
     def closed(acc: Column) -> Column:
-        return F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
+        return F.when(acc["cur"].isNull(), acc["done"]).otherwise(
+            F.concat(acc["done"], F.array(F.struct(acc["cur"].alias("text"), acc["n"].alias("n")))))
 
     def grow(acc: Column, x: Column) -> Column:
         join = acc["cur"].isNotNull() & ~acc["atomic"] & ~x["atomic"] & (acc["n"] + x["n"] <= target)
@@ -181,20 +204,41 @@ def counted(texts: Column, atomic: Column | None = None) -> Column:
 def split_body(c: Column, limit: int = P.CHUNK_MAX_TOKENS, target: int = P.CHUNK_TARGET_TOKENS,
                overlap: int = P.CHUNK_OVERLAP_TOKENS) -> Column:
     """One document body as pieces: structure first, then prose, then small neighbours merged."""
-    def of_block(b: Column) -> Column:
-        def sized(s: Column) -> Column:
-            big = s["n"] > target
-            return (F.when(s["text"] == "", F.array().cast(PIECE))
-                    .when(b["kind"] == "table", let(table_split(b["lines"], target), lambda t: counted(t["pieces"], t["atomic"])))
-                    .when(big & (b["kind"] == "list"), counted(greedy_pack(b["lines"], None, target)))
-                    .when(big, counted(prose_split(s["text"], target, overlap)))
-                    .otherwise(counted(F.array(s["text"]))))
+    return F.transform(split_counted(c, limit, target, overlap), lambda x: x["text"])
 
-        text = strip(F.array_join(b["lines"], "\n"))
-        return let(let(text, lambda x: F.struct(x.alias("text"), token_count(x).alias("n"))), sized)
 
-    split = merge_small(F.flatten(F.transform(block_types(c), of_block)), target)
-    return F.when(token_count(c) <= limit, F.array(c)).otherwise(split)
+def split_counted(c: Column, limit: int = P.CHUNK_MAX_TOKENS, target: int = P.CHUNK_TARGET_TOKENS,
+                  overlap: int = P.CHUNK_OVERLAP_TOKENS) -> Column:
+    """The same as array<struct<text, n>>: no text is counted again once its parts are."""
+    none, size, lap = F.array().cast(ATOMS), F.lit(target), F.lit(overlap)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x["n"])
+
+    def measured(b: Column) -> Column:
+        """A block with its text, its count and, for prose, the counted parts of the coarsest cut."""
+        def cut(text: Column) -> Column:
+            atoms = F.when(b["kind"] == "text", first_atoms(text, PROSE_BREAKS, ONE_TOKEN)).otherwise(none)
+            return let(atoms, lambda ats: F.struct(
+                b["kind"].alias("kind"), b["lines"].alias("lines"), text.alias("text"), ats.alias("atoms"),
+                F.when(b["kind"] == "text", total(ats)).otherwise(token_count(text)).alias("n")))
+
+        return let(strip(F.array_join(b["lines"], "\n")), cut)
+
+    def pieces(b: Column) -> Column:
+        big = b["n"] > target
+        prose = F.transform(joined_atoms(b["atoms"], size, lap, PROSE_BREAKS, ONE_TOKEN), lambda x: F.struct(
+            x["text"].alias("text"), F.lit(False).alias("atomic"), x["n"].alias("n")))
+        return (F.when(b["text"] == "", F.array().cast(PIECE))
+                .when(b["kind"] == "table", let(table_split(b["lines"], target), lambda t: counted(t["pieces"], t["atomic"])))
+                .when(big & (b["kind"] == "list"), counted(greedy_pack(b["lines"], None, target)))
+                .when(big, prose)
+                .otherwise(F.array(F.struct(b["text"].alias("text"), F.lit(False).alias("atomic"), b["n"].alias("n")))))
+
+    def split(body: Column, blocks: Column) -> Column:
+        merged = merge_counted(F.flatten(F.transform(blocks, pieces)), target)
+        return let(total(blocks), lambda n: F.when(body.isNotNull() & (n <= limit), F.array(
+            F.struct(body.alias("text"), n.alias("n")))).otherwise(merged))
+
+    return let(c, lambda body: let(F.transform(block_types(body), measured), lambda blocks: split(body, blocks)))
 
 
 def split_profiles(c: Column, limit: int = P.CHUNK_MAX_TOKENS, target: int = P.CHUNK_TARGET_TOKENS) -> Column:
@@ -218,16 +262,19 @@ def context_header(doc_type: Column, section: Column, scheme_name: Column, title
 
 
 def chunk_table(docs: DataFrame, header: Column, pieces: Column, keep: list[str]) -> DataFrame:
-    """One row per chunk: id, context header with part label, inherited columns, number, count and size."""
+    """One row per chunk: id, context header with part label, inherited columns, number, count and size.
+
+    ``pieces``: array<struct<text, n>> as of ``split_counted``; a chunk has the tokens of its header and of its piece.
+    """
+    label = F.when(F.col("n_chunks") == 1, F.col("_h")).otherwise(F.concat(
+        F.expr("left(_h, length(_h) - 1)"), F.lit(" | part "), (F.col("chunk_index") + 1).cast("string"),
+        F.lit(" of "), F.col("n_chunks").cast("string"), F.lit("]")))
     return (docs.select("id", *keep, header.alias("_h"), pieces.alias("_p"))
             .select("id", *keep, "_h", F.size("_p").alias("n_chunks"), F.posexplode("_p").alias("chunk_index", "_t"))
-            .select("id", *keep, "n_chunks", "chunk_index", F.concat(
-                F.when(F.col("n_chunks") == 1, F.col("_h")).otherwise(F.concat(
-                    F.expr("left(_h, length(_h) - 1)"), F.lit(" | part "), (F.col("chunk_index") + 1).cast("string"),
-                    F.lit(" of "), F.col("n_chunks").cast("string"), F.lit("]"))),
-                F.lit("\n"), strip(F.col("_t"))).alias("text"))
+            .select("id", *keep, "n_chunks", "chunk_index", "_t", label.alias("_h"))
             .select(F.concat_ws("-", "id", F.col("chunk_index").cast("string")).alias("chunk_id"), F.col("id").alias("doc_id"),
-                    "text", *keep, "chunk_index", "n_chunks", token_count(F.col("text")).alias("tokens")))
+                    F.concat("_h", F.lit("\n"), strip(F.col("_t.text"))).alias("text"), *keep, "chunk_index", "n_chunks",
+                    (token_count(F.col("_h")) + F.col("_t.n")).alias("tokens")))
 
 
 def section_chunking(docs: DataFrame, section: str, text: str, config: dict[str, tuple[int, int]]) -> DataFrame:

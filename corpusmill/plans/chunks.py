@@ -166,7 +166,7 @@ def chunked(t: Tables):
         F.when(F.col("lang") != "en", F.col("lang")).alias("parent"))
     header = K.context_header(F.col("doc_type"), F.col("section"), F.col("scheme_name"), F.col("title"), F.col("source"),
                               F.col("parent"), "Site")
-    return K.chunk_table(d, header, K.split_body(F.col("body")), ["source"])
+    return K.chunk_table(d, header, K.split_counted(F.col("body")), ["source"])
 
 
 @query("chunk_table", SQL_CHUNKS + f"""SELECT doc_id || '-' || (i - 1) AS chunk_id, doc_id, text, source, CAST(i - 1 AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS n_chunks, {TOK('text')} AS tokens FROM tx2""")
