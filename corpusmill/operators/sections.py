@@ -15,19 +15,28 @@ from corpusmill.functions.text import clean_text, let, lines, rep, strip, unix_l
 HEADING_START = r"\n(?=#)"
 
 
-def split_sections(c: Column) -> Column:
-    """array<struct<level, heading, body>> at every heading; text before the first one is dropped."""
-    parts = F.filter(F.split(unix_lines(c), HEADING_START, -1), lambda s: s.startswith("#"))
+def section_parts(c: Column) -> Column:
+    """The raw sections, each from its heading on; text before the first one is dropped."""
+    return F.filter(F.split(unix_lines(c), HEADING_START, -1), lambda s: s.startswith("#"))
 
-    def section(s: Column) -> Column:
-        first = F.split_part(s, F.lit("\n"), F.lit(1))
-        hashes = F.regexp_extract(first, r"^#{1,6}", 0)
-        return F.struct(
-            F.length(hashes).alias("level"),
-            strip(rep(first, r"^#{1,6}")).alias("heading"),
-            strip(rep(s, r"\A[^\n]*\n?")).alias("body"))
 
-    return F.transform(parts, section)
+def heading_line(s: Column) -> Column:
+    return F.substring_index(s, "\n", 1)
+
+
+def heading_of(s: Column) -> Column:
+    return strip(rep(heading_line(s), r"^#{1,6}"))
+
+
+def body_of(s: Column) -> Column:
+    return strip(F.substr(s, F.length(heading_line(s)) + 2))
+
+
+def split_sections(c: Column) -> Column:
+    """array<struct<level, heading, body>> at every heading; text before the first one is dropped."""
+    return F.transform(section_parts(c), lambda s: F.struct(
+        F.length(F.regexp_extract(heading_line(s), r"^#{1,6}", 0)).alias("level"),
+        heading_of(s).alias("heading"), body_of(s).alias("body")))
 
 
 def explode_sections(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -67,9 +76,9 @@ def parent_headings(df: DataFrame, key: str, text: Column) -> DataFrame:
     return df.select(key, F.posexplode(found).alias("pos", "s")).select(key, (F.col("pos") + 1).alias("section_id"), "s.*")
 
 
-def first_section(secs: Column, matches) -> Column:
-    """First section whose heading passes a test; NULL when none does."""
-    return F.try_element_at(F.filter(secs, lambda s: matches(s["heading"])), F.lit(1))
+def first_body(parts: Column, matches) -> Column:
+    """Body of the first raw section whose heading passes a test; NULL when none does. Only this body is taken out."""
+    return let(F.try_element_at(F.filter(parts, lambda s: matches(heading_of(s))), F.lit(1)), body_of)
 
 
 def position_of(flags: Column) -> Column:
@@ -105,9 +114,18 @@ def cells(line: Column) -> Column:
     return F.transform(F.split(line, r"\|", -1), strip)
 
 
+def table_body(c: Column, heading: str = "returns and rankings") -> Column:
+    """Text of the first section whose heading contains a phrase."""
+    return first_body(section_parts(c), lambda h: F.contains(F.lower(h), F.lit(heading)))
+
+
 def unpivot_table(c: Column, heading: str = "returns and rankings") -> Column:
     """array<struct<metric, period, value>> of the pipe table under a heading; a repeated metric keeps its last row."""
-    body = first_section(split_sections(c), lambda h: F.contains(F.lower(h), F.lit(heading)))["body"]
+    return unpivot_body(table_body(c, heading))
+
+
+def unpivot_body(body: Column) -> Column:
+    """The same from the text under the heading."""
     table = F.filter(lines(body), lambda line: F.contains(line, F.lit("|")))
 
     def parsed(rows: Column) -> Column:
@@ -131,8 +149,11 @@ def unpivot_table(c: Column, heading: str = "returns and rankings") -> Column:
 
 def table_context(c: Column, heading: str = "returns and rankings") -> Column:
     """Category line and return-type lines shown above the table."""
-    body = first_section(split_sections(c), lambda h: F.contains(F.lower(h), F.lit(heading)))["body"]
+    return context_of(table_body(c, heading))
+
 
+def context_of(body: Column) -> Column:
+    """The same from the text under the heading."""
     def context(above: Column) -> Column:
         types = F.filter(above, lambda x: F.lower(x).isin("annualised returns", "absolute returns"))
         category = F.try_element_at(F.filter(above, lambda x: F.lower(x).startswith("category:")), F.lit(1))
@@ -165,12 +186,22 @@ def reported_count(c: Column, heading: str = "Holdings") -> Column:
 
 def heading_text(c: Column, heading: str) -> Column:
     """All text under a heading until the next heading."""
-    return first_section(split_sections(c), lambda h: F.lower(h) == heading.lower())["body"]
+    return heading_body(section_parts(c), heading)
+
+
+def heading_body(parts: Column, heading: str) -> Column:
+    """The same from the raw sections."""
+    return first_body(parts, lambda h: F.lower(h) == heading.lower())
 
 
 def key_value_rows(c: Column, heading: str) -> Column:
     """array<struct<label, value>> of the ``label | value`` lines under a heading."""
-    ls = F.filter(F.transform(lines(heading_text(c, heading)), strip),
+    return key_values(heading_text(c, heading))
+
+
+def key_values(body: Column) -> Column:
+    """The same from the text under the heading."""
+    ls = F.filter(F.transform(lines(body), strip),
                   lambda x: F.contains(x, F.lit("|")) & ~is_separator(x))
     return F.transform(F.transform(ls, cells), lambda r: F.struct(r[0].alias("label"), r[1].alias("value")))
 
@@ -224,15 +255,19 @@ def profile_blocks(c: Column, heading: str = "fund management") -> Column:
 def help_article(md: Column) -> Column:
     """struct<question, answer, status>: status ``ok``, ``dead page`` (the source's fault) or ``failed`` (ours)."""
     last_h1 = r"(?s)\A(?:.*\n)?# ([^\n]+)(.*)\z"
-    dead = (F.regexp_count(md, F.lit(r"(?dm)^# (.+)$")) < 2) | F.contains(md, F.lit(P.ERROR_SCREEN))
 
-    def with_rest(rest: Column) -> Column:
-        return let(clean_text(F.split_part(rest, F.lit(P.ANSWER_END), F.lit(1))), lambda answer: F.struct(
-            strip(F.regexp_extract(md, last_h1, 1)).alias("question"), answer.alias("answer"),
-            F.when(dead, "dead page").when(~F.contains(rest, F.lit(P.ANSWER_END)), "failed")
-            .when(answer == "", "dead page").otherwise("ok").alias("status")))
+    def article(page: Column) -> Column:
+        dead = (F.regexp_count(page, F.lit(r"(?dm)^# (.+)$")) < 2) | F.contains(page, F.lit(P.ERROR_SCREEN))
+
+        def with_rest(rest: Column) -> Column:
+            return let(clean_text(F.substring_index(rest, P.ANSWER_END, 1)), lambda answer: F.struct(
+                strip(F.regexp_extract(page, last_h1, 1)).alias("question"), answer.alias("answer"),
+                F.when(dead, "dead page").when(~F.contains(rest, F.lit(P.ANSWER_END)), "failed")
+                .when(answer == "", "dead page").otherwise("ok").alias("status")))
+
+        return let(F.regexp_extract(page, last_h1, 2), with_rest)
 
-    return let(F.regexp_extract(md, last_h1, 2), with_rest)
+    return let(md, article)
 
 
 def blog_article(md: Column) -> Column:

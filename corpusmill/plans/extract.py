@@ -61,7 +61,8 @@ SELECT doc_id, source AS category, 'Annualised returns' AS active_type, 2 AS n_t
 LATERAL (VALUES ('Fund returns', '1Y', '+' || (n_chars % 50) || '.5%'), ('Fund returns', '3Y', NULL), ('Fund returns', 'All', '+7.7%'),
  ('Rank', '1Y', CAST(doc_id % 9 AS VARCHAR)), ('Rank', '3Y', NULL), ('Rank', 'All', NULL)) v(metric, period, value)""")
 def unpivot_table(t: Tables):
-    found = t.documents.select("doc_id", E.table_context(md()).alias("x"), E.unpivot_table(md()).alias("u"))
+    body = t.documents.select("doc_id", E.table_body(md()).alias("b"))
+    found = body.select("doc_id", E.context_of(F.col("b")).alias("x"), E.unpivot_body(F.col("b")).alias("u"))
     return found.select("doc_id", "x.category", "x.active_type", F.size("x.available_types").alias("n_types"),
                         F.explode("u").alias("r")).select("doc_id", "category", "active_type", "n_types", "r.*")
 
@@ -80,11 +81,14 @@ def pipe_rows(t: Tables):
 SELECT doc_id, '₹' || n_chars AS min_first, '₹1,000' AS min_sip, CAST(doc_id % 5 AS VARCHAR) AS rating, 'tail' AS about FROM documents""")
 def key_value_rows(t: Tables):
     # labels become columns inside the row: a pivot by key would shuffle every pair for nothing
-    pairs = F.map_from_entries(E.key_value_rows(md(), "Minimum amounts"))
-    return t.documents.select(
-        "doc_id", F.try_element_at(pairs, F.lit("Min. first")).alias("min_first"),
-        F.try_element_at(pairs, F.lit("Min. SIP")).alias("min_sip"),
-        E.value_under(md(), "Rating").alias("rating"), E.heading_text(md(), "About").alias("about"))
+    found = t.documents.select("doc_id", md().alias("m")).select(
+        "doc_id", E.value_under(F.col("m"), "Rating").alias("rating"), E.section_parts(F.col("m")).alias("parts"))
+    told = found.select(
+        "doc_id", "rating", E.heading_body(F.col("parts"), "About").alias("about"),
+        F.map_from_entries(E.key_values(E.heading_body(F.col("parts"), "Minimum amounts"))).alias("pairs"))
+    return told.select(
+        "doc_id", F.try_element_at("pairs", F.lit("Min. first")).alias("min_first"),
+        F.try_element_at("pairs", F.lit("Min. SIP")).alias("min_sip"), "rating", "about")
 
 
 @query("profile_blocks", """
