@@ -84,6 +84,13 @@ def test_a_help_page_is_built_once_and_not_again_for_the_filter(spark):
     assert query_plan(spark, "article_records").count("How to redeem") <= 2  # two forms of one page
 
 
+def test_article_ends(spark):
+    ends = ["## Disclaimer", "####### Disclaimer", "## Disclaimer  ", "## Disclaimer x", "Do you like this edition?", "Do you like this edition? y", " Recent Posts", "Recent Posts", "Recent Posts\t"]
+    df = spark.createDataFrame([(i, f"a\n{e}\nb") for i, e in enumerate(ends)], "i int, t string")
+    cut = {r.i for r in df.select("i", F.split("t", P.ARTICLE_END, 2).alias("p")).collect() if len(r.p) == 2}
+    assert cut == {0, 2, 4, 5, 7, 8} and P.ARTICLE_END.count("^") == 1
+
+
 def test_steps_that_are_left_out_would_change_nothing(spark):
     bits = ["[a]", "(http://x.y)", "(https://x)", "!", "[", "]", "(b)", "https://q.r/s", " ", "  ", "\n", "\n\n\n", "\t", "5 min read", "12 min read\n",
             "Loading...", "```", " \n", "word", "\n!", "\r\n"]
